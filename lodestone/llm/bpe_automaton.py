@@ -8,7 +8,7 @@ automaton has that path, and each string has one such path.
 
 All arcs of a label lead to the same state, and a copy differs from its parent by one arc.
 So the states are kept as (parent, label lost, rank), arcs are resolved on first use and
-then stay in the state's transition table.
+then stay in the transition table. A word is read byte by byte through the table.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ from .common import map_rows
 from .presplit import Presplit, load
 
 
+#: Arcs and ways that a worker remembers.
+ARCS = 3_000_000
+
+
 class Automaton:
     """The automaton of a merge list, with string encoding and label decoding."""
 
@@ -49,10 +53,43 @@ class Automaton:
         for x in dead:
             if self.born[x] < 0:
                 self.ids.pop(self.label[x], None)
-        self.longest = max(map(len, self.ids))
-        self.table: list[dict[int, bool]] = [{} for _ in range(size)]
+        self.arcs: dict[int, bool] = {}
+        self._suffixes()
+        self.jump = dict(self.to)  # and, as they are used, the ways that lead back
         del self.parent, self.made
 
+    def _suffixes(self) -> None:
+        """A table from (place, byte) to the place after it, where a place names the longest end of what was read that begins some label."""
+        self.to: dict[int, int] = {}
+        whole, depth = [-1], [0]
+        for x, i in self.ids.items():
+            at = 0
+            for b in x:
+                nxt = self.to.get(at << 8 | b)
+                if nxt is None:
+                    nxt = self.to[at << 8 | b] = len(whole)
+                    whole.append(-1)
+                    depth.append(depth[at] + 1)
+                at = nxt
+            whole[at] = i
+        self.back = [0] * len(whole)
+        #: The longest label that ends at a place; the next shorter label that ends a label; its bytes.
+        self.ends = whole[:]
+        self.shorter, self.size = [-1] * len(self.born), [0] * len(self.born)
+        for key, at in sorted(self.to.items(), key=lambda x: depth[x[1]]):
+            if depth[at] > 1:
+                self.back[at] = self._next(self.back[key >> 8], key & 255)
+            behind = self.ends[self.back[at]] if self.back[at] else -1
+            if whole[at] < 0:
+                self.ends[at] = behind
+            else:
+                self.shorter[whole[at]], self.size[whole[at]] = behind, depth[at]
+
+    def _next(self, at: int, b: int) -> int:
+        if (got := self.to.get(at << 8 | b)) is not None:
+            return got
+        return self._next(self.back[at], b) if at else 0
+
     def _gadget(self, u: int, v: int, uv: int, rank: int) -> None:
         leads = self.target[v]
         self.parent.append(self.target[u])
@@ -81,31 +118,40 @@ class Automaton:
         return True
 
     def encode(self, word: bytes) -> list[int]:
-        """Labels of the one path that spells the word."""
+        """Labels of the one path that spells the word.
+
+        last[n] is the label that the path of the first n bytes ends with: of the labels
+        that end there, the one with an arc from the state in which it starts.
+        """
         whole = self.ids.get(word)
-        n, ids, table, longest = len(word), self.ids, self.table, self.longest
         if whole is not None:
             return [whole]
-        last = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                label = ids.get(word[start:end])
-                if label is None:
-                    continue
-                if start:
-                    arcs = table[last[start]]
-                    open_ = arcs.get(label)
-                    if open_ is None:
-                        open_ = arcs[label] = self._arc(last[start], label, 1 << 60)
-                    if not open_:
-                        continue
-                last[end] = label
-                break
+        to, ends, shorter, size, arcs = self.jump, self.ends, self.shorter, self.size, self.arcs
+        last, at, n = [-1], 0, 0
+        for b in word:
+            n += 1
+            key = at << 8 | b
+            at = to.get(key)
+            if at is None:
+                at = to[key] = self._next(key >> 8, b)
+            label = ends[at]
+            while start := n - size[label]:
+                key = last[start] << 20 | label
+                open_ = arcs.get(key)
+                if open_ is None:
+                    if len(arcs) > ARCS:
+                        arcs.clear()
+                    open_ = arcs[key] = self._arc(last[start], label, 1 << 60)
+                if open_:
+                    break
+                label = shorter[label]
+            last.append(label)
         out = []
         while n:
             out.append(last[n])
-            n -= len(self.label[last[n]])
-        return out[::-1]
+            n -= size[last[n]]
+        out.reverse()
+        return out
 
 
 class Codec:
@@ -119,8 +165,9 @@ class Codec:
             self.emit[i] = x
         for x, i in added.items():
             self.emit[i] = x.encode()
-        pack = lambda xs: np.asarray(xs, "<u4").tobytes()
-        self.split = Presplit(path, lambda w: pack(self.automaton.encode(w)), lambda x: pack([added[x]]), added, b"".join)
+        packed = [i.to_bytes(4, "little") for i in range(len(self.emit))]
+        encode = self.automaton.encode
+        self.split = Presplit(path, lambda w: b"".join([packed[i] for i in encode(w)]), lambda x: packed[added[x]], added, b"".join)
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(self.split.results(text or ""))
