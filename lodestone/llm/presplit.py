@@ -21,8 +21,8 @@ PRINTABLE = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
 #: From here on, versions of Unicode differ on which code points are letters; the library then says what it takes them for.
 UNSURE = "\u0530"
 
-#: Chunks that a worker remembers before it starts anew, and the longest that it remembers.
-KEPT, LONGEST = 400_000, 64
+#: Chunks in each half of what a worker remembers, and the longest that it remembers.
+KEPT, LONGEST = 250_000, 64
 
 
 def byte_of_char() -> dict[str, int]:
@@ -95,15 +95,21 @@ class Presplit:
 
 
 class _Kept(dict):
-    """Results by chunk, for chunks that follow `lead`."""
+    """Results by chunk, for chunks that follow `lead`.
+
+    When full, it becomes the older half; what is asked for again returns from there.
+    """
 
     def __init__(self, split: Presplit, lead: str):
-        self.split, self.lead = split, lead
+        self.split, self.lead, self.older = split, lead, {}
 
     def __missing__(self, chunk: str):
-        got = self.split.chunk(self.lead + chunk)
+        got = self.older.get(chunk)
+        if got is None:
+            got = self.split.chunk(self.lead + chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= KEPT:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = got
         return got
