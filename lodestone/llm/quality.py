@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_rows
 
@@ -81,21 +82,23 @@ def measure(text: str | None, compress) -> tuple:
     return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeat, failed, good and not failed, whole
 
 
-def quality(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def quality(df: DataFrame, text: str = "text", id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Counts and verdict for every row's whole text.
 
-    Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
+    Returns id_col, the columns in `carry`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
     base_failed, kept (boolean) and ratio (double). A null or empty text has no words and
     fails; null ids and repeated rows stay as they are; an empty table gives an empty
-    table; other columns are not carried and may have any name. Texts may be of any length.
+    table; other columns may have any name. Texts may be of any length.
     """
-    kind = dict(df.dtypes)[id_col]
+    kept = {f"c{i}": name for i, name in enumerate([id_col, *carry])}
+    kinds = ", ".join(f"{k} {df.schema[name].dataType.simpleString()}" for k, name in kept.items())
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
 
     def run(batch: pa.RecordBatch) -> dict:
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
-        rows = [measure(x, compress) for x in batch.column(1).to_pylist()]
-        return {"id": batch.column(0)} | {k: list(x) for k, x in zip(names, zip(*rows, strict=True), strict=True)}
+        rows = [measure(x, compress) for x in batch.column(0).to_pylist()]
+        return {k: batch.column(i + 1) for i, k in enumerate(kept)} | {k: list(x) for k, x in zip(names, zip(*rows, strict=True), strict=True)}
 
-    schema = f"id {kind}, " + ", ".join(f"{x} bigint" for x in names[:5]) + ", base_failed boolean, kept boolean, ratio double"
-    return map_rows(df.select(df[id_col].alias("id"), df[text].alias("text")), run, schema).withColumnRenamed("id", id_col)
+    schema = f"{kinds}, " + ", ".join(f"{x} bigint" for x in names[:5]) + ", base_failed boolean, kept boolean, ratio double"
+    out = map_rows(df.select(df[text].alias("text"), *[df[name].alias(k) for k, name in kept.items()]), run, schema)
+    return out.select(*[F.col(k).alias(name) for k, name in kept.items()], *names)

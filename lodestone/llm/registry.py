@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, html_crf, langid, packing, suffix_dedup, token_counts, topk
+from . import bpe_automaton, html_crf, langid, maxent_lm, minhash, packing, suffix_dedup, token_counts, topk
 from . import quality as quality_rules
 from .common import held_out
 
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe_automaton.encode(_table(spark, sf_dir, "documents"), path, ids=False, digests=True)
@@ -56,7 +61,13 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = maxent_lm.score(spark, _table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5) != 1)
+    return out.withColumn("held_out", held_out(F.col("doc_id"), 5) == 1)
+
+
 QUERIES = (
+    op1_minhash_dedup,
     op2_bpe_automaton,
     op3_token_counts,
     op4_quality_rules,
@@ -65,10 +76,33 @@ QUERIES = (
     op7_language_id,
     op8_html_extraction,
     op9_suffix_dedup,
+    op10_maxent_lm,
 )
 
 #: DuckDB SQL for the same rows, where SQL can say it.
 ORACLES = {
+    "op1_minhash_dedup": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM d
+        ), n AS (
+            SELECT doc_id, len(sh)::BIGINT AS n FROM s
+        ), u AS (
+            SELECT doc_id, unnest(sh) AS x FROM s
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id
+            JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))
+        ), e AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a
+        ), c AS (
+            SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)""",
     "op5_topk_histogram": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS e FROM embeddings
@@ -107,8 +141,8 @@ ORACLES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

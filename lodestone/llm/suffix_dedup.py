@@ -395,7 +395,7 @@ def _expand(length: int):
     return run
 
 
-def _cut(length: int):
+def _cut(length: int, carried: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -415,7 +415,8 @@ def _cut(length: int):
                     gone = edges.cumsum()[:n] > 0
                     starts = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
                     rows.append((doc, n, int(gone.sum()), starts, np.frombuffer(text, np.uint8)[~gone].tobytes()))
-            yield _batch(iter(rows), [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+            out = _batch(iter(rows), [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+            yield out.append_column("carried", batch.column(4)) if carried else out
 
     return run
 
@@ -423,28 +424,33 @@ def _cut(length: int):
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(x) for x in _encoded(batch.column(1).to_pylist())], pa.binary())], names=["id", "packed"])
+        columns = [batch.column(0), pa.array([pack(x) for x in _encoded(batch.column(1).to_pylist())], pa.binary()), *batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "packed", "carried"][: len(columns)])
 
 
-def dedup(spark: SparkSession, df: DataFrame, length: int = 50, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def dedup(spark: SparkSession, df: DataFrame, length: int = 50, text: str = "text", id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """What is left of every row's whole text, as bytes, once repeated strings are removed.
 
-    Returns id_col (long), n_bytes, n_removed, n_spans (maximal removed runs) and kept
-    (binary, which may cut a character in two). A null text is empty; a text shorter than
+    Returns id_col (long), n_bytes, n_removed, n_spans (maximal removed runs), kept (binary,
+    which may cut a character in two) and, if there are columns to carry, the struct carried. A null text is empty; a text shorter than
     `length` loses nothing. An id names one text: rows that repeat an id and text all get
     the same result. A row with a null id is compared with nothing and keeps its text. An
-    empty table gives no rows; other columns are not carried and may have any name.
+    empty table gives no rows; columns may have any name.
     """
     if length <= RUN:
         raise ValueError(f"strings of at least {RUN + 1} bytes are looked for")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = partitions * SPREAD
     docs = df.select(df[id_col].cast("long").alias("id"), df[text].alias("text"))
+    extra = [F.struct(*[df[x] for x in carry]).alias("carried")] if carry else []
     named = docs.where("id is not null")
 
     found = named.mapInArrow(_find_runs(length, groups), "group int, blob binary")
     replies = checkpointed(found.repartition(partitions, "group").mapInArrow(_compare, "id bigint, gone binary, ask binary"))
     packed = docs.mapInArrow(_zipped, "id bigint, packed binary")
+    whole = df.select(df[id_col].cast("long").alias("id"), df[text].alias("text"), *extra)
+    kind = f", carried {whole.schema['carried'].dataType.simpleString()}" if carry else ""
+    whole = whole.mapInArrow(_zipped, f"id bigint, packed binary{kind}")
     asked = replies.where(F.length("ask") > 0).groupBy("id").agg(F.collect_list("ask").alias("asks"))
     unlike = packed.join(asked, "id").select("id", "packed", "asks").mapInArrow(_fetch(length, groups), "group int, kind int, blob binary")
     more = unlike.repartition(partitions, "group").mapInArrow(_expand(length), "id bigint, gone binary, ask binary")
@@ -455,5 +461,6 @@ def dedup(spark: SparkSession, df: DataFrame, length: int = 50, text: str = "tex
     copies = keys.join(first, "key").where("id > first").select("id").distinct().withColumn("copy", F.lit(True))
     gone = replies.select("id", "gone").unionByName(more.select("id", "gone")).where(F.length("gone") > 0).groupBy("id").agg(F.collect_list("gone").alias("spans"))
     about = gone.join(copies, "id", "full")
-    out = packed.join(about, "id", "left").select("id", "packed", "copy", "spans").mapInArrow(_cut(length), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    cut = whole.join(about, "id", "left").select("id", "packed", "copy", "spans", *["carried"] * bool(carry))
+    out = cut.mapInArrow(_cut(length, bool(carry)), f"id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary{kind}")
     return out.withColumnRenamed("id", id_col)
