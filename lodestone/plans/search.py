@@ -1 +1,238 @@
-"""Queries."""
+"""Evidence search: exact, lexical and dense retrieval, fusion, selection, evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import dense, fusion
+from lodestone.operators.chunking import chunk_documents
+from lodestone.operators.exact import find_phrases
+from lodestone.session import table
+
+from .catalog import query
+
+#: Candidates of each retriever, and the longest phrase for exact search.
+CANDIDATES, LONGEST_PHRASE = 40, 200
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 60 characters of the first line of each benchmark item: never cut by a chunk."""
+    first = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60)
+    return table(spark, sf_dir, "benchmark").select("item_id", first.alias("phrase"))
+
+
+PHRASES = "p AS (SELECT item_id, substr(split_part(text, chr(10), 1), 1, 60) AS phrase FROM benchmark)"
+
+
+@query(f"""WITH {PHRASES}, f AS (
+    SELECT item_id, doc_id, strpos(text, phrase) AS place, phrase FROM p JOIN documents ON contains(text, phrase)
+) SELECT item_id, doc_id, (place - 1)::BIGINT AS canonical_start, (place - 1 + length(phrase))::BIGINT AS canonical_end, phrase AS match_text FROM f""")
+def exact_search_minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first place of each phrase in each document, found in chunks and led back through their spans."""
+    found = phrases(spark, sf_dir)
+    c = chunk_documents(table(spark, sf_dir, "documents"))
+    hits = find_phrases(c, found, "doc_id", "item_id", most=3, carry=("text", "spans"))
+    span = F.element_at(F.filter("spans", lambda s: s["at"] <= F.col("position")), -1)
+    start = span["start"] + F.col("position") - span["at"]
+    places = hits.select("doc_id", "item_id", start.alias("canonical_start")).groupBy("item_id", "doc_id").agg(F.min("canonical_start").alias("canonical_start"))
+    out = places.join(found, "item_id")
+    return out.select("item_id", "doc_id", "canonical_start", (F.col("canonical_start") + F.length("phrase")).alias("canonical_end"), F.col("phrase").alias("match_text"))
+
+
+@query(f"WITH {PHRASES} SELECT item_id, doc_id FROM p JOIN documents ON contains(text, phrase)")
+def exact_search_case_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_phrases(table(spark, sf_dir, "documents"), phrases(spark, sf_dir), "doc_id", "item_id", most=1).select("item_id", "doc_id")
+
+
+@query(f"WITH {PHRASES} SELECT item_id, doc_id FROM p JOIN documents ON contains(lower(text), lower(phrase))")
+def exact_search_case_insensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_phrases(table(spark, sf_dir, "documents"), phrases(spark, sf_dir), "doc_id", "item_id", most=1, fold=True).select("item_id", "doc_id")
+
+
+@query("""WITH p AS (SELECT item_id, substr(text, 1, 8) AS phrase FROM benchmark WHERE length(text) >= 8), f AS (
+    SELECT item_id, doc_id, i - 1 AS position, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY i) AS r FROM (
+        SELECT item_id, doc_id, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 8) = phrase)) AS i
+        FROM p JOIN documents ON contains(text, phrase)))
+    SELECT item_id, doc_id, position::BIGINT AS position FROM f WHERE r <= 3""")
+def exact_match_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three places, overlapping ones too, of short phrases."""
+    short = table(spark, sf_dir, "benchmark").where(F.length("text") >= 8).select("item_id", F.substring("text", 1, 8).alias("phrase"))
+    return find_phrases(table(spark, sf_dir, "documents"), short, "doc_id", "item_id", most=3).select("item_id", "doc_id", "position")
+
+
+@query(f"WITH {PHRASES} SELECT item_id FROM p WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(text, phrase))")
+def exact_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_search_case_sensitive(spark, sf_dir).select("item_id").distinct()
+    return phrases(spark, sf_dir).select("item_id").join(found, "item_id", "left_anti")
+
+
+@query(f"SELECT item_id, length(text)::BIGINT AS n_chars, length(text) <= {LONGEST_PHRASE} AS exact_allowed FROM benchmark")
+def phrase_length_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("text").cast("long")
+    return table(spark, sf_dir, "benchmark").select("item_id", n.alias("n_chars"), (n <= LONGEST_PHRASE).alias("exact_allowed"))
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """doc_id, term, tf."""
+    return docs.select("doc_id", F.explode(T.words(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+@query("""WITH q AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: length(w) >= 6)))[1] AS term FROM benchmark),
+    t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY ALL),
+    r AS (SELECT item_id, doc_id, round(0.4 * tf / (0.4 * tf + 1), 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY tf DESC, doc_id)::INTEGER AS rank FROM q JOIN t USING (term))
+    SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 40""")
+def lexical_strict_single_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a query's one term, by cover density: each place counts 0.4, then s / (s + 1)."""
+    long = F.sort_array(F.array_distinct(F.filter(T.words(F.col("text")), lambda w: F.length(w) >= 6)))
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.get(long, 0).alias("term")).where("term is not null")
+    s = 0.4 * F.col("tf")
+    w = Window.partitionBy("item_id").orderBy(F.desc("tf"), "doc_id")
+    hits = postings(table(spark, sf_dir, "documents")).join(q, "term").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= CANDIDATES)
+    return hits.select("item_id", "doc_id", F.round(s / (s + 1), 6).alias("score"), "rank")
+
+
+@query("""WITH q AS (SELECT conv_id, turn, list_distinct(t) AS d, t FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: length(w) >= 3) AS t
+        FROM conversations WHERE role = 'user' AND conv_id % 20 = 0)),
+    o AS (SELECT conv_id, turn, list_filter(t, lambda w, i: list_position(t, w) = i)[1:12] AS terms FROM q),
+    u AS (SELECT conv_id, turn, len(terms) AS n, unnest(terms) AS term FROM o),
+    p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents),
+    m AS (SELECT conv_id, turn, doc_id, n, count(*) AS k FROM u JOIN p USING (term) GROUP BY ALL)
+    SELECT conv_id, turn, count(*) FILTER (k = n)::BIGINT AS strict_hits, count(*)::BIGINT AS any_hits, CASE WHEN count(*) FILTER (k = n) > 0 THEN 'strict' ELSE 'or_fallback' END AS strategy
+    FROM m GROUP BY ALL""")
+def lexical_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents have all terms of a query, how many have any, and which search that leads to."""
+    q = table(spark, sf_dir, "conversations").where("role = 'user' and conv_id % 20 = 0").select("conv_id", "turn", T.any_terms(F.col("text")).alias("terms"))
+    q = q.select("conv_id", "turn", F.size("terms").alias("n"), F.explode("terms").alias("term")).where(F.length("term") >= 3)
+    has = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
+    both = has.join(q, "term").groupBy("conv_id", "turn", "doc_id", "n").agg(F.count("*").alias("k"))
+    strict = F.count_if(F.col("k") == F.col("n"))
+    return both.groupBy("conv_id", "turn").agg(strict.alias("strict_hits"), F.count("*").alias("any_hits"), F.when(strict > 0, "strict").otherwise("or_fallback").alias("strategy"))
+
+
+COSINE = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+PAIRS = """r AS (SELECT q.vec_id AS query_id, c.vec_id, 1 - list_cosine_similarity(q.v, c.v) AS d FROM e q JOIN e c ON q.vec_id <> c.vec_id {scope} WHERE q.vec_id % 20 = 0),
+    t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id)::INTEGER AS rank FROM r)
+    SELECT query_id, vec_id, round(d, 6) AS distance, rank FROM t WHERE rank <= 10"""
+
+
+@query(f"WITH {COSINE}, {PAIRS.format(scope='')}")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return dense.nearest(spark, v.where("vec_id % 20 = 0"), v, 10, "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {COSINE}, {PAIRS.format(scope='AND q.label = c.label')}")
+def dense_topk_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return dense.nearest(spark, v.where("vec_id % 20 = 0"), v, 10, "vec_id", "embedding", scope="label").withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT label, count(*)::BIGINT AS n, count(*) FILTER (len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)::BIGINT AS valid FROM embeddings GROUP BY 1")
+def vector_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fine = (F.size("embedding") == 64) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.count_if(fine).alias("valid"))
+
+
+def ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rankings of vectors within a label, by one component each: the input of fusion."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("item"), F.posexplode(F.slice("embedding", 1, 3)).alias("i", "x"))
+    w = Window.partitionBy("query_id", "i").orderBy(F.desc("x"), "item")
+    name = F.element_at(F.array(F.lit("exact"), F.lit("lexical"), F.lit("dense")), F.col("i") + 1)
+    return v.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= CANDIDATES).select("query_id", "item", name.alias("component"), "rank")
+
+
+FUSED = """l AS (SELECT label AS query_id, vec_id AS item, i, row_number() OVER (PARTITION BY label, i ORDER BY embedding[i] DESC, vec_id) AS rank FROM embeddings, range(1, 4) t(i)),
+    s AS (SELECT query_id, item, 0.0::DOUBLE + coalesce(max(CASE WHEN i = 1 THEN 2.0::DOUBLE / (60 + rank) END), 0) + coalesce(max(CASE WHEN i = 2 THEN 1.0::DOUBLE / (60 + rank) END), 0)
+        + coalesce(max(CASE WHEN i = 3 THEN 1.0::DOUBLE / (60 + rank) END), 0) AS score FROM l WHERE rank <= 40 GROUP BY ALL),
+    f AS (SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item)::INTEGER AS rank FROM s)"""
+
+
+@query(f"WITH {FUSED} SELECT query_id, item, round(score, 9) AS score, rank FROM f")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.reciprocal_rank_fusion(ranked_lists(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH {FUSED} SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 24 THEN 0 ELSE 1 END, CASE WHEN rank <= 24 AND item % 3 <> 0 THEN item * 7919 % 1000 END DESC NULLS LAST, score DESC, rank)::INTEGER AS new_rank FROM f""")
+def rerank_topm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 24 by a second score, which some of them lack; the rest keeps its order."""
+    second = F.when(F.col("item") % 3 != 0, F.col("item") * 7919 % 1000)
+    return fusion.rerank(fusion.reciprocal_rank_fusion(ranked_lists(spark, sf_dir)), second).select("query_id", "item", "new_rank")
+
+
+@query()
+def coverage_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts of an order as intervals of parts, the first 10 that don't cover each other."""
+    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").withColumn("rank", F.row_number().over(w)).where("rank <= 120")
+    start = F.col("l_partkey") % 40
+    return fusion.select_by_coverage(rows.select(F.col("l_orderkey").alias("query_id"), "rank", (F.col("l_suppkey") % 2).alias("doc"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end")), 10)
+
+
+OVERLAPS = """n AS (SELECT doc_id, ordinal, a, a + length(line) AS b FROM (SELECT doc_id, i AS ordinal, l[i] AS line,
+        coalesce(sum(length(l[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+        FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))),
+    w AS (SELECT doc_id, ordinal, a, max(b) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS b FROM n)"""
+
+
+@query(f"""WITH {OVERLAPS} SELECT x.doc_id, (x.ordinal - 1)::INTEGER AS first, (y.ordinal - 1)::INTEGER AS second FROM w x JOIN w y ON x.doc_id = y.doc_id AND y.ordinal > x.ordinal AND y.ordinal <= x.ordinal + 2
+    WHERE least(x.b, y.b) > greatest(x.a, y.a) AND (least(x.b, y.b) - greatest(x.a, y.a)) / least(greatest(1, x.b - x.a), greatest(1, y.b - y.a)) >= 0.6""")
+def interval_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of three-line passages that overlap by 0.6 of the shorter: neighbours only, so by window and not by join."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "line")).select("doc_id", "ordinal", F.length("line").alias("n"))
+    w = Window.partitionBy("doc_id").orderBy("ordinal")
+    a = F.coalesce(F.sum(F.col("n") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    p = lines.withColumn("a", a).withColumn("b", F.col("a") + F.col("n")).withColumn("b", F.max("b").over(w.rowsBetween(0, 2)))
+    for i in (1, 2):
+        p = p.withColumn(f"y{i}", F.struct(F.lead("ordinal", i).over(w).alias("o"), F.lead("a", i).over(w).alias("a"), F.lead("b", i).over(w).alias("b")))
+    pairs = p.withColumn("y", F.explode(F.array("y1", "y2"))).where("y.o is not null")
+    share = fusion.overlap_share(F.col("a"), F.col("b"), F.col("y.a"), F.col("y.b"))
+    return pairs.where((share >= fusion.OVERLAP) & (share > 0)).select("doc_id", F.col("ordinal").alias("first"), F.col("y.o").alias("second"))
+
+
+@query("""SELECT conv_id, turn, lag(turn) OVER w AS previous_turn, lead(turn) OVER w AS next_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn").over(w).alias("previous_turn"), F.lead("turn").over(w).alias("next_turn"))
+
+
+@query(f"""WITH {PHRASES}, r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM p JOIN documents ON contains(text, phrase)),
+    e AS (SELECT item_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1)
+    SELECT count(*)::BIGINT AS cases, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS recall_at_10, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 4)::DOUBLE AS mrr
+    FROM e LEFT JOIN r USING (item_id, doc_id)""")
+def eval_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall and mean reciprocal rank of exact search, for items that occur whole in a document."""
+    docs = table(spark, sf_dir, "documents")
+    whole = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    expected = find_phrases(docs, whole, "doc_id", "item_id", most=1).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    w = Window.partitionBy("item_id").orderBy("doc_id")
+    ranked = exact_search_case_sensitive(spark, sf_dir).withColumn("rank", F.row_number().over(w))
+    hit = expected.join(ranked, ["item_id", "doc_id"], "left")
+    return hit.agg(F.count("*").alias("cases"), F.round(F.avg(F.when(F.col("rank") <= 10, 1.0).otherwise(0.0)), 4).alias("recall_at_10"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 4).alias("mrr"))
+
+
+@query()
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact, lexical and dense candidates of each benchmark item, fused: the first 10 documents.
+
+    Dense candidates come from the hashed embedding of words; every retriever gives at most
+    CANDIDATES documents a query.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    w = Window.partitionBy("query_id").orderBy("item")
+    exact = exact_search_case_sensitive(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= CANDIDATES)
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.any_terms(F.col("text"))).alias("term"))
+    p = postings(docs)
+    df = p.groupBy("term").agg(F.count("*").alias("df"))
+    scored = p.join(q.join(df, "term"), "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1) / F.col("df")), 9).alias("s"))
+    lw = Window.partitionBy("query_id").orderBy(F.desc("s"), "item")
+    lexical = scored.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item"), "s").withColumn("rank", F.row_number().over(lw)).where(F.col("rank") <= CANDIDATES)
+    bucket = F.transform(T.words(F.col("text")), lambda t: F.conv(F.substring(F.sha2(t, 256), 1, 6), 16, 10).cast("int") % 32)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.size(F.filter("t", lambda x: x == b)).cast("double"))
+    embedded = lambda d, i, sign: d.select((F.col(i) * sign - (1 if sign < 0 else 0)).alias("vec_id"), bucket.alias("t")).select("vec_id", counts.alias("v"))
+    near = dense.nearest(spark, embedded(table(spark, sf_dir, "benchmark"), "item_id", -1), embedded(docs, "doc_id", 1), CANDIDATES, "vec_id", "v")
+    near = near.select((-F.col("query_id") - 1).alias("query_id"), F.col("vec_id").alias("item"), "rank")
+    named = lambda d, n: d.select("query_id", "item", F.lit(n).alias("component"), "rank")
+    fused = fusion.reciprocal_rank_fusion(named(exact, "exact").unionByName(named(lexical, "lexical")).unionByName(named(near, "dense")))
+    return fused.where("rank <= 10").withColumn("score", F.round("score", 9))
