@@ -198,8 +198,12 @@ def fit(pages: list[str], passes: int = PASSES) -> Field:
 def train(pages: DataFrame, html: str = "html", id_col: str = "page_id", most: int = TRAIN_PAGES) -> Field:
     """A field trained on at most `most` labelled pages, those of the smallest hashes of the id."""
     marked = pages.where(pages[html].rlike("(?i)<(article|main)[\\s>]")).select(pages[html].alias("html"), F.xxhash64(pages[id_col]).alias("h"))
-    rows = marked.orderBy("h", "html").limit(most).collect()
-    return fit([r["html"] for r in rows])
+    # the hashes first, so that tasks don't send pages that aren't taken
+    last = marked.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if last is None:
+        return fit([])
+    rows = marked.where(F.col("h") <= last).limit(2 * most).collect()
+    return fit([r["html"] for r in sorted(rows, key=lambda r: (r["h"], r["html"]))[:most]])
 
 
 def main_text(html: str | None, field: Field) -> str:
