@@ -286,5 +286,5 @@ def near_duplicates(spark: SparkSession, df: DataFrame, text: str = "text", id_c
 
     groups = leaders.select("key", "leader").join(comps.withColumnRenamed("id", "leader"), "leader", "left").select("key", F.coalesce("comp", "leader").alias("comp"))
     out = sketched.select("id", "n", "key").join(groups, "key", "left")
-    component = F.coalesce("comp", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
