@@ -44,7 +44,7 @@ def find_phrases(texts: DataFrame, phrases: DataFrame, id_col: str, phrase_id: s
             for batch in batches:
                 row, found, position = [], [], []
                 for i, body in enumerate(batch.column(0).to_pylist()):
-                    if not body:
+                    if not body or not owners:
                         continue
                     if fold:
                         body = "".join(c if len(x := c.lower()) != 1 else x for c in body)
