@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators.chunking import chunk_documents
+from lodestone.sources import pages as page_source
 from lodestone.session import table
 
 from .catalog import query
@@ -156,6 +157,20 @@ def image_only_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.length("html").cast("long").alias("n_chars"), ((F.length("html") < 200) & F.lower("html").contains("<img")).alias("image_only"))
 
 
+@query()
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed blocks of all pages."""
+    return page_source.page_blocks(table(spark, sf_dir, "pages"))
+
+
+@query()
+def chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash of each chunk's provenance and text: equal source and sizes give equal hashes."""
+    span = F.transform("spans", lambda s: F.format_string("n%06d:%d-%d", s["node"], s["start"], s["end"]))
+    c = chunk_documents(table(spark, sf_dir, "documents"))
+    return c.select("doc_id", "ordinal", F.sha2(F.concat(F.array_join(span, "\n"), T.nul(), F.col("text")), 256).alias("fingerprint"))
+
+
 LINKS = "regexp_extract_all(html, '(?i)<a\\s[^>]*href=\"([^\"]*)\"', 1)"
 
 

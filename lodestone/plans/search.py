@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import dense, fusion
+from lodestone.operators import dense, fusion, lexical
 from lodestone.operators.chunking import chunk_documents
 from lodestone.operators.exact import find_phrases
 from lodestone.session import table
@@ -111,6 +111,16 @@ def lexical_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("conv_id", "turn").agg(strict.alias("strict_hits"), F.count("*").alias("any_hits"), F.when(strict > 0, "strict").otherwise("or_fallback").alias("strategy"))
 
 
+@query()
+def lexical_rank_cd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first documents for two words of each benchmark item, by cover density."""
+    by_length = F.array_sort(F.array_distinct(T.words(F.col("text"))), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.filter(by_length, lambda w: F.length(w) <= 5), 1, 2).alias("terms"))
+    ranked = lexical.rank_documents(table(spark, sf_dir, "documents"), q, "item_id")
+    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+    return ranked.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= CANDIDATES)
+
+
 COSINE = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 PAIRS = """r AS (SELECT q.vec_id AS query_id, c.vec_id, 1 - list_cosine_similarity(q.v, c.v) AS d FROM e q JOIN e c ON q.vec_id <> c.vec_id {scope} WHERE q.vec_id % 20 = 0),
     t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id)::INTEGER AS rank FROM r)
