@@ -54,14 +54,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The directory is the one the cluster names; where it is unset, as in tests, a
     temporary one is set.
     """
-    return ensure_checkpoint_dir(df.sparkSession, df)
-
-
-def ensure_checkpoint_dir(spark: SparkSession, df: DataFrame) -> DataFrame:
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
