@@ -127,9 +127,15 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT term, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS tf FROM (
     SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY term""")
 def postings_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document and term frequency of each word: one shuffle, pre-aggregated by document."""
-    per_doc = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+    """Document and term frequency of each word: one shuffle of terms, added up before it.
+
+    A row is a document, so what is distinct within it needs no shuffle by document.
+    """
+    words = T.words(F.col("text"))
+    every = F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("t")))
+    once = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("t")))
+    rows = table(spark, sf_dir, "documents").select(F.explode(F.concat(every, once)).alias("x")).select("x.*")
+    return rows.groupBy("term").agg(F.sum("d").alias("df"), F.sum("t").alias("tf"))
 
 
 EMBED = """e AS (
