@@ -34,8 +34,8 @@ from .common import checkpointed, words_of
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, (75, 100), 32, 4
 #: Hashes (of a byte each) for verification, compared so many at a time, and the miss probability.
 CHECKS, BATCH, MISS = 512, 64, 1e-6
-#: Documents of a band in a block.
-BLOCK = 512
+#: Documents of a band in a block; bytes of sets in a block for verification, and least blocks.
+BLOCK, SET_BYTES, SET_BLOCKS = 512, 16 << 20, 4
 #: Shingles hashed at a time, which bounds memory for very long texts.
 STRIDE = 4096
 KEPT = 300_000
@@ -101,7 +101,8 @@ def band_keys(members: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.n
 
 
 def check_bytes(members: np.ndarray) -> bytes:
-    return (signature(members, CHECKS, 2) >> U64(56)).astype(np.uint8).tobytes()
+    # mixed first, as the top bits of a minimum are mostly 0
+    return (_mix(signature(members, CHECKS, 2)) >> U64(56)).astype(np.uint8).tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -168,19 +169,20 @@ def _sets(size: int):
 
 
 def _verify(threshold: tuple[int, int], miss: float):
-    """Of pairs with both signatures and sets, those that are linked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(-1, CHECKS) for x in ("checks_a", "checks_b"))
-            live = survivors(a, b, threshold, miss)
-            xs, ys = batch.column("members_a"), batch.column("members_b")
-            sets = lambda column, i: np.frombuffer(column[int(i)].as_buffer(), np.uint64)
-            yes = [i for i in live if linked(sets(xs, i), sets(ys, i), threshold)]
-            at = pa.array(yes, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+    """Of the pairs of two blocks of documents, those that are linked."""
+
+    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        out = np.empty((2, 0), np.int64)
+        if sets.num_rows and pairs.num_rows:
+            ids = sets.column("id").to_numpy()
+            order = np.argsort(ids)
+            at = [order[np.searchsorted(ids[order], pairs.column(x).to_numpy())] for x in ("a", "b")]
+            checks = np.frombuffer(b"".join(sets.column("checks").to_pylist()), np.uint8).reshape(-1, CHECKS)
+            members = [np.frombuffer(x, np.uint64) for x in sets.column("members").to_pylist()]
+            live = np.concatenate([k + survivors(checks[at[0][k : k + STRIDE]], checks[at[1][k : k + STRIDE]], threshold, miss) for k in range(0, pairs.num_rows, STRIDE)])
+            yes = [i for i in live if linked(members[at[0][i]], members[at[1][i]], threshold)]
+            out = np.stack([ids[x[yes]] for x in at]) if yes else out
+        return pa.table({"a": out[0], "b": out[1]})
 
     return run
 
@@ -232,9 +234,18 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def _pairs(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("checks").alias(f"checks_{x}"), F.col("members").alias(f"members_{x}"))
-    return edges.join(side("a"), "a").join(side("b"), "b")
+def _linked_pairs(edges: DataFrame, sets: DataFrame, blocks: int, threshold: tuple[int, int], miss: float) -> DataFrame:
+    """The edges (a, b) that are links.
+
+    Documents fall into blocks. A pair is verified with its two blocks, to which each of
+    their documents' sets is sent once, however many of its pairs are there.
+    """
+    block = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks))
+    i, j = block("a"), block("b")
+    pairs = edges.select("a", "b", (F.least(i, j) * blocks + F.greatest(i, j)).alias("pair"))
+    needed = pairs.select("pair", F.explode(F.array("a", "b")).alias("id")).distinct()
+    sent = needed.join(sets, "id").select(F.col("pair").alias("to"), "id", "checks", "members")
+    return sent.groupBy("to").cogroup(pairs.groupBy("pair")).applyInArrow(_verify(threshold, miss), "a bigint, b bigint")
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -262,7 +273,8 @@ def near_duplicates(spark: SparkSession, df: DataFrame, text: str = "text", id_c
     star = rows.join(centre, "band").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
     sets = checkpointed(docs.join(rows.select("id").distinct(), "id").dropDuplicates(["id"]).mapInArrow(_sets(size), "id bigint, checks binary, members binary"))
-    links = checkpointed(_pairs(star, sets).mapInArrow(_verify(threshold, miss), "a bigint, b bigint"))
+    set_blocks = max(SET_BLOCKS, -(-(sets.agg(F.sum(F.length("members"))).first()[0] or 0) // SET_BYTES))
+    links = checkpointed(_linked_pairs(star, sets, set_blocks, threshold, miss))
     comps = checkpointed(components(links))
 
     # bands that hold several components
@@ -280,7 +292,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, text: str = "text", id_c
     inner = others.select("band", F.col("j").alias("i"), F.col("d").alias("l"), "others")
     inner = spread(inner, "j", "others").where("j >= i").join(others.select("band", "j", F.col("d").alias("r")), ["band", "j"]).select("l", "r")
     found = cross.unionByName(inner).mapInArrow(_across(threshold, miss), "a bigint, b bigint").distinct().join(star, ["a", "b"], "left_anti")
-    more = checkpointed(_pairs(found, sets).mapInArrow(_verify(threshold, miss), "a bigint, b bigint"))
+    more = checkpointed(_linked_pairs(found, sets, set_blocks, threshold, miss))
     if not more.isEmpty():
         comps = checkpointed(components(links.unionByName(more)))
 
