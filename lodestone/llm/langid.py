@@ -9,6 +9,7 @@ the profile lacks it. The nearest profile names the language.
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,37 +18,58 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-#: N-grams in a profile, and letters in the longest n-gram.
-PROFILE, LONGEST_GRAM = 400, 3
+#: N-grams in a profile, and characters of a long text that are read at a time.
+PROFILE, PART = 400, 1 << 18
 #: Languages that a label column may name; more than these raise, as profiles are held by each task.
 MOST_LANGUAGES = 1000
-KEPT, LONGEST_WORD = 300_000, 64
 UNKNOWN = "und"
 
+#: Bits of a letter in an n-gram's number.
+BITS = 21
+_SPACE = 32
 
-def letters(chunk: str) -> list[str]:
-    """Runs of letters of a chunk, lower-cased."""
-    chunk = chunk.lower()
-    if chunk.isalpha():
-        return [chunk]
-    return "".join(c if c.isalpha() else " " for c in chunk).split()
 
+@lru_cache(maxsize=1)
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
-def grams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for n in range(1, LONGEST_GRAM + 1) for i in range(len(padded) - n + 1) if n > 1 or padded[i] != " "]
 
+def codes(text: str) -> np.ndarray:
+    """All n-grams of a text as numbers.
 
-def code(gram: str) -> int:
-    """A number for an n-gram that is its own (21 bits a letter)."""
-    out = 0
-    for c in gram:
-        out = out << 21 | ord(c)
-    return out
+    Letters are lower-cased, words (runs of letters) stand between single blanks, and
+    n-grams are a letter, or two or three characters with a blank at an end at most.
+    """
+    return _codes(text.lower())[0]
+
+
+def codes_of_many(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of several chunks, and the number of the chunk that each is in."""
+    chunks = [x.lower() for x in chunks]
+    grams, place = _codes(" ".join(chunks))
+    ends = np.cumsum([len(x) + 1 for x in chunks])
+    return grams, np.minimum(np.searchsorted(ends, place, side="right"), len(chunks) - 1)
 
 
-def profiles(df: DataFrame, text: str, lang: str, size: int = PROFILE) -> dict[str, list[str]]:
-    """The `size` most frequent n-grams of each language, over all rows with text and label, ties by n-gram."""
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams, and the place of a letter in each."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    c = np.concatenate([[_SPACE], np.where(_is_letter()[c], c, _SPACE), [_SPACE]]).astype(np.int64)
+    blank = c == _SPACE
+    kept = np.flatnonzero(np.append(True, ~(blank[1:] & blank[:-1])))
+    c = c[kept]
+    letter = c != _SPACE
+    if not letter.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    place = kept - 1
+    two = c[:-1] << BITS | c[1:]
+    inner = np.flatnonzero(letter[1:-1])
+    three = (two[:-1] << BITS | c[2:])[inner]
+    return np.concatenate([c[letter], two, three]), np.concatenate([place[letter], np.where(letter[:-1], place[:-1], place[1:]), place[1:-1][inner]])
+
+
+def profiles(df: DataFrame, text: str, lang: str, size: int = PROFILE) -> dict[str, list[int]]:
+    """The `size` most frequent n-grams of each language, over all rows with text and label, ties by number."""
 
     def count(batch: pa.RecordBatch) -> dict:
         words: dict[str, Counter] = {}
@@ -55,20 +77,24 @@ def profiles(df: DataFrame, text: str, lang: str, size: int = PROFILE) -> dict[s
             words.setdefault(name, Counter()).update(x.split())
         out: dict[str, list] = {"lang": [], "gram": [], "n": []}
         for name, seen in words.items():
-            total: dict[str, int] = {}
-            for chunk, n in seen.items():
-                for word in letters(chunk):
-                    for g in grams(word):
-                        total[g] = total.get(g, 0) + n
+            # each distinct chunk once, by its number of occurrences
+            total: Counter = Counter()
+            chunks = list(seen)
+            for i in range(0, len(chunks), 50_000):
+                part = chunks[i : i + 50_000]
+                grams, owner = codes_of_many(part)
+                found, at = np.unique(grams, return_inverse=True)
+                sums = np.bincount(at, np.array([seen[x] for x in part])[owner])
+                total.update(dict(zip(found.tolist(), sums.astype(np.int64).tolist(), strict=True)))
             out["lang"] += [name] * len(total)
             out["gram"] += total.keys()
             out["n"] += total.values()
         return out
 
     rows = df.where(df[text].isNotNull() & df[lang].isNotNull()).select(df[text].alias("text"), df[lang].alias("lang"))
-    counted = map_rows(rows, count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = map_rows(rows, count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
-    out: dict[str, list[str]] = {}
+    out: dict[str, list[int]] = {}
     for r in sorted(top.limit(size * MOST_LANGUAGES + 1).collect(), key=lambda r: (r["lang"], r["rank"])):
         out.setdefault(r["lang"], []).append(r["gram"])
     if len(out) > MOST_LANGUAGES:
@@ -76,53 +102,46 @@ def profiles(df: DataFrame, text: str, lang: str, size: int = PROFILE) -> dict[s
     return out
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text and their counts; a long text is read in parts, cut at blanks where there are any."""
+    if len(text) <= PART:
+        return np.unique(codes(text), return_counts=True)
+    grams, n, at = np.empty(0, np.int64), np.empty(0, np.int64), 0
+    while at < len(text):
+        end = at + PART
+        cut = text.rfind(" ", at + 1, end) if end < len(text) else -1
+        end = cut if cut > 0 else end
+        more, m = np.unique(codes(text[at:end]), return_counts=True)
+        both, where = np.unique(np.concatenate([grams, more]), return_inverse=True)
+        n = np.bincount(where, np.concatenate([n, m]), len(both)).astype(np.int64)
+        grams, at = both, end
+    return grams, n
+
+
 class Identifier:
-    """Compares texts with profiles. Holds what it has learned of chunks."""
+    """Compares texts with profiles."""
 
-    def __init__(self, ranked: dict[str, list[str]], size: int = PROFILE):
+    def __init__(self, ranked: dict[str, list[int]], size: int = PROFILE):
         self.names, self.size = sorted(ranked), size
-        self.known = {name: {code(g): i for i, g in enumerate(ranked[name])} for name in self.names}
-        self.number: dict[int, int] = {}
-        self.codes = np.empty(1 << 12, np.int64)
-        self.ranks = np.empty((len(self.names), 1 << 12), np.int64)
-        self.kept: dict[str, np.ndarray] = {}
-
-    def _number(self, gram: int) -> int:
-        i = self.number.setdefault(gram, len(self.number))
-        if i == len(self.codes):
-            self.codes = np.concatenate([self.codes, np.empty_like(self.codes)])
-            self.ranks = np.concatenate([self.ranks, np.empty_like(self.ranks)], axis=1)
-        self.codes[i] = gram
+        self.known = np.unique(np.array([g for x in ranked.values() for g in x], np.int64))
+        self.ranks = np.full((len(self.names), len(self.known) + 1), -1, np.int64)  # the last column is for all others
         for k, name in enumerate(self.names):
-            self.ranks[k, i] = self.known[name].get(gram, -1)
-        return i
-
-    def learn(self, chunk: str) -> np.ndarray:
-        number = self.number
-        got = np.array([number[c] if (c := code(g)) in number else self._number(c) for word in letters(chunk) for g in grams(word)], np.int32)
-        if len(chunk) <= LONGEST_WORD:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            self.kept[chunk] = got
-        return got
+            self.ranks[k, np.searchsorted(self.known, ranked[name])] = np.arange(len(ranked[name]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and a score: one less the mean distance over the largest one."""
         if not text or not self.names:
             return UNKNOWN, 0.0
-        kept, learn = self.kept, self.learn
-        parts = [x if (x := kept.get(c)) is not None else learn(c) for c in text.split()]
-        ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        if not len(ids):
+        grams, n = counted(text)
+        if not len(grams):
             return UNKNOWN, 0.0
-        count = np.bincount(ids)
-        some = np.flatnonzero(count)
-        n = count[some]
-        if len(some) > self.size:  # all that may be among the first
+        if len(grams) > self.size:  # all that may be among the first
             enough = np.partition(n, len(n) - self.size)[-self.size]
-            some, n = some[n >= enough], n[n >= enough]
-        top = some[np.lexsort((self.codes[some], -n))][: self.size]
-        ranks = self.ranks[:, top]
+            grams, n = grams[n >= enough], n[n >= enough]
+        top = grams[np.lexsort((grams, -n))][: self.size]
+        at = np.searchsorted(self.known, top)
+        at[at == len(self.known)] = 0
+        ranks = self.ranks[:, np.where(self.known[at] == top, at, len(self.known))]
         far = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(top)))).sum(1)
         best = int(far.argmin())
         return self.names[best], float(1 - far[best] / (self.size * len(top)))
@@ -131,7 +150,7 @@ class Identifier:
 _made: dict[str, Identifier] = {}
 
 
-def identifier(ranked: dict[str, list[str]], size: int) -> Identifier:
+def identifier(ranked: dict[str, list[int]], size: int) -> Identifier:
     key = repr((ranked, size))
     if key not in _made:
         _made.clear()
