@@ -17,6 +17,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,27 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-KEPT, LONGEST = 300_000, 64
+#: Chunks in each half of what a worker remembers, and the longest that it remembers.
+KEPT, LONGEST = 250_000, 64
+#: Texts whose new chunks are learned together.
+SHARE = 200
+
+
+def simple(text: str) -> bool:
+    """Whether a text is Latin-1: there lower-casing goes letter by letter, and nothing is composed."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class ChunkEncoder:
     """Ids of texts by the tokenizers library, kept by chunk between spaces and newlines.
 
-    For vocabularies that drop white space: no token then reaches over a space or newline.
+    For vocabularies that lower-case, drop white space, part letters from other signs and
+    end words with </w>: no token then reaches over a space, a newline or the end of a run
+    of letters. New words go to the library together, and are told apart by their ends.
     """
 
     def __init__(self, path: str):
@@ -41,25 +56,69 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        got = self.library.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(chunks, got, strict=True)}
+        """Ids of chunks that aren't known."""
+        words = list({x for c in chunks if (x := c if c.isalpha() else c[:-1]).isalpha()})
+        known = self.spelled(words)
+        out, rest = {}, []
+        for c in chunks:
+            if (got := known.get(c)) is not None:
+                out[c] = got
+            elif c and c[-1] in ".," and (got := known.get(c[:-1])) is not None:
+                out[c] = got + self.mark(c[-1])
+            else:
+                rest.append(c)
+        if rest:
+            got = self.library.encode_batch_fast(rest, add_special_tokens=False)
+            out.update((c, np.asarray(e.ids, "<u4").tobytes()) for c, e in zip(rest, got, strict=True))
+        return out
+
+    def spelled(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters only."""
+        ids = np.asarray(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):  # a word that isn't one for the library
+            return {}
+        packed, out, a = ids.tobytes(), {}, 0
+        for w, b in zip(words, (4 * stops).tolist(), strict=True):
+            out[w] = packed[a:b]
+            a = b
+        return out
+
+    @lru_cache(maxsize=8)  # noqa: B019  one encoder per worker
+    def mark(self, c: str) -> bytes:
+        return np.asarray(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        chunks = (text or "").replace("\n", " ").split(" ")
-        kept = self.kept
-        try:
-            return b"".join(map(kept.__getitem__, chunks))
-        except KeyError:
-            pass
-        new = self.learn(list({c for c in chunks if c not in kept}))
-        if len(kept) > KEPT:
-            kept.clear()
-            new = self.learn(list(set(chunks)))
-        kept.update((c, ids) for c, ids in new.items() if len(c) <= LONGEST)
-        return b"".join([new[c] if c in new else kept[c] for c in chunks])
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list) -> Iterator[bytes]:
+        """Packed ids of each text; what is new in all of them is learned at once."""
+        cut = []
+        for x in texts:
+            x = x or ""
+            if simple(x):
+                x = x.lower()
+            cut.append(x.replace("\n", " ").split(" "))
+        kept, older = self.kept, self.older
+        new = {c for chunks in cut for c in chunks if c not in kept}
+        again = {c: older[c] for c in new if c in older}
+        again |= self.learn([c for c in new if c not in again])
+        if len(kept) + len(again) > KEPT:
+            self.older = kept
+            again |= {c: kept[c] for chunks in cut for c in chunks if c in kept}
+            kept = self.kept = {}
+        kept.update(again)
+        for chunks in cut:
+            yield b"".join(map(kept.__getitem__, chunks))
+        for c in [c for c in again if len(c) > LONGEST]:
+            del kept[c]
 
 
 @lru_cache(maxsize=2)
@@ -74,11 +133,13 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int, text: str, id_c
     schema = f"id {kind.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path).encode_all
         for batch in batches:
             at, piece, length, crc, ids = [], [], [], [], []
-            for i, x in enumerate(batch.column(1).to_pylist()):
-                packed = encode(x) + end
+            texts = batch.column(1).to_pylist()
+            shares = (encode(texts[i : i + SHARE]) for i in range(0, len(texts), SHARE))
+            for i, packed in enumerate(chain.from_iterable(shares)):
+                packed += end
                 for j, a in enumerate(range(0, len(packed), 4 * capacity)):
                     part = packed[a : a + 4 * capacity]
                     at.append(i)
