@@ -28,14 +28,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, tasks_for, total_bytes
 
 #: Bytes of the hashed strings within a window, of those that re-check a run, and windows in a run at most.
 GRAM, LONG_GRAM, RUN = 16, 33, 48
 #: Unlike runs of a key that one task compares; a key with more goes by whole windows.
 HOT = 1500
-#: Groups of keys per partition, so that partitions come out alike.
-SPREAD = 8
+#: Groups of keys per partition, so that partitions come out alike, and bytes that are hashed at a time.
+SPREAD, SLICE = 8, 8 << 20
+#: Bytes of text for each partition.
+TASK_BYTES = 16 << 20
 
 U64 = np.uint64
 _TABLE = np.random.default_rng(11).integers(1, 2**64, 256, dtype=np.uint64)
@@ -109,7 +111,7 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, .
     return first, size, key[first], content
 
 
-# -- packed runs: sorted by key, as columns of bytes, which compress well in a shuffle
+# -- packed runs: by rising key, as columns of bytes, compressed
 
 
 def _planes(x: np.ndarray, n: int) -> bytes:
@@ -122,26 +124,47 @@ def _unplanes(raw: np.ndarray, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_WIDTHS = (5, 6, 8, 4, 1)  # of the key within its group, the content's hash, the document, the place, the size
+#: Bytes of the key within its group, the content's hash, the document, the place, the size.
+#: Runs count as alike if group, key and content agree, some 80 bits together.
+_WIDTHS = (4, 5, 8, 4, 1)
+_KEY = U64(2**32 - 1)
 
 
 def _pack(group: np.ndarray, columns: tuple, groups: int) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(group, kind="stable")
+    """Blobs by group of the columns key, content, document, place and size."""
+    zipped = zstandard.ZstdCompressor(level=1).compress
+    key = columns[0] & _KEY
+    order = np.argsort(group.astype(np.uint64) << U64(32) | key)
     at = np.searchsorted(group[order], np.arange(groups + 1))
-    columns = [x[order] for x in columns]
+    columns = [key[order], *(x[order] for x in columns[1:])]
     for g in np.flatnonzero(np.diff(at)).tolist():
-        part = slice(at[g], at[g + 1])
-        yield g, b"".join(_planes(x[part], n) for x, n in zip(columns, _WIDTHS, strict=True))
+        key, content, doc, place, size = (x[at[g] : at[g + 1]] for x in columns)
+        low = doc.min()
+        parts = (np.diff(key, prepend=U64(0)), content, doc - low, place, size)
+        yield g, zipped(np.int64(low).tobytes() + b"".join(_planes(x, n) for x, n in zip(parts, _WIDTHS, strict=True)))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
-    raw, n, out, at = np.frombuffer(blob, np.uint8), len(blob) // sum(_WIDTHS), [], 0
+    blob = zstandard.ZstdDecompressor().decompress(blob)
+    raw, out, at = np.frombuffer(blob, np.uint8, offset=8), [], 0
+    n = len(raw) // sum(_WIDTHS)
     for width in _WIDTHS:
         out.append(_unplanes(raw[at : at + n * width], width))
         at += n * width
+    out[0] = out[0].cumsum(dtype=np.uint64)
+    out[2] = out[2].view(np.int64) + np.frombuffer(blob[:8], "<i8")
     return out
 
 
+def _asked(place: np.ndarray, size: np.ndarray, number: np.ndarray) -> bytes:
+    return place.astype("<u4").tobytes() + number.astype("<u8").tobytes() + size.astype(np.uint8).tobytes()
+
+
+def _asks(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(blob) // 13
+    return tuple(np.frombuffer(blob, t, n, at).astype(np.int64) for t, at in (("<u4", 0), (np.uint8, 12 * n), ("<u8", 4 * n)))
+
+
 def _batch(rows: Iterator[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
@@ -155,16 +178,19 @@ def _encoded(texts: list) -> list[bytes]:
     return [(x or "").encode("utf-8", "surrogatepass") for x in texts]
 
 
-def _slices(texts: list[bytes], most: int = 8 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `most` bytes together."""
-    start = size = 0
+def _segments(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Groups of (number of the text, place, bytes) of about SLICE bytes; long texts are cut so that each window is in one part."""
+    group, size = [], 0
     for i, x in enumerate(texts):
-        size += len(x)
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+        for a in range(0, len(x) - length + 1, SLICE):
+            part = x[a : a + SLICE + length - 1]
+            group.append((i, a, part))
+            size += len(part)
+            if size >= SLICE:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
 
 
 def _find_runs(length: int, groups: int):
@@ -177,17 +203,15 @@ def _find_runs(length: int, groups: int):
                     least[x] = i
             texts, owners = list(least), np.array(list(least.values()), np.int64)
             kept: list[list] = []
-            for a, b in _slices(texts):
-                ends = np.cumsum([len(x) for x in texts[a:b]])
-                first, size, key, content = runs(np.frombuffer(b"".join(texts[a:b]), np.uint8), ends, length)
-                doc = np.searchsorted(ends, first, side="right")
-                place = first - np.append(0, ends)[doc]
-                kept.append([key, content, ids[owners[a:b]][doc], place, size])
+            for group in _segments(texts, length):
+                ends = np.cumsum([len(x) for *_, x in group])
+                first, size, key, content = runs(np.frombuffer(b"".join([x for *_, x in group]), np.uint8), ends, length)
+                part = np.searchsorted(ends, first, side="right")
+                owner, start = (np.array([x[k] for x in group])[part] for k in (0, 1))
+                kept.append([key, content, ids[owners[owner]], start + first - np.append(0, ends)[part], size])
             if kept:
                 key, *rest = (np.concatenate(x) for x in zip(*kept, strict=True))
-                order = np.argsort(key)
-                group = (key[order] % U64(groups)).astype(np.int64)
-                yield _batch(_pack(group, tuple(x[order] for x in ((key // U64(groups)), *rest)), groups), _GROUPED)
+                yield _batch(_pack((key % U64(groups)).astype(np.int64), (key // U64(groups), *rest), groups), _GROUPED)
 
     return run
 
@@ -233,15 +257,18 @@ def _replies(doc, place, size, number, gone, ask, hot) -> pa.RecordBatch:
     def rows():
         for part in np.split(some, starts[1:]) if len(some) else ():
             a, b = part[gone[part]], part[ask[part]]
-            asked = np.stack([place[b], size[b] + 64 * hot[b], number[b].view(np.int64)]).astype("<i8")
-            yield int(doc[part[0]]), np.stack([place[a], place[a] + size[a]]).astype("<u4").tobytes(), asked.tobytes()
+            yield int(doc[part[0]]), place[a].astype("<u4").tobytes() + size[a].astype(np.uint8).tobytes(), _asked(place[b], size[b] + 64 * hot[b], number[b])
 
     return _batch(rows(), _REPLY)
 
 
 def _spans(blobs: list[bytes]) -> np.ndarray:
     """First windows and ends (of windows) of the runs in the blobs."""
-    return np.concatenate([np.frombuffer(x, "<u4").reshape(2, -1) for x in blobs], axis=1).astype(np.int64) if blobs else np.empty((2, 0), np.int64)
+    if not blobs:
+        return np.empty((2, 0), np.int64)
+    counts = [len(x) // 5 for x in blobs]
+    place = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(blobs, counts, strict=True)]).astype(np.int64)
+    return np.stack([place, place + np.concatenate([np.frombuffer(x, np.uint8, n, 4 * n) for x, n in zip(blobs, counts, strict=True)])])
 
 
 _UNLIKE = [("group", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())]
@@ -251,13 +278,13 @@ def _fetch(length: int, groups: int):
     """The bytes of the runs asked for, dealt out by key; of hot keys each window by its content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
+        unzip, zipped = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             by: dict[int, list] = {}
             wide: list[list] = []
             for doc, packed, asks in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 text = unzip.decompress(packed)
-                place, size, number = np.concatenate([np.frombuffer(x, "<i8").reshape(3, -1) for x in asks], axis=1)
+                place, size, number = (np.concatenate(x) for x in zip(*map(_asks, asks), strict=True))
                 hot = size >= 64
                 if hot.any():
                     data = np.frombuffer(text, np.uint8)
@@ -270,8 +297,9 @@ def _fetch(length: int, groups: int):
                     by.setdefault(k % groups, []).append((k, doc, p, text[p : p + n + length - 1]))
             rows = []
             for g, found in by.items():
+                found.sort(key=lambda x: x[0])  # runs of a key look alike
                 head = np.array([[k, d, p, len(x)] for k, d, p, x in found], "<i8")
-                rows.append((g, 0, np.int64(len(found)).tobytes() + head.tobytes() + b"".join(x for *_, x in found)))
+                rows.append((g, 0, zipped(np.int64(len(found)).tobytes() + head.T.tobytes() + b"".join(x for *_, x in found))))
             if wide:
                 key, *rest = (np.concatenate(x) for x in zip(*wide, strict=True))
                 group = (key % U64(groups)).astype(np.int64)
@@ -332,17 +360,18 @@ def _expand(length: int):
 
     def solve(blobs: list[bytes]) -> pa.RecordBatch | None:
         heads, bodies = [], []
-        for blob in blobs:
+        for blob in map(zstandard.ZstdDecompressor().decompress, blobs):
             n = int(np.frombuffer(blob[:8], "<i8")[0])
-            heads.append(np.frombuffer(blob[8 : 8 + 32 * n], "<i8").reshape(-1, 4))
+            heads.append(np.frombuffer(blob[8 : 8 + 32 * n], "<i8").reshape(4, -1).T)
             bodies.append(np.frombuffer(blob, np.uint8, offset=8 + 32 * n))
         head, body = np.concatenate(heads), np.concatenate(bodies)
         doc, place, size = head[:, 1], head[:, 2], head[:, 3]
         end = np.cumsum(size)
+        start = end - size
         # a second, stricter key leaves out runs that share only a few bytes by chance
         windows = size - length + 1
         owner = np.repeat(np.arange(len(size)), windows)
-        at = np.repeat(end - size, windows) + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        at = np.repeat(start, windows) + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         key = sliding_min(gram_hashes(body, LONG_GRAM), length - LONG_GRAM + 1)[at]
         _, number = np.unique(key, return_inverse=True)
         low = np.full(number.max() + 1, np.iinfo(np.int64).max)
@@ -373,9 +402,11 @@ def _expand(length: int):
         gone = low[number] < doc[owner]
         if not gone.any():
             return None
-        d, p = doc[owner[gone]], (place - (end - size))[owner[gone]] + at[gone]
-        ones = np.ones(len(d), np.int64)
-        return _replies(d, p, ones, ones.view(np.uint64), ones > 0, ones < 0, ones < 0)
+        owner, at = owner[gone], at[gone]
+        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)))
+        size, owner = np.diff(np.append(first, len(at))), owner[first]
+        yes = np.ones(len(first), bool)
+        return _replies(doc[owner], place[owner] + at[first] - start[owner], size, size.view(np.uint64), yes, ~yes, ~yes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
@@ -439,7 +470,7 @@ def dedup(spark: SparkSession, df: DataFrame, length: int = 50, text: str = "tex
     """
     if length <= RUN:
         raise ValueError(f"strings of at least {RUN + 1} bytes are looked for")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = tasks_for(spark, total_bytes(df, text), TASK_BYTES)
     groups = partitions * SPREAD
     docs = df.select(df[id_col].cast("long").alias("id"), df[text].alias("text"))
     extra = [F.struct(*[df[x] for x in carry]).alias("carried")] if carry else []
