@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import zstandard
-from lodestone.llm import html_crf, langid, minhash, packing, quality, suffix_dedup, topk
+from lodestone.llm import html_crf, langid, maxent_lm, minhash, packing, quality, suffix_dedup, topk
 from lodestone.llm.bpe_automaton import Codec
 from lodestone.llm.token_counts import Counter as TokenCounter
 from tokenizers import Tokenizer
@@ -205,3 +205,32 @@ def test_pages_without_article_markup(spark):
         exact += html_crf.main_text(page, field) == want
         bare += html_crf.main_text(page.replace("article>", "div>"), field) == want
     assert exact == len(pages) - 25 and bare >= 0.8 * exact
+
+
+def test_language_model_beats_its_base_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    train = langid.F.crc32(docs["doc_id"].cast("string").cast("binary")) % 5 != 1
+    got = {r["doc_id"]: r for r in maxent_lm.score(spark, docs, train).collect()}
+    counts: Counter = Counter()
+    held = []
+    for r in docs.select("doc_id", "text").collect():
+        tokens = [*maxent_lm.words_of(r["text"]), b""]
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1:
+            held.append((r["doc_id"], tokens))
+        else:
+            counts.update(tokens)
+    total, distinct = sum(counts.values()), len(counts)
+    for i, tokens in held:
+        want = sum(np.log10((counts[t] + 0.5) / (total + 0.5 * (distinct + 1))) for t in tokens)
+        assert np.isclose(got[i]["base_score"], want) and got[i]["n_known"] == sum(t in counts for t in tokens)
+        assert (got[i]["n_tokens"], got[i]["train_tokens"]) == (len(tokens), total)
+    ids = [i for i, _ in held]
+    assert sum(got[i]["score"] for i in ids) > 0.98 * sum(got[i]["base_score"] for i in ids)
+
+
+def test_language_model_is_a_distribution():
+    r = np.random.default_rng(11)
+    model = maxent_lm.Model({}, np.ones(maxent_lm.BUCKETS), r.normal(0, 0.3, (maxent_lm.HASHED, maxent_lm.CLASSES + maxent_lm.MEMBERS)).astype(np.float32))
+    history = r.integers(0, maxent_lm.BUCKETS, 5)
+    total = sum(np.exp(maxent_lm.log_prob(model, np.append(history, b), np.array([0]))[-1]) for b in range(maxent_lm.BUCKETS))
+    assert np.isclose(total, 1, atol=1e-4)
