@@ -34,8 +34,9 @@ from .common import checkpointed, tasks_for, total_bytes
 GRAM, LONG_GRAM, RUN = 16, 33, 48
 #: Unlike runs of a key that one task compares; a key with more goes by whole windows.
 HOT = 1500
-#: Groups of keys per partition, so that partitions come out alike, and bytes that are hashed at a time.
-SPREAD, SLICE = 8, 8 << 20
+#: Groups of keys per partition, so that partitions come out alike: of all runs, and of the
+#: far fewer unlike ones, where every task sends a row to each group. Bytes hashed at a time.
+SPREAD, ASK_SPREAD, SLICE = 8, 2, 8 << 20
 #: Bytes of text for each partition.
 TASK_BYTES = 16 << 20
 
@@ -483,7 +484,7 @@ def dedup(spark: SparkSession, df: DataFrame, length: int = 50, text: str = "tex
     kind = f", carried {whole.schema['carried'].dataType.simpleString()}" if carry else ""
     whole = whole.mapInArrow(_zipped, f"id bigint, packed binary{kind}")
     asked = replies.where(F.length("ask") > 0).groupBy("id").agg(F.collect_list("ask").alias("asks"))
-    unlike = packed.join(asked, "id").select("id", "packed", "asks").mapInArrow(_fetch(length, groups), "group int, kind int, blob binary")
+    unlike = packed.join(asked, "id").select("id", "packed", "asks").mapInArrow(_fetch(length, partitions * ASK_SPREAD), "group int, kind int, blob binary")
     more = unlike.repartition(partitions, "group").mapInArrow(_expand(length), "id bigint, gone binary, ask binary")
 
     # copies of a whole text are gone
