@@ -2,12 +2,14 @@
 
 Base rules count words, symbols, repeated lines and repeated 8-word windows. The verdict
 on the rest is by compression: the zstandard ratio (bytes / compressed bytes) of the whole
-text, within limits that depend on its length, and of each of its fixed chunks. Above the
+text and of each of its fixed chunks, within limits that depend on length and script. Above the
 upper limit a text repeats itself, below the lower one it is noise.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -21,12 +23,13 @@ SPACES = " \t\n\v\f\r"
 WINDOW = 8
 LEVEL = 3
 CHUNK = 2048
-#: From so many bytes on, the least and the largest ratio of a whole text. Prose of a few
-#: hundred bytes gains little; its ratio rises with length. The upper limits lie some 5 %
-#: above the largest ratio of texts labelled good.
-BANDS = ((0, 0.5, 1.9), (200, 1.05, 2.0), (400, 1.15, 2.15), (800, 1.3, 2.26), (1600, 1.45, 2.36), (3200, 1.6, 2.46), (6400, 1.7, 2.55), (12800, 1.75, 2.64), (51200, 1.8, 2.72))
-#: The same for a whole chunk of CHUNK bytes.
-CHUNK_BAND = (1.3, 2.7)
+#: From so many bytes on, the least ratio of a whole text; of a chunk CHUNK_LEAST is enough.
+LEAST = ((0, 0.5), (200, 1.05), (400, 1.15), (800, 1.3), (1600, 1.45), (3200, 1.6), (6400, 1.7), (12800, 1.75), (51200, 1.8))
+CHUNK_LEAST = 1.3
+#: The largest ratio of a text of 256 characters, and how much it rises when the length
+#: doubles. Prose of any subject has to stay below, legal texts and manuals too: they reach
+#: 2.8 at 8 KB and 3.0 at 17 KB.
+MOST, RISE = 2.4, 0.2
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -52,16 +55,34 @@ def ratio(compress, data: bytes) -> float:
     return len(data) / len(compress(data))
 
 
-def in_bands(data: bytes, compress, bands=BANDS, chunk_band=CHUNK_BAND, chunk: int = CHUNK) -> tuple[bool, float]:
-    """Whether the whole and each full chunk are within their limits; the whole's ratio."""
+def limits(data: bytes) -> tuple[float, float]:
+    """The least and the largest ratio of so many bytes.
+
+    The upper one goes by characters and rises with the square root of their bytes, as the
+    lead bytes of a script say little.
+    """
+    n = len(data)
+    chars = max(1, n - int(np.count_nonzero(np.frombuffer(data, np.uint8) & 0xC0 == 0x80)))
+    least = next(x for at, x in reversed(LEAST) if n >= at)
+    return least, (MOST + RISE * math.log2(chars / 256)) * math.sqrt(n / chars)
+
+
+def in_bands(data: bytes, compress, chunk: int = CHUNK) -> tuple[bool, float]:
+    """Whether the whole and each chunk, the last partial one too, are within their limits; the whole's ratio."""
     if not data:
         return False, 0.0
-    _, least, most = next(x for x in reversed(bands) if len(data) >= x[0])
     whole = ratio(compress, data)
-    good = least <= whole <= most
-    if good and len(data) >= chunk:
-        good = all(chunk_band[0] <= ratio(compress, data[i : i + chunk]) <= chunk_band[1] for i in range(0, len(data) - chunk + 1, chunk))
-    return good, whole
+    least, most = limits(data)
+    if not least <= whole <= most:
+        return False, whole
+    # a rest too short for limits of its own belongs to the chunk before it
+    starts = range(0, max(1, len(data) - LEAST[1][0] + 1), chunk) if len(data) > chunk else ()
+    for i in starts:
+        part = data[i : i + chunk if i != starts[-1] else len(data)]
+        least, most = limits(part)
+        if not min(least, CHUNK_LEAST) <= ratio(compress, part) <= most:
+            return False, whole
+    return True, whole
 
 
 def measure(text: str | None, compress) -> tuple:
