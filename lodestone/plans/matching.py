@@ -166,3 +166,18 @@ def sibling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").join(suppliers, "p_partkey")
     first = c.groupBy("p_name", "p_brand").agg(F.min_by(F.struct("p_partkey", "s"), "p_partkey").alias("w"))
     return c.join(first, ["p_name", "p_brand"]).where("p_partkey <> w.p_partkey").select("p_partkey", F.col("w.p_partkey").alias("work"), F.arrays_overlap("s", "w.s").alias("shared"))
+
+
+@query("""WITH k AS (SELECT DISTINCT p_partkey, p_name, p_brand, l_suppkey FROM part JOIN lineitem ON l_partkey = p_partkey),
+    w AS (SELECT p_name, p_brand, l_suppkey, min(p_partkey) AS sibling FROM k GROUP BY ALL)
+    SELECT DISTINCT p_partkey, sibling FROM k JOIN w USING (p_name, p_brand, l_suppkey) WHERE p_partkey <> sibling""")
+def sibling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of one name and brand that share any contributor, each linked with the smallest of a contributor's.
+
+    All that share one are linked through it, so n parts of a contributor give n - 1 links.
+    """
+    suppliers = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct()
+    c = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").join(suppliers, "p_partkey")
+    keys = ["p_name", "p_brand", "l_suppkey"]
+    low = c.groupBy(keys).agg(F.min("p_partkey").alias("sibling"))
+    return c.join(low, keys).where("p_partkey <> sibling").select("p_partkey", "sibling").distinct()
