@@ -38,10 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier ones have; a character cut in two goes too."""
-    out = suffix_dedup.dedup(spark, docs, length=50, carry=("lang", "source"))
-    # bytes that begin no character, or belong to one that was cut
-    text = F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
-    return out.select("doc_id", text.alias("text"), "carried.lang", "carried.source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    out = suffix_dedup.dedup(spark, docs, length=50, carry=("lang", "source"), characters=True)
+    return out.select("doc_id", F.col("kept").cast("string").alias("text"), "carried.lang", "carried.source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -427,7 +427,7 @@ def _expand(length: int):
     return run
 
 
-def _cut(length: int, carried: bool):
+def _cut(length: int, carried: bool, characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -446,7 +446,11 @@ def _cut(length: int, carried: bool):
                     np.add.at(edges, spans[1] + length - 1, -1)
                     gone = edges.cumsum()[:n] > 0
                     starts = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
-                    rows.append((doc, n, int(gone.sum()), starts, np.frombuffer(text, np.uint8)[~gone].tobytes()))
+                    data, removed = np.frombuffer(text, np.uint8), int(gone.sum())
+                    if characters:  # what is left of a character that was cut goes too
+                        char = np.cumsum(data & 0xC0 != 0x80)
+                        gone = (np.bincount(char, gone) > 0)[char]
+                    rows.append((doc, n, removed, starts, data[~gone].tobytes()))
             out = _batch(iter(rows), [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
             yield out.append_column("carried", batch.column(4)) if carried else out
 
@@ -460,11 +464,11 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["id", "packed", "carried"][: len(columns)])
 
 
-def dedup(spark: SparkSession, df: DataFrame, length: int = 50, text: str = "text", id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(spark: SparkSession, df: DataFrame, length: int = 50, text: str = "text", id_col: str = "doc_id", carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
     """What is left of every row's whole text, as bytes, once repeated strings are removed.
 
     Returns id_col (long), n_bytes, n_removed, n_spans (maximal removed runs), kept (binary,
-    which may cut a character in two) and, if there are columns to carry, the struct carried. A null text is empty; a text shorter than
+    which may cut a character in two, unless `characters` drops what is left of such) and, if there are columns to carry, the struct carried. A null text is empty; a text shorter than
     `length` loses nothing. An id names one text: rows that repeat an id and text all get
     the same result. A row with a null id is compared with nothing and keeps its text. An
     empty table gives no rows; columns may have any name.
@@ -494,5 +498,5 @@ def dedup(spark: SparkSession, df: DataFrame, length: int = 50, text: str = "tex
     gone = replies.select("id", "gone").unionByName(more.select("id", "gone")).where(F.length("gone") > 0).groupBy("id").agg(F.collect_list("gone").alias("spans"))
     about = gone.join(copies, "id", "full")
     cut = whole.join(about, "id", "left").select("id", "packed", "copy", "spans", *["carried"] * bool(carry))
-    out = cut.mapInArrow(_cut(length, bool(carry)), f"id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary{kind}")
+    out = cut.mapInArrow(_cut(length, bool(carry), characters), f"id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary{kind}")
     return out.withColumnRenamed("id", id_col)

@@ -51,5 +51,15 @@ def test_stages_against_brute_force(spark):
     assert max(ends.values()) <= 4096 and len(ends) <= np.ceil(sum(tokens.values()) / 4096) + 1
 
 
+def test_replacement_characters_of_the_input_stay(spark):
+    shared = "passage that both of the documents have, é and all of it, é"
+    rows = [(1, "\ufffd first \ufffd" + shared + "€"), (2, "a \ufffd b\ufffd" + shared + "₭ \ufffd end"), (3, "alone \ufffd")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in dict(corpus_pipeline.STAGES)["suffix-array dedup"](spark, docs, DATA).collect()}
+    # the run takes the last bytes before it and the first of the sign after it, which are equal in both
+    assert {i: r["text"] for i, r in got.items()} == {1: rows[0][1], 2: "a \ufffd b \ufffd end", 3: rows[2][1]}
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
 def test_oracle_only_where_sql_can():
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5 and Path(corpus_pipeline.__file__).name == "corpus_pipeline.py"
