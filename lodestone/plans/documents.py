@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -145,16 +150,38 @@ EMBED = """e AS (
 )"""
 
 
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column(1)
+        n = np.asarray(words.value_lengths().fill_null(0))
+        coded = words.flatten().dictionary_encode()
+        bucket = np.array([int(hashlib.sha256(w.encode()).hexdigest()[:6], 16) % 32 for w in coded.dictionary.to_pylist()], np.int64)
+        at = np.repeat(np.arange(batch.num_rows), n) * 32 + bucket[coded.indices.to_numpy()]
+        counts = np.bincount(at, minlength=32 * batch.num_rows).astype(np.float64)
+        v = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * 32, pa.int32()), pa.array(counts))
+        yield pa.RecordBatch.from_arrays([batch.column(0), v], names=["doc_id", "v"])
+
+
+def embedded(docs: DataFrame) -> DataFrame:
+    """doc_id and vector of whole texts: 32 unit-length counts of hashed words, in thousandths."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    v = docs.select("doc_id", T.words(F.col("text")).alias("t")).mapInArrow(_bucket_counts, f"doc_id {kind}, v array<double>")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    v = v.withColumn("norm", F.when(norm == 0, 1.0).otherwise(norm))
+    return v.select("doc_id", F.array_join(F.transform("v", lambda x: F.round(1000 * x / F.col("norm")).cast("long").cast("string")), ",").alias("vector"))
+
+
 @query(f"""WITH {EMBED}, u AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e)
     SELECT doc_id, array_to_string(list_transform(v, lambda x: round(1000 * x / CASE WHEN norm = 0 THEN 1 ELSE norm END)::BIGINT), ',') AS vector FROM u""")
 def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bags of hashed words as 32 unit-length counts (thousandths), of short texts: the default embedding model."""
-    docs = table(spark, sf_dir, "documents").where(F.length("text") <= 600)
-    bucket = F.transform(T.words(F.col("text")), lambda w: F.conv(F.substring(F.sha2(w, 256), 1, 6), 16, 10).cast("int") % 32)
-    v = docs.select("doc_id", bucket.alias("t")).select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.size(F.filter("t", lambda x: x == b)).cast("double")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    v = v.withColumn("norm", F.when(norm == 0, 1.0).otherwise(norm))
-    return v.select("doc_id", F.array_join(F.transform("v", lambda x: F.round(1000 * x / F.col("norm")).cast("long").cast("string")), ",").alias("vector"))
+    return embedded(table(spark, sf_dir, "documents").where(F.length("text") <= 600))
+
+
+@query()
+def hashed_embedding_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all documents, whole, however long."""
+    return embedded(table(spark, sf_dir, "documents"))
 
 
 @query("""SELECT page_id, length(html)::BIGINT AS n_chars, (length(html) < 200 AND html ILIKE '%<img%') AS image_only FROM pages""")

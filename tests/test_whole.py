@@ -1,5 +1,8 @@
 """Queries that do the whole job where the SQL of another query stops short of it, on small tables of their own."""
 
+import hashlib
+import re
+from collections import Counter
 from itertools import combinations
 
 from lodestone.plans import registry
@@ -22,3 +25,14 @@ def test_siblings_that_share_nothing_with_the_first(spark, tmp_path):
     brand, suppliers = {i: b for i, _, b in part}, {i: {s for p, s in lines if p == i} for i, _, _ in part}
     direct = {(b, a) for a, b in combinations(sorted(brand), 2) if brand[a] == brand[b] and suppliers[a] & suppliers[b]}
     assert links <= direct and {x for x, _ in links} == {x for x, _ in direct}
+
+
+def test_embedding_of_long_texts(spark, tmp_path):
+    texts = {1: "One two, two.", 2: " ".join(f"Word{i % 977} étage" for i in range(5000)), 3: "", 4: "x " * 301, 5: "x " * 300}
+    path = stored(spark, tmp_path, documents=(list(texts.items()), "doc_id long, text string"))
+    got = {r["doc_id"]: [int(x) for x in r["vector"].split(",")] for r in QUERIES["hashed_embedding_all"](spark, path).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        n = Counter(int(hashlib.sha256(w.encode()).hexdigest()[:6], 16) % 32 for w in re.findall(r"\w+", text.lower()))
+        norm = sum(x * x for x in n.values()) ** 0.5 or 1
+        assert all(abs(x - 1000 * n[b] / norm) <= 0.5 + 1e-9 for b, x in enumerate(got[i]))
