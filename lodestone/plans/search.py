@@ -68,6 +68,20 @@ def exact_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases(spark, sf_dir).select("item_id").join(found, "item_id", "left_anti")
 
 
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON length(b.text) > 0 AND contains(d.text, b.text)")
+def exact_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the whole text of an item, not only its opening."""
+    whole = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    return find_phrases(table(spark, sf_dir, "documents"), whole, "doc_id", "item_id", most=1).select("item_id", "doc_id")
+
+
+@query("SELECT item_id FROM benchmark b WHERE length(text) > 0 AND NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
+def exact_absent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose whole text no document has."""
+    found = exact_search_whole(spark, sf_dir).select("item_id").distinct()
+    return table(spark, sf_dir, "benchmark").where(F.length("text") > 0).select("item_id").join(found, "item_id", "left_anti")
+
+
 @query(f"SELECT item_id, length(text)::BIGINT AS n_chars, length(text) <= {LONGEST_PHRASE} AS exact_allowed FROM benchmark")
 def phrase_length_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text").cast("long")
@@ -231,7 +245,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     w = Window.partitionBy("query_id").orderBy("item")
-    exact = exact_search_case_sensitive(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= CANDIDATES)
+    exact = exact_search_whole(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= CANDIDATES)
     q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.any_terms(F.col("text"))).alias("term"))
     p = postings(docs)
     df = p.groupBy("term").agg(F.count("*").alias("df"))

@@ -36,3 +36,17 @@ def test_embedding_of_long_texts(spark, tmp_path):
         n = Counter(int(hashlib.sha256(w.encode()).hexdigest()[:6], 16) % 32 for w in re.findall(r"\w+", text.lower()))
         norm = sum(x * x for x in n.values()) ** 0.5 or 1
         assert all(abs(x - 1000 * n[b] / norm) <= 0.5 + 1e-9 for b, x in enumerate(got[i]))
+
+
+OPENING = "An opening of an item that goes on for well over sixty characters before"
+
+
+def test_items_found_whole(spark, tmp_path):
+    items = [(0, f"{OPENING} it ends"), (1, f"{OPENING} it goes on\nand on")]
+    docs = [(1, f"x {OPENING} it ends otherwise"), (2, OPENING), (3, f"{OPENING} it goes on"), (4, None)]
+    path = stored(spark, tmp_path, benchmark=(items, "item_id long, text string"), documents=(docs, "doc_id long, text string"))
+    assert [tuple(r) for r in QUERIES["exact_search_whole"](spark, path).collect()] == [(0, 1)]
+    assert [tuple(r) for r in QUERIES["exact_absent_whole"](spark, path).collect()] == [(1,)]
+    scores = {(r["query_id"], r["item"]): r["score"] for r in QUERIES["hybrid_search"](spark, path).collect()}
+    # document 1 alone has an item whole, and leads by more than a place of another ranking
+    assert scores[0, 1] > scores[0, 2] + 1 / 61 and (1, 1) in scores
