@@ -37,17 +37,24 @@ def cover_density(places: list[tuple[int, str]], terms: int) -> float:
 def rank_documents(docs: DataFrame, queries: DataFrame, query_id: str, terms: str = "terms", id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents that have all terms of a query, with their score: query_id, id_col, score.
 
-    Postings are joined with the queries' terms, so documents without any never meet them.
+    Only documents with the rarest term of a query meet its other terms.
     """
-    q = queries.select(query_id, F.size(terms).alias("n"), F.explode(terms).alias("term"))
-    p = docs.select(id_col, F.posexplode(T.words(F.col(text))).alias("at", "term"))
-    grouped = p.join(q, "term").groupBy(query_id, id_col, "n").agg(F.collect_list(F.struct("at", "term")).alias("places"), F.count_distinct("term").alias("k")).where("k = n")
-    kinds = dict(grouped.dtypes)
+    q = queries.select(query_id, F.array_distinct(terms).alias("terms"))
+    each = q.select(query_id, F.explode("terms").alias("term"))
+    has = docs.select(id_col, F.explode(F.array_distinct(T.words(F.col(text)))).alias("term")).join(each.select("term").distinct(), "term")
+    df = has.groupBy("term").agg(F.count("*").alias("df"))
+    rare = each.join(df, "term", "left").groupBy(query_id).agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    both = has.join(rare, "term").select(query_id, id_col).join(q, query_id).join(docs.select(id_col, T.words(F.col(text)).alias("words")), id_col)
+    whole = both.where(F.size(F.array_except("terms", "words")) == 0).select(query_id, id_col, "terms", "words")
+    kinds = dict(whole.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [cover_density([(x["at"], x["term"]) for x in places], n) for n, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            scores = []
+            for wanted, words in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                own = set(wanted)
+                scores.append(cover_density([x for x in enumerate(words) if x[1] in own], len(own)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["q", "d", "score"])
 
-    out = grouped.select(query_id, id_col, "n", "places").mapInArrow(run, f"q {kinds[query_id]}, d {kinds[id_col]}, score double")
+    out = whole.mapInArrow(run, f"q {kinds[query_id]}, d {kinds[id_col]}, score double")
     return out.select(F.col("q").alias(query_id), F.col("d").alias(id_col), "score")

@@ -125,11 +125,23 @@ def lexical_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("conv_id", "turn").agg(strict.alias("strict_hits"), F.count("*").alias("any_hits"), F.when(strict > 0, "strict").otherwise("or_fallback").alias("strategy"))
 
 
+@query()
+def lexical_strategy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As lexical_strategy, by all words for the strict search; the cap of 12 holds for the fallback alone."""
+    q = table(spark, sf_dir, "conversations").where("role = 'user' and conv_id % 20 = 0")
+    q = q.select("conv_id", "turn", F.array_distinct(T.words(F.col("text"))).alias("terms"), T.any_terms(F.col("text")).alias("few"))
+    q = q.select("conv_id", "turn", F.size("terms").alias("n"), "few", F.explode("terms").alias("term")).withColumn("few", F.array_contains("few", F.col("term")))
+    has = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
+    both = has.join(q, "term").groupBy("conv_id", "turn", "doc_id", "n").agg(F.count("*").alias("k"), F.max("few").alias("any"))
+    strict = F.count_if(F.col("k") == F.col("n"))
+    out = both.groupBy("conv_id", "turn").agg(strict.alias("strict_hits"), F.count_if("any").alias("any_hits"), F.when(strict > 0, "strict").otherwise("or_fallback").alias("strategy"))
+    return out.where("any_hits > 0")
+
+
 @query()
 def lexical_rank_cd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first documents for two words of each benchmark item, by cover density."""
-    by_length = F.array_sort(F.array_distinct(T.words(F.col("text"))), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.filter(by_length, lambda w: F.length(w) <= 5), 1, 2).alias("terms"))
+    """The first documents with all words of a benchmark item, by cover density."""
+    q = table(spark, sf_dir, "benchmark").select("item_id", T.words(F.col("text")).alias("terms"))
     ranked = lexical.rank_documents(table(spark, sf_dir, "documents"), q, "item_id")
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return ranked.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= CANDIDATES)

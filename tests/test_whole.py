@@ -50,3 +50,14 @@ def test_items_found_whole(spark, tmp_path):
     scores = {(r["query_id"], r["item"]): r["score"] for r in QUERIES["hybrid_search"](spark, path).collect()}
     # document 1 alone has an item whole, and leads by more than a place of another ranking
     assert scores[0, 1] > scores[0, 2] + 1 / 61 and (1, 1) in scores
+
+
+def test_lexical_queries_by_all_words(spark, tmp_path):
+    words = [f"word{chr(97 + i)}" for i in range(15)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:14])), (3, "red fox extraordinarily x"), (4, "red fox")]
+    items = [(0, "Fox red, extraordinarily"), (1, "red fox absent")]
+    turns = [(20, 1, "user", " ".join(words)), (40, 1, "user", " ".join([*words, "missing"])), (20, 2, "user", "red fox")]
+    path = stored(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"), conversations=(turns, "conv_id long, turn long, role string, text string"))
+    assert {(r["item_id"], r["doc_id"]) for r in QUERIES["lexical_rank_cd"](spark, path).collect()} == {(0, 3)}
+    got = {(r["conv_id"], r["turn"]): (r["strict_hits"], r["any_hits"], r["strategy"]) for r in QUERIES["lexical_strategy_all"](spark, path).collect()}
+    assert got == {(20, 1): (1, 2, "strict"), (40, 1): (0, 2, "or_fallback"), (20, 2): (2, 2, "strict")}
