@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -51,16 +52,33 @@ def held_out(doc_id, mod: int):
 def checkpointed(df: DataFrame) -> DataFrame:
     """df from files in spark.checkpoint.dir, so that a lost executor costs no recomputation.
 
-    The directory is the one the cluster names; where it is unset, as in tests, a
-    temporary one is set.
+    The directory is the one the cluster names. Where it is unset, a session within one
+    process, as in tests, gets a temporary one; any other has to name one that its
+    executors share.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^,]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, partitions: int, column: str) -> DataFrame:
+    """df by hash of a column, from files, such that grouping by that column needs no further shuffle.
+
+    What adaptive execution plans has no known partitioning, so it is off for this one job.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpointed(df.repartition(partitions, column))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def total_bytes(df: DataFrame, text: str) -> int:
     """UTF-8 bytes of a text column; one scan of that column."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -120,16 +120,15 @@ def brute_repeats(docs, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [1500, 2])
-def test_repeats_against_brute_force(spark, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # the kernels run in workers with the default; the local ones with this
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2, 0])
+def test_repeats_against_brute_force(spark, hot):
     r = random.Random(6)
     words = ["".join(r.choice("abcdé") for _ in range(r.randint(1, 4))) for _ in range(12)]
     base = [" ".join(r.choice(words) for _ in range(r.randint(10, 60))) for _ in range(4)]
     docs = [(i, "".join(r.choice(base)[r.randint(0, 40) :][: r.randint(20, 200)] + r.choice(["", "x", "\n"]) for _ in range(r.randint(0, 5)))) for i in r.sample(range(1000), 40)]
     docs.append((1000, "a" * 300))
     docs.append((1001, "a" * 120 + "b"))
-    got = suffix_dedup.dedup(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    got = suffix_dedup.dedup(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), hot=hot).collect()
     want = brute_repeats([(i, t.encode()) for i, t in docs], 50)
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got} == want
 
