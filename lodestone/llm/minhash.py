@@ -9,7 +9,11 @@ threshold; the groups are the connected components of the links.
    with one of them only: the one that meets most others over all its bands, which is the
    most typical of its group. What that links is one component, and needs no more pairs.
 3. Bands that still hold several components have all pairs between components compared,
-   block by block inside the tasks.
+   block by block inside the tasks. Of the pairs of two components that survive step 4 a
+   block pair gives the most alike one, and says whether there are others. Once those are
+   verified, the few block pairs with others between components that are still apart are
+   sent the full sets, and give just the links that join components there. So a group of
+   near copies gives no more pairs than it has components, and none is left out.
 4. Verification. A pair's signatures are compared batch by batch. After each, the posterior
    of its similarity (uniform prior, m of n hashes equal) says how likely it is to reach the
    threshold; below the chosen miss probability the pair is dropped. Every survivor is
@@ -126,15 +130,15 @@ def least_matches(threshold: tuple[int, int], miss: float) -> np.ndarray:
     return np.array(out)
 
 
-def survivors(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int], miss: float) -> np.ndarray:
-    """Numbers of the pairs (rows of a and b: signatures for verification) that aren't dropped in any batch."""
+def survivors(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int], miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pairs (rows of a and b: signatures for verification) that aren't dropped in any batch, and their equal hashes."""
     live, equal = np.arange(len(a)), np.zeros(len(a), np.int64)
     for i, least in enumerate(least_matches(threshold, miss)):
         part = slice(i * BATCH, (i + 1) * BATCH)
         equal = equal + (a[live, part] == b[live, part]).sum(1)
         fine = equal >= least
         live, equal = live[fine], equal[fine]
-    return live
+    return live, equal
 
 
 def linked(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> bool:
@@ -169,50 +173,102 @@ def _sets(size: int):
 
 
 def _verify(threshold: tuple[int, int], miss: float):
-    """Of the pairs of two blocks of documents, those that are linked."""
+    """Of the pairs of two blocks of documents, those that are linked: some text of one with some text of the other."""
 
     def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
         out = np.empty((2, 0), np.int64)
         if sets.num_rows and pairs.num_rows:
             ids = sets.column("id").to_numpy()
             order = np.argsort(ids)
-            at = [order[np.searchsorted(ids[order], pairs.column(x).to_numpy())] for x in ("a", "b")]
+            ids = ids[order]
+            both = [pairs.column(x).to_numpy() for x in ("a", "b")]
+            low = [np.searchsorted(ids, x) for x in both]
+            n = [np.searchsorted(ids, x, side="right") - y for x, y in zip(both, low, strict=True)]
+            # an id has one set, unless it names several texts
+            pair = np.repeat(np.arange(pairs.num_rows), n[0] * n[1])
+            nth = np.arange(len(pair)) - np.repeat(np.cumsum(n[0] * n[1]) - n[0] * n[1], n[0] * n[1])
+            at = [order[low[0][pair] + nth // n[1][pair]], order[low[1][pair] + nth % n[1][pair]]]
             checks = np.frombuffer(b"".join(sets.column("checks").to_pylist()), np.uint8).reshape(-1, CHECKS)
             members = [np.frombuffer(x, np.uint64) for x in sets.column("members").to_pylist()]
-            live = np.concatenate([k + survivors(checks[at[0][k : k + STRIDE]], checks[at[1][k : k + STRIDE]], threshold, miss) for k in range(0, pairs.num_rows, STRIDE)])
-            yes = [i for i in live if linked(members[at[0][i]], members[at[1][i]], threshold)]
-            out = np.stack([ids[x[yes]] for x in at]) if yes else out
+            live = np.concatenate([k + survivors(checks[at[0][k : k + STRIDE]], checks[at[1][k : k + STRIDE]], threshold, miss)[0] for k in range(0, len(pair), STRIDE)])
+            yes = np.unique(pair[[i for i in live.tolist() if linked(members[at[0][i]], members[at[1][i]], threshold)]])
+            out = np.stack([x[yes] for x in both]) if len(yes) else out
         return pa.table({"a": out[0], "b": out[1]})
 
     return run
 
 
+#: Columns by which a pair of blocks is known: the band, the two blocks, whether both are of the lesser components.
+PLACE = ("band", "i", "j", "inner")
+
+
+def _between(row: dict, threshold: tuple[int, int], miss: float) -> tuple:
+    """Documents, components and sets of a pair of blocks; its surviving pairs between components, the most alike first."""
+    sides = []
+    for side in (row["l"], row["r"]):
+        checks = np.frombuffer(b"".join([x["checks"] for x in side]), np.uint8).reshape(-1, CHECKS)
+        sides.append((np.array([x["id"] for x in side]), np.array([x["comp"] for x in side]), checks, [x.get("members") for x in side]))
+    (_, ca, sa, _), (_, cb, sb, _) = sides
+    ia, ib = np.nonzero(ca[:, None] != cb[None, :])
+    kept = []
+    for k in range(0, len(ia), 1 << 15):
+        live, equal = survivors(sa[ia[k : k + (1 << 15)]], sb[ib[k : k + (1 << 15)]], threshold, miss)
+        kept.append(np.stack([ia[k + live], ib[k + live], equal]))
+    a, b, equal = np.concatenate(kept, axis=1) if kept else np.empty((3, 0), np.int64)
+    order = np.argsort(-equal, kind="stable")
+    return *sides, a[order], b[order]
+
+
 def _across(threshold: tuple[int, int], miss: float):
-    """Candidate pairs between components, in tasks' blocks: rows of a block pair hold documents, components and signatures."""
+    """Of each two components in a pair of blocks the most alike pair (a, b) that survives; a row without pair if there are others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [], []
-            for i in range(batch.num_rows):
-                left, right = (batch.column(x)[i].values for x in ("l", "r"))
-                (da, ca, sa), (db, cb, sb) = (
-                    (x.field("id").to_numpy(zero_copy_only=False), x.field("comp").to_numpy(zero_copy_only=False), np.frombuffer(b"".join(x.field("checks").to_pylist()), np.uint8).reshape(-1, CHECKS))
-                    for x in (left, right)
-                )
-                ia, ib = np.nonzero(ca[:, None] != cb[None, :])
-                for k in range(0, len(ia), 1 << 15):
-                    pa_, pb = ia[k : k + (1 << 15)], ib[k : k + (1 << 15)]
-                    live = survivors(sa[pa_, :], sb[pb, :], threshold, miss)
-                    x, y = da[pa_[live]], db[pb[live]]
-                    out_a.append(np.minimum(x, y))
-                    out_b.append(np.maximum(x, y))
-            if out_a:
-                both = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            out = []
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                left, right, a, b = _between(row, threshold, miss)
+                comps = np.stack([left[1][a], right[1][b]]) if len(a) else np.empty((2, 0), np.int64)
+                first = np.unique(np.sort(comps, axis=0), axis=1, return_index=True)[1] if len(a) else []
+                place = [row[x] for x in PLACE]
+                out += [[*sorted((int(left[0][a[n]]), int(right[0][b[n]]))), *place] for n in first]
+                if len(first) < len(a):
+                    out.append([None, None, *place])
+            yield _rows(out, ("a", "b", *PLACE))
 
     return run
 
 
+def _joining(threshold: tuple[int, int], miss: float):
+    """Of a pair of blocks, with full sets, links that join all its components that links between the blocks join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                left, right, a, b = _between(batch.slice(k, 1).to_pylist()[0], threshold, miss)
+                parent: dict[int, int] = {}
+
+                def root(x: int, parent: dict = parent) -> int:
+                    while (up := parent.get(x, x)) != x:
+                        x = up
+                    return x
+
+                for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                    x, y = root(int(left[1][i])), root(int(right[1][j]))
+                    if x != y and linked(np.frombuffer(left[3][i], np.uint64), np.frombuffer(right[3][j], np.uint64), threshold):
+                        parent[max(x, y)] = min(x, y)
+                        out.append(sorted((int(left[0][i]), int(right[0][j]))))
+            yield _rows(out, ("a", "b"))
+
+    return run
+
+
+def _rows(rows: list[list], names: tuple[str, ...]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.bool_() if n == "inner" else pa.int64()) for x, n in zip(columns, names, strict=True)], names=list(names))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (id, comp) of the connected components of links (a, b): comp is the smallest id.
 
@@ -256,7 +312,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, text: str = "text", id_c
     the smallest id that links reach, kept says that it is the row's own. A null text, or
     one without words, has no shingles and is linked with nothing; rows with a null id are
     linked with nothing, have a null component_id and are kept. Rows that repeat an id come
-    back as often as they occur. An empty table gives no rows; other columns are not
+    back as often as they occur; unlike texts under one id all belong to its component. An empty table gives no rows; other columns are not
     carried and may have any name. Texts may be of any length.
     """
     docs = df.select(df[id_col].cast("long").alias("id"), df[text].alias("text"))
@@ -272,29 +328,51 @@ def near_duplicates(spark: SparkSession, df: DataFrame, text: str = "text", id_c
     centre = rows.join(weight, "id").groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top")).select("band", (-F.col("top.id")).alias("centre"))
     star = rows.join(centre, "band").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
-    sets = checkpointed(docs.join(rows.select("id").distinct(), "id").dropDuplicates(["id"]).mapInArrow(_sets(size), "id bigint, checks binary, members binary"))
+    texts = docs.join(rows.select("id").distinct(), "id").dropDuplicates(["id", "text"])
+    sets = checkpointed(texts.mapInArrow(_sets(size), "id bigint, checks binary, members binary"))
     set_blocks = max(SET_BLOCKS, -(-(sets.agg(F.sum(F.length("members"))).first()[0] or 0) // SET_BYTES))
-    links = checkpointed(_linked_pairs(star, sets, set_blocks, threshold, miss))
+    # all texts of an id belong together
+    several = named.groupBy("id").agg(F.min("key").alias("one"), F.max("key").alias("other")).where("one <> other").select("id")
+    same = named.join(several, "id").select("id", "key").distinct().join(leaders.select("key", "leader"), "key").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    links = checkpointed(_linked_pairs(star, sets, set_blocks, threshold, miss).unionByName(same))
     comps = checkpointed(components(links))
 
-    # bands that hold several components
+    # bands that hold several components: the largest, in blocks, meets the others, and these each other
     labelled = rows.join(comps, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
     split = labelled.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("big")).where("comps > 1")
     split = split.select("band", F.col("big.comp").alias("main"), F.ceil(F.col("big.n") / BLOCK).alias("mains"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).alias("others"))
-    parts = labelled.join(split, "band").join(sets.select("id", "checks"), "id")
     block: Column = F.xxhash64("id", "band")
-    mains = parts.where("comp = main").withColumn("i", F.pmod(block, F.col("mains")))
-    others = parts.where("comp <> main").withColumn("j", F.pmod(block, F.col("others")))
-    blocked = lambda x, k: x.groupBy("band", k, "mains", "others").agg(F.collect_list(F.struct("id", "comp", "checks")).alias("d"))
-    mains, others = checkpointed(blocked(mains, "i")), checkpointed(blocked(others, "j"))
-    spread = lambda x, k, most: x.withColumn(k, F.explode(F.sequence(F.lit(0), F.col(most).cast("long") - 1)))
-    cross = spread(others.withColumnRenamed("d", "r"), "i", "mains").join(mains.select("band", "i", F.col("d").alias("l")), ["band", "i"]).select("l", "r")
-    inner = others.select("band", F.col("j").alias("i"), F.col("d").alias("l"), "others")
-    inner = spread(inner, "j", "others").where("j >= i").join(others.select("band", "j", F.col("d").alias("r")), ["band", "j"]).select("l", "r")
-    found = cross.unionByName(inner).mapInArrow(_across(threshold, miss), "a bigint, b bigint").distinct().join(star, ["a", "b"], "left_anti")
-    more = checkpointed(_linked_pairs(found, sets, set_blocks, threshold, miss))
+    lesser = F.col("comp") != F.col("main")
+    parts = checkpointed(labelled.join(split, "band").select("band", "id", "mains", "others", lesser.alias("lesser"), F.pmod(block, F.when(lesser, F.col("others")).otherwise(F.col("mains"))).alias("at")))
+    number = lambda most: F.explode(F.sequence(F.lit(0).cast("long"), F.col(most).cast("long") - 1))
+    bands = parts.select("band", "mains", "others").distinct()
+    pairs = bands.withColumn("i", number("mains")).withColumn("j", number("others")).select(*PLACE[:3], F.lit(False).alias("inner"))
+    inner = bands.withColumn("i", number("others")).withColumn("j", number("others")).where("i <= j").select(*PLACE[:3], F.lit(True).alias("inner"))
+    pairs = pairs.unionByName(inner)
+
+    def met(pairs: DataFrame, comps: DataFrame, *columns: str) -> DataFrame:
+        """Pairs of blocks with the documents of both."""
+        needed = pairs.select("band", F.explode(F.array(F.struct(F.col("inner").alias("lesser"), F.col("i").alias("at")), F.struct(F.lit(True).alias("lesser"), F.col("j").alias("at")))).alias("x")).select("band", "x.*").distinct()
+        full = parts.join(needed, ["band", "lesser", "at"]).join(comps, "id", "left").join(sets.select("id", *columns), "id")
+        full = full.groupBy("band", "lesser", "at").agg(F.collect_list(F.struct("id", F.coalesce("comp", "id").alias("comp"), *columns)).alias("d"))
+        full = checkpointed(full)
+        left = full.select("band", F.col("lesser").alias("inner"), F.col("at").alias("i"), F.col("d").alias("l"))
+        right = full.where("lesser").select("band", F.col("at").alias("j"), F.col("d").alias("r"))
+        return pairs.join(left, ["band", "inner", "i"]).join(right, ["band", "j"]).select(*PLACE, "l", "r")
+
+    schema = "a bigint, b bigint, band bigint, i bigint, j bigint, inner boolean"
+    found = checkpointed(met(pairs, comps, "checks").mapInArrow(_across(threshold, miss), schema))
+    more = checkpointed(_linked_pairs(found.where("a is not null").select("a", "b").distinct(), sets, set_blocks, threshold, miss))
     if not more.isEmpty():
-        comps = checkpointed(components(links.unionByName(more)))
+        links = links.unionByName(more)
+        comps = checkpointed(components(links))
+    rest = found.where("a is null").select(*PLACE)
+    if not rest.isEmpty():
+        apart = met(rest, comps, "checks").mapInArrow(_across(threshold, miss), schema)
+        apart = checkpointed(apart.select(*PLACE).distinct())
+        if not apart.isEmpty():
+            last = checkpointed(met(apart, comps, "checks", "members").mapInArrow(_joining(threshold, miss), "a bigint, b bigint").distinct())
+            comps = checkpointed(components(links.unionByName(last)))
 
     groups = leaders.select("key", "leader").join(comps.withColumnRenamed("id", "leader"), "leader", "left").select("key", F.coalesce("comp", "leader").alias("comp"))
     out = sketched.select("id", "n", "key").join(groups, "key", "left")

@@ -183,6 +183,46 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute_groups(docs)
 
 
+def test_unlike_texts_of_one_id(spark):
+    r = random.Random(21)
+    a, b = (" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") * 3 + str(r.randint(0, 99)) for _ in range(200)) for _ in range(2))
+    docs = [(1, a), (2, a + " more words here"), (3, b), (3, a + " and others"), (4, b + " at the end"), (5, b), (5, "something else entirely")]
+    got = minhash.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(docs) and {r["component_id"] for r in got} == {1}
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs alone in their groups, at 0.75 to 0.80: at least 99 of 100 are found, and none below 0.75."""
+    r = random.Random(22)
+    docs, near = [], {}
+    for n in range(400):
+        words = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        other = words[: r.randint(218, 300)] + [f"w{r.randrange(10**6)}" for _ in range(40)]
+        docs += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+        x, y = (set(minhash.shingles(t).tolist()) for _, t in docs[-2:])
+        near[2 * n + 1] = len(x & y) / len(x | y)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    close = [i for i, s in near.items() if 0.75 <= s <= 0.8]
+    assert len(close) > 50 and sum(got[i] == i - 1 for i in close) >= 0.99 * len(close)
+    assert all(got[i] == i for i, s in near.items() if s < 0.75)
+
+
+def test_blocks_join_all_components(spark, monkeypatch):
+    """Chains of near copies, of which the first of a band is not like the last: all three rounds against brute force."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    r = random.Random(23)
+    docs = []
+    for family in range(3):
+        words = [f"f{family}w{i}" for i in range(120)]
+        for step in range(30):
+            words = list(words)
+            words[(7 * step) % 120] = f"f{family}s{step}"
+            docs.append((1000 * family + r.randrange(1000), " ".join(words)))
+    docs = list({i: (i, t) for i, t in docs}.values())
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_groups(docs)
+
+
 def test_pruning_misses_little():
     least = minhash.least_matches(minhash.THRESHOLD, minhash.MISS)
     r = np.random.default_rng(9)
