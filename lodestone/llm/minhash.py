@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, (75, 100), 32, 4
 #: Hashes (of a byte each) for verification, compared so many at a time, and the miss probability.
 CHECKS, BATCH, MISS = 512, 64, 1e-6
 #: Documents of a band in a block; bytes of sets in a block for verification, and least blocks.
-BLOCK, SET_BYTES, SET_BLOCKS = 512, 16 << 20, 4
+BLOCK, SET_BYTES, SET_BLOCKS = 2048, 16 << 20, 4
 #: Shingles hashed at a time, which bounds memory for very long texts.
 STRIDE = 4096
 KEPT = 300_000
@@ -202,19 +203,23 @@ def _verify(threshold: tuple[int, int], miss: float):
 PLACE = ("band", "i", "j", "inner")
 
 
-def _between(row: dict, threshold: tuple[int, int], miss: float) -> tuple:
+def _between(table: pa.Table, threshold: tuple[int, int], miss: float) -> tuple:
     """Documents, components and sets of a pair of blocks; its surviving pairs between components, the most alike first."""
     sides = []
-    for side in (row["l"], row["r"]):
-        checks = np.frombuffer(b"".join([x["checks"] for x in side]), np.uint8).reshape(-1, CHECKS)
-        sides.append((np.array([x["id"] for x in side]), np.array([x["comp"] for x in side]), checks, [x.get("members") for x in side]))
+    for side in (False, True):
+        part = table.filter(pc.equal(table.column("right"), side))
+        checks = np.frombuffer(b"".join(part.column("checks").to_pylist()), np.uint8).reshape(-1, CHECKS)
+        sides.append((part.column("id").to_numpy(), part.column("comp").to_numpy(), checks, part.column("members").to_pylist() if "members" in part.column_names else None))
     (_, ca, sa, _), (_, cb, sb, _) = sides
-    ia, ib = np.nonzero(ca[:, None] != cb[None, :])
-    kept = []
-    for k in range(0, len(ia), 1 << 15):
-        live, equal = survivors(sa[ia[k : k + (1 << 15)]], sb[ib[k : k + (1 << 15)]], threshold, miss)
-        kept.append(np.stack([ia[k + live], ib[k + live], equal]))
-    a, b, equal = np.concatenate(kept, axis=1) if kept else np.empty((3, 0), np.int64)
+    kept = [np.empty((3, 0), np.int64)]
+    for k in range(0, len(ca), STRIDE // 64):
+        ia, ib = np.nonzero(ca[k : k + STRIDE // 64, None] != cb[None, :])
+        ia += k
+        for n in range(0, len(ia), 1 << 15):
+            part = slice(n, n + (1 << 15))
+            live, equal = survivors(sa[ia[part]], sb[ib[part]], threshold, miss)
+            kept.append(np.stack([ia[part][live], ib[part][live], equal]))
+    a, b, equal = np.concatenate(kept, axis=1)
     order = np.argsort(-equal, kind="stable")
     return *sides, a[order], b[order]
 
@@ -222,19 +227,16 @@ def _between(row: dict, threshold: tuple[int, int], miss: float) -> tuple:
 def _across(threshold: tuple[int, int], miss: float):
     """Of each two components in a pair of blocks the most alike pair (a, b) that survives; a row without pair if there are others."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                left, right, a, b = _between(row, threshold, miss)
-                comps = np.stack([left[1][a], right[1][b]]) if len(a) else np.empty((2, 0), np.int64)
-                first = np.unique(np.sort(comps, axis=0), axis=1, return_index=True)[1] if len(a) else []
-                place = [row[x] for x in PLACE]
-                out += [[*sorted((int(left[0][a[n]]), int(right[0][b[n]]))), *place] for n in first]
-                if len(first) < len(a):
-                    out.append([None, None, *place])
-            yield _rows(out, ("a", "b", *PLACE))
+    def run(table: pa.Table) -> pa.Table:
+        left, right, a, b = _between(table, threshold, miss)
+        out = []
+        if len(a):
+            first = np.unique(np.sort(np.stack([left[1][a], right[1][b]]), axis=0), axis=1, return_index=True)[1]
+            place = [table.column(x)[0].as_py() for x in PLACE]
+            out = [[*sorted((int(left[0][a[n]]), int(right[0][b[n]]))), *place] for n in first]
+            if len(first) < len(a):
+                out.append([None, None, *place])
+        return _rows(out, ("a", "b", *PLACE))
 
     return run
 
@@ -242,54 +244,64 @@ def _across(threshold: tuple[int, int], miss: float):
 def _joining(threshold: tuple[int, int], miss: float):
     """Of a pair of blocks, with full sets, links that join all its components that links between the blocks join."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                left, right, a, b = _between(batch.slice(k, 1).to_pylist()[0], threshold, miss)
-                parent: dict[int, int] = {}
-
-                def root(x: int, parent: dict = parent) -> int:
-                    while (up := parent.get(x, x)) != x:
-                        x = up
-                    return x
-
-                for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                    x, y = root(int(left[1][i])), root(int(right[1][j]))
-                    if x != y and linked(np.frombuffer(left[3][i], np.uint64), np.frombuffer(right[3][j], np.uint64), threshold):
-                        parent[max(x, y)] = min(x, y)
-                        out.append(sorted((int(left[0][i]), int(right[0][j]))))
-            yield _rows(out, ("a", "b"))
+    def run(table: pa.Table) -> pa.Table:
+        left, right, a, b = _between(table, threshold, miss)
+        parent: dict[int, int] = {}
+        out = []
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                x = up
+            return x
+
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = root(int(left[1][i])), root(int(right[1][j]))
+            if x != y and linked(np.frombuffer(left[3][i], np.uint64), np.frombuffer(right[3][j], np.uint64), threshold):
+                parent[max(x, y)] = min(x, y)
+                out.append(sorted((int(left[0][i]), int(right[0][j]))))
+        return _rows(out, ("a", "b"))
 
     return run
 
 
-def _rows(rows: list[list], names: tuple[str, ...]) -> pa.RecordBatch:
+def _rows(rows: list[list], names: tuple[str, ...]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.bool_() if n == "inner" else pa.int64()) for x, n in zip(columns, names, strict=True)], names=list(names))
+    return pa.table([pa.array(x, pa.bool_() if n == "inner" else pa.int64()) for x, n in zip(columns, names, strict=True)], names=list(names))
 
 
 def components(links: DataFrame) -> DataFrame:
     """Rows (id, comp) of the connected components of links (a, b): comp is the smallest id.
 
     Large-star and small-star steps in turn: each joins a node's neighbours to the smallest
-    one around. A few rounds, each from files, until nothing changes.
+    one around. A few rounds, each from files, until their number and the sum of their
+    hashes no longer change.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    edges, seen = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(pair(F.col("u"), F.col("v")), pair(F.col("v"), F.col("u")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        fresh = checkpointed(small)
-        if fresh.exceptAll(edges).isEmpty() and edges.exceptAll(fresh).isEmpty():
+        small = large.join(least, "u").select(F.explode(F.array(pair(F.col("v"), F.col("m")), pair(F.col("u"), F.col("m")))).alias("e")).select("e.*").where("u <> v").distinct()
+        edges = checkpointed(small)
+        # decimal, as a sum of hashes overflows a long
+        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if state == seen:
             break
-        edges = fresh
+        seen = state
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("comp"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots)
 
 
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components once more links (a, b) are known: those of the components, then each row's."""
+    of = lambda df, x: df.join(comps.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")), x, "left").withColumn(x, F.coalesce(f"c{x}", x))
+    above = checkpointed(components(of(of(links, "a"), "b").select("a", "b")))
+    up = comps.join(above.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
+    return checkpointed(up.unionByName(above.join(comps.select("id"), "id", "left_anti")))
+
+
 def _linked_pairs(edges: DataFrame, sets: DataFrame, blocks: int, threshold: tuple[int, int], miss: float) -> DataFrame:
     """The edges (a, b) that are links.
 
@@ -344,35 +356,31 @@ def near_duplicates(spark: SparkSession, df: DataFrame, text: str = "text", id_c
     block: Column = F.xxhash64("id", "band")
     lesser = F.col("comp") != F.col("main")
     parts = checkpointed(labelled.join(split, "band").select("band", "id", "mains", "others", lesser.alias("lesser"), F.pmod(block, F.when(lesser, F.col("others")).otherwise(F.col("mains"))).alias("at")))
-    number = lambda most: F.explode(F.sequence(F.lit(0).cast("long"), F.col(most).cast("long") - 1))
-    bands = parts.select("band", "mains", "others").distinct()
-    pairs = bands.withColumn("i", number("mains")).withColumn("j", number("others")).select(*PLACE[:3], F.lit(False).alias("inner"))
-    inner = bands.withColumn("i", number("others")).withColumn("j", number("others")).where("i <= j").select(*PLACE[:3], F.lit(True).alias("inner"))
-    pairs = pairs.unionByName(inner)
-
-    def met(pairs: DataFrame, comps: DataFrame, *columns: str) -> DataFrame:
-        """Pairs of blocks with the documents of both."""
-        needed = pairs.select("band", F.explode(F.array(F.struct(F.col("inner").alias("lesser"), F.col("i").alias("at")), F.struct(F.lit(True).alias("lesser"), F.col("j").alias("at")))).alias("x")).select("band", "x.*").distinct()
-        full = parts.join(needed, ["band", "lesser", "at"]).join(comps, "id", "left").join(sets.select("id", *columns), "id")
-        full = full.groupBy("band", "lesser", "at").agg(F.collect_list(F.struct("id", F.coalesce("comp", "id").alias("comp"), *columns)).alias("d"))
-        full = checkpointed(full)
-        left = full.select("band", F.col("lesser").alias("inner"), F.col("at").alias("i"), F.col("d").alias("l"))
-        right = full.where("lesser").select("band", F.col("at").alias("j"), F.col("d").alias("r"))
-        return pairs.join(left, ["band", "inner", "i"]).join(right, ["band", "j"]).select(*PLACE, "l", "r")
+    to = lambda low, most: F.explode(F.sequence(low.cast("long"), F.col(most).cast("long") - 1))
+    at = F.col("at").cast("long")
+    placed = lambda df, i, j, inner, right: df.select("band", i.alias("i"), j.alias("j"), F.lit(inner).alias("inner"), F.lit(right).alias("right"), "id")
+    large, small = parts.where("not lesser"), parts.where("lesser")
+    places = placed(large, at, to(F.lit(0), "others"), False, False)
+    places = places.unionByName(placed(small, to(F.lit(0), "mains"), at, False, True))
+    places = places.unionByName(placed(small, at, to(at, "others"), True, False))
+    places = places.unionByName(placed(small, F.explode(F.sequence(F.lit(0).cast("long"), at)), at, True, True))
+
+    def met(places: DataFrame, comps: DataFrame, fn, schema: str, *columns: str) -> DataFrame:
+        """fn of each pair of blocks with the documents of both, as it returns."""
+        full = places.join(comps, "id", "left").join(sets.select("id", *columns), "id").withColumn("comp", F.coalesce("comp", "id"))
+        return checkpointed(full.groupBy(*PLACE).applyInArrow(fn(threshold, miss), schema))
 
     schema = "a bigint, b bigint, band bigint, i bigint, j bigint, inner boolean"
-    found = checkpointed(met(pairs, comps, "checks").mapInArrow(_across(threshold, miss), schema))
+    found = met(places, comps, _across, schema, "checks")
     more = checkpointed(_linked_pairs(found.where("a is not null").select("a", "b").distinct(), sets, set_blocks, threshold, miss))
     if not more.isEmpty():
-        links = links.unionByName(more)
-        comps = checkpointed(components(links))
+        comps = joined(comps, more)
     rest = found.where("a is null").select(*PLACE)
     if not rest.isEmpty():
-        apart = met(rest, comps, "checks").mapInArrow(_across(threshold, miss), schema)
-        apart = checkpointed(apart.select(*PLACE).distinct())
+        apart = met(places.join(rest, list(PLACE)), comps, _across, schema, "checks").select(*PLACE).distinct()
         if not apart.isEmpty():
-            last = checkpointed(met(apart, comps, "checks", "members").mapInArrow(_joining(threshold, miss), "a bigint, b bigint").distinct())
-            comps = checkpointed(components(links.unionByName(last)))
+            last = met(places.join(apart, list(PLACE)), comps, _joining, "a bigint, b bigint", "checks", "members")
+            comps = comps if last.isEmpty() else joined(comps, last)
 
     groups = leaders.select("key", "leader").join(comps.withColumnRenamed("id", "leader"), "leader", "left").select("key", F.coalesce("comp", "leader").alias("comp"))
     out = sketched.select("id", "n", "key").join(groups, "key", "left")
