@@ -286,7 +286,7 @@ def test_language_model_beats_its_base_on_held_out_texts(spark):
         assert np.isclose(got[i]["base_score"], want) and got[i]["n_known"] == sum(t in counts for t in tokens)
         assert (got[i]["n_tokens"], got[i]["train_tokens"]) == (len(tokens), total)
     ids = [i for i, _ in held]
-    assert sum(got[i]["score"] for i in ids) > 0.97 * sum(got[i]["base_score"] for i in ids)
+    assert sum(got[i]["score"] for i in ids) > 0.98 * sum(got[i]["base_score"] for i in ids)
 
 
 def test_language_model_does_not_depend_on_partitions(spark):
@@ -304,7 +304,7 @@ def lm_block():
 
 def test_language_model_is_a_distribution():
     block, r = lm_block(), np.random.default_rng(11)
-    keys = np.unique(block.keys)[::2]  # some features only
+    keys = np.unique(maxent_lm._split(block.counts(np.ones(20, bool)))[0])[::2]  # some features only
     weights, bias = r.normal(0, 1, (len(keys), 6)).astype(np.float32), r.normal(0, 1, 6).astype(np.float32)
     for _, _, p in block.batches(keys, weights, bias):
         assert np.allclose(p.sum(1), 1, atol=1e-5)
@@ -313,11 +313,11 @@ def test_language_model_is_a_distribution():
 def test_language_model_gradient():
     """Observed less expected counts against differences of the log probability of all classes."""
     block, r = lm_block(), np.random.default_rng(12)
-    keys = np.unique(block.keys)
+    k, c, n = maxent_lm._split(block.counts(np.ones(20, bool)))
+    keys = np.unique(k)
     weights, bias = r.normal(0, 0.5, (len(keys), 6)).astype(np.float32), r.normal(0, 0.5, 6).astype(np.float32)
     observed = np.zeros((len(keys), 6))
-    k, c, n = block.counts(np.ones(20, bool))
-    np.add.at(observed, (np.searchsorted(keys, k), c), n)
+    np.add.at(observed, (np.searchsorted(keys, k), c.astype(int)), n)
     seen, expected = block.expected(keys, weights, bias)
     assert np.array_equal(seen, observed.sum(1)) and np.allclose(expected.sum(1), seen, rtol=1e-4)
     for _ in range(20):
@@ -331,11 +331,11 @@ def test_language_model_gradient():
 
 def test_language_model_steps_raise_the_probability():
     block = lm_block()
-    keys = np.unique(block.keys)
+    k, c, n = maxent_lm._split(block.counts(np.ones(20, bool)))
+    keys = np.unique(k)
     bias = np.full(6, -np.log(6), np.float32)
     observed = np.zeros((len(keys), 6))
-    k, c, n = block.counts(np.ones(20, bool))
-    np.add.at(observed, (np.searchsorted(keys, k), c), n)
+    np.add.at(observed, (np.searchsorted(keys, k), c.astype(int)), n)
     weights, before = np.zeros((len(keys), 6), np.float32), -np.inf
     for rate in maxent_lm.RATES:
         after = block.log_prob(keys, weights, bias).sum()
