@@ -306,8 +306,11 @@ def test_language_model_is_a_distribution():
     block, r = lm_block(), np.random.default_rng(11)
     keys = np.unique(maxent_lm._split(block.counts(np.ones(20, bool)))[0])[::2]  # some features only
     weights, bias = r.normal(0, 1, (len(keys), 6)).astype(np.float32), r.normal(0, 1, 6).astype(np.float32)
-    for _, _, p in block.batches(keys, weights, bias):
-        assert np.allclose(p.sum(1), 1, atol=1e-5)
+    total = np.zeros(len(block.ids))
+    for c in range(6):
+        block.class_of = np.full(len(block.words), c)
+        total += np.exp(block.log_prob(keys, weights, bias))
+    assert np.allclose(total, 1, atol=1e-5)
 
 
 def test_language_model_gradient():
