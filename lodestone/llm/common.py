@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -65,6 +66,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df from a Parquet table in the folder of checkpoints, which is smaller than a checkpoint where rows are many and short."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        checkpointed(df.sparkSession.range(1))
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4()}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dealt(df: DataFrame, partitions: int, column: str) -> DataFrame:
     """df by hash of a column, from files, such that grouping by that column needs no further shuffle.
 
