@@ -6,9 +6,12 @@ loses its v-arc, u-arcs are led to the copy, and each state with a u-arc gets an
 the place where v led. A sequence of labels is a correct encoding if and only if the
 automaton has that path, and each string has one such path.
 
-All arcs of a label lead to the same state, and a copy differs from its parent by one arc.
-So the states are kept as (parent, label lost, rank), arcs are resolved on first use and
-then stay in the transition table. A word is read byte by byte through the table.
+All arcs of a label lead to the same state, and a copy differs from the state that it was
+made of by one arc. So a state is kept as the label whose arcs were led to it and the rank
+of its gadget; what it lost goes by label and rank. Transitions (state, label) -> state are
+resolved from these on first use and then stay in the transition table. A word is read by
+its bytes: at each place, of the labels that end there, the one is taken that has a
+transition from the state in which it starts, and its state is the place's.
 """
 
 from __future__ import annotations
@@ -35,10 +38,11 @@ class Automaton:
         self.label = {i: x for x, i in ids.items()}
         self.ids = dict(ids)
         size = max(self.label) + 1
-        self.target = [0] * size
-        #: Of each state: its parent, and the rank of the gadget that made it.
-        self.parent, self.made = [-1], [-1]
-        #: (root label whose arcs lead there, label lost) -> rank of the gadget.
+        #: The state that a label's arcs lead to, now and before the first gadget that split it.
+        self.target, self.base = [0] * size, [0] * size
+        #: Of each state: the label whose arcs were led to it, and the rank of the gadget that made it.
+        self.owner, self.made = [-1], [-1]
+        #: (label whose arcs lead there, label lost) -> rank of the gadget.
         self.lost: dict[tuple[int, int], int] = {}
         #: Labels in front of a merged label, outermost first, with the rank up to which each was a whole label.
         self.born = [-1] * size
@@ -46,17 +50,17 @@ class Automaton:
         dead = set()
         for rank, (a, b) in enumerate(merges):
             u, v, uv = ids[a], ids[b], ids[a + b]
-            if u in dead or v in dead or self.born[uv] >= 0 or not self._arc(u, v, rank):
+            if u in dead or v in dead or self.born[uv] >= 0 or not self._arc(self.target[u], v, rank):
                 dead.add(uv)  # no string is encoded with it
                 continue
             self._gadget(u, v, uv, rank)
         for x in dead:
             if self.born[x] < 0:
                 self.ids.pop(self.label[x], None)
-        self.arcs: dict[int, bool] = {}
+        #: (state, label) -> the next state, or -1: as far as it was used.
+        self.table: dict[int, int] = {}
         self._suffixes()
         self.jump = dict(self.to)  # and, as they are used, the ways that lead back
-        del self.parent, self.made
 
     def _suffixes(self) -> None:
         """A table from (place, byte) to the place after it, where a place names the longest end of what was read that begins some label."""
@@ -91,43 +95,50 @@ class Automaton:
         return self._next(self.back[at], b) if at else 0
 
     def _gadget(self, u: int, v: int, uv: int, rank: int) -> None:
-        leads = self.target[v]
-        self.parent.append(self.target[u])
+        self.base[uv] = self.target[uv] = self.target[v]
+        self.owner.append(u)
         self.made.append(rank)
-        self.target[u] = len(self.parent) - 1
-        self.target[uv] = leads
+        self.target[u] = len(self.owner) - 1
         self.lost[u, v] = rank
         self.born[uv], self.left[uv], self.right[uv] = rank, u, v
 
-    def _arc(self, s: int, t: int, now: int) -> bool:
-        """Whether the state after label s has an arc t, before the gadget of rank `now`.
+    def _arc(self, state: int, label: int, now: int) -> bool:
+        """Whether a state has an arc of this label, before the gadget of rank `now`.
 
-        The state after s descends from the states after s's right parts, each as it was
-        when the part was merged away; arc t stems from arcs of t's left parts likewise.
-        An arc is missing if one of those gadgets took it.
+        A state lacks what it or a state before it lost; and as arc uv came to states with
+        an arc u, what lost u before that lacks uv.
         """
-        x, x_until = t, now
+        x, until = label, now
         while x >= 0:
-            y, y_until = s, now
-            while y >= 0:
-                rank = self.lost.get((y, x))
-                if rank is not None and rank < y_until and (rank < x_until or x != t and rank == x_until):
+            at = state
+            while at:
+                rank = self.lost.get((self.owner[at], x))
+                if rank is not None and rank <= self.made[at] and (rank < until or x != label and rank == until):
                     return False
-                y_until, y = self.born[y], self.right[y]
-            x_until, x = self.born[x], self.left[x]
+                at = self.base[self.owner[at]]
+            until, x = self.born[x], self.left[x]
         return True
 
-    def encode(self, word: bytes) -> list[int]:
-        """Labels of the one path that spells the word.
+    def next(self, state: int, label: int) -> int:
+        """The transition from a state by a label; -1 if there is none."""
+        key = state << 20 | label
+        got = self.table.get(key)
+        if got is None:
+            if len(self.table) > ARCS:
+                self.table.clear()
+            got = self.table[key] = self.target[label] if self._arc(state, label, 1 << 60) else -1
+        return got
 
-        last[n] is the label that the path of the first n bytes ends with: of the labels
-        that end there, the one with an arc from the state in which it starts.
-        """
+    def encode(self, word: bytes) -> list[int]:
+        """Labels of the one path that spells the word."""
         whole = self.ids.get(word)
         if whole is not None:
             return [whole]
-        to, ends, shorter, size, arcs = self.jump, self.ends, self.shorter, self.size, self.arcs
-        last, at, n = [-1], 0, 0
+        if len(self.jump) > ARCS:
+            self.jump = dict(self.to)
+        to, ends, shorter, size, table = self.jump, self.ends, self.shorter, self.size, self.table
+        # the label that the path of the first n bytes ends with, and the state that it ends in
+        last, states, at, n = [-1], [0], 0, 0
         for b in word:
             n += 1
             key = at << 8 | b
@@ -135,17 +146,16 @@ class Automaton:
             if at is None:
                 at = to[key] = self._next(key >> 8, b)
             label = ends[at]
-            while start := n - size[label]:
-                key = last[start] << 20 | label
-                open_ = arcs.get(key)
-                if open_ is None:
-                    if len(arcs) > ARCS:
-                        arcs.clear()
-                    open_ = arcs[key] = self._arc(last[start], label, 1 << 60)
-                if open_:
+            while True:
+                state = states[n - size[label]]
+                nxt = table.get(state << 20 | label)
+                if nxt is None:
+                    nxt = self.next(state, label)
+                if nxt >= 0:
                     break
                 label = shorter[label]
             last.append(label)
+            states.append(nxt)
         out = []
         while n:
             out.append(last[n])

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import zstandard
 from lodestone.llm import html_crf, langid, maxent_lm, minhash, packing, quality, suffix_dedup, topk
-from lodestone.llm.bpe_automaton import Codec
+from lodestone.llm.bpe_automaton import Automaton, Codec
 from lodestone.llm.common import words_of
 from lodestone.llm.token_counts import Counter as TokenCounter
 from tokenizers import Tokenizer
@@ -34,6 +34,39 @@ def test_byte_bpe_equals_the_library():
         assert counter.count(text) == len(ids)
 
 
+def test_automaton_against_explicit_states():
+    """Every transition of every state against gadgets carried out on whole copies of the arcs."""
+    r = random.Random(31)
+    for _ in range(60):
+        labels = [b"a", b"b", b"c"]
+        merges = []
+        for _ in range(r.randint(1, 12)):
+            pair = (r.choice(labels), r.choice(labels))
+            if pair[0] + pair[1] not in labels:
+                merges.append(pair)
+                labels.append(pair[0] + pair[1])
+        ids = {x: i for i, x in enumerate(labels)}
+        automaton = Automaton(ids, merges)
+        states = [{0: 0, 1: 0, 2: 0}]
+        for a, b in merges:
+            u, v, uv = ids[a], ids[b], ids[a + b]
+            to = states[0].get(u)
+            if to is None or v not in states[to]:
+                continue
+            leads, copy = states[to][v], len(states)
+            states.append({x: y for x, y in states[to].items() if x != v})
+            for arcs in states:
+                if u in arcs:
+                    arcs[u] = copy
+                    arcs[uv] = leads
+        # an arc uv leads to where v led; later gadgets have led v's arcs on, and uv's own
+        assert len(automaton.owner) == len(states)
+        for q, arcs in enumerate(states):
+            for x in range(len(labels)):
+                known = labels[x] in automaton.ids
+                assert (automaton.next(q, x) if known and automaton._arc(q, x, 1 << 60) and (x < 3 or automaton.born[x] >= 0) else None) == arcs.get(x), (merges, q, x)
+
+
 def test_word_bpe_equals_the_library():
     library, encoder = Tokenizer.from_file(WORD), packing.ChunkEncoder(WORD)
     texts = samples(4000, 2)
