@@ -4,14 +4,15 @@ A page is a sequence of leaf blocks: text between the borders that block element
 ends make. Features are the tags and class or id words of a block's ancestors, and what
 its text looks like. The field labels each block main or other; Viterbi finds the best
 labelling. It is trained on labelled pages: those whose markup marks the article itself
-(`article`, `main`). A part of them is shown without that markup, so that text, neighbours
-and the rest of the ancestors carry weight too.
+(`article`, `main`). They are also shown without that markup, so that text, neighbours and
+the rest of the ancestors carry weight too.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -21,37 +22,70 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-# Tags by what they do to the text around them.
+# Tags by what they do to the text around them; any other tag stands within a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-SILENT = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button title head".split())
+BLOCK = frozenset(
+    "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html"
+    " legend li listing main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
+)
+SILENT = frozenset("script style noscript template iframe select textarea title canvas audio video".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 OTHER = frozenset("nav header footer aside form menu dialog".split())
 OTHER_WORDS = re.compile(r"(^|[-_\s])(ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|comments?|respond|menu|nav\w*|sidebar|footer|header|share|social|related|breadcrumbs?|popup|modal|newsletter|subscribe|login)([-_\s]|$)")
 
 #: Bits of a feature's number, the most pages to train on, passes over them, step and decay.
 BITS, TRAIN_PAGES, PASSES, STEP, DECAY = 14, 160, 30, 0.5, 1e-4
+#: Where weights start for and against: parts that training pages may lack, as reader comments, are known by name and place.
+PRIOR = {"other-word": 3.0, "of-article:False": 2.0}
+#: Characters of the longest page to train on.
+TRAIN_CHARS = 200_000
+
+
+class Node:
+    """An open element: its features and those of its ancestors, with and without the tags that mark an article.
+
+    An element that adds no feature shares the sets of its parent.
+    """
+
+    __slots__ = ("tag", "found", "bare", "parent", "bare_parent", "main")
+
+    def __init__(self, tag: str, words: str, above: Node | None):
+        self.tag = tag
+        new = [f"in:{tag}", *(f"word:{x}" for x in words.split())]
+        other = tag in OTHER or bool(OTHER_WORDS.search(words))
+        if OTHER_WORDS.search(words):
+            new.append("other-word")
+        hidden = tag in ("article", "main")
+        found, bare = (above.found, above.bare) if above else (frozenset(), frozenset())
+        self.found = found if found.issuperset(new) else found.union(new)
+        self.bare = bare if hidden or bare.issuperset(new) else bare.union(new)
+        self.parent = tag
+        self.bare_parent = (above.bare_parent if above else "") if hidden else tag
+        #: Whether the text is of an article, and not of a part that isn't its own.
+        self.main = hidden or bool(above and above.main and not other)
 
 
 class Leaves(HTMLParser):
-    """Leaf blocks of a page: (ancestors as (tag, class and id words), text, characters in links)."""
+    """Leaf blocks of a page: (innermost element, text, characters in links)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str]] = []
-        self.blocks: list[tuple[tuple, str, int]] = []
+        self.stack: list[Node] = []
+        self.open: Counter = Counter()
+        self.silent = 0
+        self.blocks: list[tuple[Node | None, str, int]] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.path: tuple = ()
+        self.node: Node | None = None
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((self.path, text, self.linked))
+            self.blocks.append((self.node, text, self.linked))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag not in INLINE:
+        if tag in BLOCK:
             self.flush()
         elif tag == "br":
             self.parts.append(" ")
@@ -61,71 +95,103 @@ class Leaves(HTMLParser):
             self._close(tag, {"ul", "ol", "dl", "table"})
         if tag not in VOID:
             names = dict(attrs)
-            self.stack.append((tag, f"{names.get('class') or ''} {names.get('id') or ''} {names.get('role') or ''}".lower().strip()))
+            words = f"{names.get('class') or ''} {names.get('id') or ''} {names.get('role') or ''}".lower().strip()
+            self.stack.append(Node(tag, words, self.stack[-1] if self.stack else None))
+            self.open[tag] += 1
+            self.silent += tag in SILENT
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def _pop(self) -> str:
+        tag = self.stack.pop().tag
+        self.open[tag] -= 1
+        self.silent -= tag in SILENT
+        return tag
+
     def _close(self, tag: str, walls: frozenset | set) -> None:
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
+            if self.stack[i].tag == tag:
+                while len(self.stack) > i:
+                    self._pop()
                 return
-            if self.stack[i][0] in walls:
+            if self.stack[i].tag in walls:
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in INLINE:
+        if tag in BLOCK:
             self.flush()
-        if any(x == tag for x, _ in self.stack):
-            while self.stack.pop()[0] != tag:
+        if self.open[tag]:
+            while self._pop() != tag:
                 pass
 
     def handle_data(self, data: str) -> None:
-        if any(x in SILENT for x, _ in self.stack) or self.cdata_elem:
+        if self.silent or self.cdata_elem:
             return
         if not self.parts and data.strip():
-            self.path = tuple(self.stack)
+            self.node = self.stack[-1] if self.stack else None
         self.parts.append(data)
-        if any(x == "a" for x, _ in self.stack):
+        if self.open["a"]:
             self.linked += len(data)
 
+    def parse_html_declaration(self, i: int) -> int:
+        """Marked sections and other declarations of any form are comments."""
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        return self.parse_bogus_comment(i)
 
-def leaves(html: str | None) -> list[tuple[tuple, str, int]]:
+    def unended(self) -> None:
+        """At the page's end: a tag or comment that isn't ended is no text."""
+        if not self.cdata_elem and re.match(r"<[a-zA-Z/!?]", self.rawdata):
+            self.rawdata = ""
+
+
+def leaves(html: str | None) -> list[tuple[Node | None, str, int]]:
     parser = Leaves()
     parser.feed(html or "")
+    parser.unended()
     parser.close()
     parser.flush()
     return parser.blocks
 
 
-def features(blocks: list[tuple[tuple, str, int]], bare: bool = False) -> list[np.ndarray]:
-    """Feature numbers of each block; bare: without the ancestors that mark the article."""
+def features(blocks: list[tuple[Node | None, str, int]], bare: bool = False, mute: bool = False) -> list[np.ndarray]:
+    """Feature numbers of each block; bare: without the ancestors that mark the article; mute: without those of the text."""
     out = []
-    for i, (path, text, linked) in enumerate(blocks):
-        tags = [(t, w) for t, w in path if not (bare and t in ("article", "main"))]
+    numbers: dict[str, int] = {}
+    above: dict[int, set[int]] = {}  # of each set of ancestors' features; nodes live as long as blocks
+
+    def number(x: str) -> int:
+        got = numbers.get(x)
+        if got is None:
+            got = numbers[x] = zlib.crc32(x.encode()) & (1 << BITS) - 1
+        return got
+
+    marked = not bare and any(node and node.main for node, _, _ in blocks)
+    for i, (node, text, linked) in enumerate(blocks):
         n = len(text)
         found = {"bias", f"len:{min(n.bit_length(), 10)}", f"link:{round(4 * linked / n) if n else 0}", f"end:{text[-1] in '.!?…:'}", f"commas:{min(text.count(','), 3)}", f"first:{text[0].isupper()}"}
+        if marked:
+            found.add(f"of-article:{bool(node and node.main)}")
         found.add(f"mark:{any(c in text for c in '©®|»·')}")
-        found.add(f"parent:{tags[-1][0] if tags else ''}")
-        for t, w in tags:
-            found.add(f"in:{t}")
-            found.update(f"word:{x}" for x in w.split())
-            if OTHER_WORDS.search(w):
-                found.add("other-word")
+        if mute:
+            found = {x for x in found if x.startswith(("bias", "of-article"))}
+        found.add(f"parent:{(node.bare_parent if bare else node.parent) if node else ''}")
         found.add(f"place:{'first' if i == 0 else 'last' if i == len(blocks) - 1 else 'mid'}")
-        out.append(np.array(sorted({zlib.crc32(x.encode()) & (1 << BITS) - 1 for x in found}), np.int64))
+        tags = (node.bare if bare else node.found) if node else frozenset()
+        if id(tags) not in above:
+            above[id(tags)] = {number(x) for x in tags}
+        out.append(np.array(sorted(above[id(tags)] | {number(x) for x in found}), np.int64))
     return out
 
 
-def labels(blocks: list[tuple[tuple, str, int]]) -> list[int] | None:
+def labels(blocks: list[tuple[Node | None, str, int]]) -> list[int] | None:
     """1 for blocks within the article that no inner part takes out, else 0; None if the page has no such markup."""
-    out = []
-    for path, _, _ in blocks:
-        at = max((i for i, (t, _) in enumerate(path) if t in ("article", "main")), default=-1)
-        out.append(int(at >= 0 and not any(t in OTHER or OTHER_WORDS.search(w) for t, w in path[at + 1 :])))
+    out = [int(bool(node and node.main)) for node, _, _ in blocks]
     return out if any(out) else None
 
 
@@ -134,6 +200,8 @@ class Field:
 
     def __init__(self):
         self.w = np.zeros((1 << BITS, 2))
+        for x, against in PRIOR.items():
+            self.w[zlib.crc32(x.encode()) & (1 << BITS) - 1] = against, -against
         self.t = np.zeros((3, 2))  # from label 0, from label 1, from the start
 
     def scores(self, feats: list[np.ndarray]) -> np.ndarray:
@@ -176,16 +244,19 @@ class Field:
 
 
 def fit(pages: list[str], passes: int = PASSES) -> Field:
-    """Trains on labelled pages, each whole and bare, by AdaGrad over the full gradient."""
+    """Trains on labelled pages, each whole, bare and mute, by AdaGrad over the full gradient.
+
+    Bare ones teach text and other ancestors, mute ones keep those from drowning the markup.
+    """
     data = []
     for html in pages:
         blocks = leaves(html)
         if blocks and (gold := labels(blocks)):
-            data += [(features(blocks, bare), gold) for bare in (False, True)]
-    field = Field()
+            data += [(features(blocks, *view), gold) for view in ((False, False), (True, False), (False, True))]
+    field, prior = Field(), Field().w
     hw, ht = np.full_like(field.w, 1e-8), np.full_like(field.t, 1e-8)
     for _ in range(passes if data else 0):
-        gw, gt = -DECAY * field.w, -DECAY * field.t
+        gw, gt = -DECAY * (field.w - prior), -DECAY * field.t
         for feats, gold in data:
             field.gradient(feats, gold, gw, gt)
         hw += gw**2
@@ -196,8 +267,8 @@ def fit(pages: list[str], passes: int = PASSES) -> Field:
 
 
 def train(pages: DataFrame, html: str = "html", id_col: str = "page_id", most: int = TRAIN_PAGES) -> Field:
-    """A field trained on at most `most` labelled pages, those of the smallest hashes of the id."""
-    marked = pages.where(pages[html].rlike("(?i)<(article|main)[\\s>]")).select(pages[html].alias("html"), F.xxhash64(pages[id_col]).alias("h"))
+    """A field trained on at most `most` labelled pages of at most TRAIN_CHARS characters, those of the smallest hashes of the id."""
+    marked = pages.where(pages[html].rlike("(?i)<(article|main)[\\s>]") & (F.length(html) <= TRAIN_CHARS)).select(pages[html].alias("html"), F.xxhash64(pages[id_col]).alias("h"))
     # the hashes first, so that tasks don't send pages that aren't taken
     last = marked.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
     if last is None:

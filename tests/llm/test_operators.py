@@ -1,6 +1,8 @@
 """Each operator against a brute-force version, the library it must equal, or held-out truth."""
 
+import itertools
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -301,6 +303,75 @@ def test_pages_without_article_markup(spark):
     assert exact == len(pages) - 25 and bare >= 0.8 * exact
 
 
+def blocks_of(page):
+    return [text for _, text, _ in html_crf.leaves(page)]
+
+
+def test_malformed_pages():
+    assert blocks_of("<p>a<![foo[x]]>b") == ["ab"] and blocks_of("<p>a<![ >b<!ELEMENT x>c<?php y>d") == ["abcd"]
+    assert blocks_of("<head><title>t</title><body><article><p>Hi") == ["Hi"]
+    assert blocks_of("<p>one<!-- never ended <p>two") == ["one"] and blocks_of("<p>one<a href='x") == ["one"]
+    assert blocks_of("<p>A <ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby> word, <math><mi>x</mi></math> and <button>this</button>.") == ["A 漢(kan) word, x and this."]
+    assert blocks_of("<p>x<object>fall back</object>") == ["xfall back"] and blocks_of("a &lt; b &#x41;&nope;") == ["a < b A&nope;"]
+    assert blocks_of("<script>if (a<b) '<p>'</script><style>p{}</style><p>only") == ["only"]
+
+
+def test_deep_and_long_pages_take_linear_time():
+    start = time.time()
+    for page in ("<div>" * 5000 + "<p>x y z" * 5000, "<span>" * 5000 + "<div>a</div>" * 5000, "<ul><li>" * 3000 + "word " * 300_000, "<b>" * 5000 + "<p>t" * 5000):
+        html_crf.features(html_crf.leaves(page))
+    assert time.time() - start < 20
+
+
+def test_viterbi_and_gradient_by_enumeration():
+    r = np.random.default_rng(41)
+    field = html_crf.Field()
+    field.w, field.t = r.normal(0, 1, field.w.shape), r.normal(0, 1, field.t.shape)
+    feats = [r.choice(1 << html_crf.BITS, 3, replace=False) for _ in range(6)]
+
+    def total(path):
+        s = sum(field.w[f, y].sum() for f, y in zip(feats, path, strict=True))
+        return s + field.t[2, path[0]] + sum(field.t[a, b] for a, b in zip(path, path[1:]))
+
+    paths = list(itertools.product((0, 1), repeat=6))
+    assert tuple(field.viterbi(feats)) == max(paths, key=total)
+    gold = [0, 1, 1, 0, 1, 0]
+    log_p = lambda: total(gold) - np.logaddexp.reduce([total(p) for p in paths])
+    gw, gt = np.zeros_like(field.w), np.zeros_like(field.t)
+    field.gradient(feats, gold, gw, gt)
+    for table, at, slope in ((field.w, (feats[2][0], 1), gw), (field.w, (feats[4][1], 0), gw), (field.t, (0, 1), gt), (field.t, (2, 1), gt)):
+        old = table[at]
+        table[at] = old + 1e-5
+        up = log_p()
+        table[at] = old - 1e-5
+        down = log_p()
+        table[at] = old
+        assert np.isclose(slope[at], (up - down) / 2e-5, atol=1e-4)
+
+
+#: Pages and their main text, written by hand.
+WRITTEN = [
+    (
+        "<html><head><title>News</title></head><body><div id='top-nav'><a href='/'>Home</a> <a href='/n'>News</a></div><div class='post'><h1>Bridge reopens after repairs</h1>"
+        "<p>The old bridge over the river was opened again on Monday, after two years of work on its piers.</p><p>Traffic will be allowed in both directions, the council said, but lorries have to wait until May.</p></div>"
+        "<div class='footer'>© 2024 Town News | <a href='/t'>Terms</a></div></body></html>",
+        "Bridge reopens after repairs\nThe old bridge over the river was opened again on Monday, after two years of work on its piers.\nTraffic will be allowed in both directions, the council said, but lorries have to wait until May.",
+    ),
+    (
+        "<body><nav><ul><li><a href=a>Start</a><li><a href=b>About</a></ul></nav><article><h2>Bread at home</h2><p>Flour, water, salt and time are all that a loaf needs, and most of it is time.</p>"
+        "<p>Mix them in the evening, fold the dough twice, and bake it in the morning.</p></article><div class='comments'><p>Great recipe, thanks for sharing it!</p></div><footer>All rights reserved</footer>",
+        "Bread at home\nFlour, water, salt and time are all that a loaf needs, and most of it is time.\nMix them in the evening, fold the dough twice, and bake it in the morning.",
+    ),
+]
+
+
+def test_pages_written_by_hand(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    field = html_crf.train(pages)
+    for page, text in WRITTEN:
+        assert html_crf.main_text(page, field) == text
+
+
 def test_language_model_beats_its_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     train = langid.F.crc32(docs["doc_id"].cast("string").cast("binary")) % 5 != 1
