@@ -24,8 +24,8 @@ from .common import checkpointed
 
 #: Vectors in a block of queries or candidates, and buckets of a histogram.
 QUERIES, CANDIDATES, BUCKETS = 512, 4096, 4096
-#: A component this large once scaled keeps a vector out, as 64-bit sums could overflow.
-LARGEST = 2**24
+#: Vectors with a component this large once scaled have blocks of their own, scored in whole numbers of any size.
+LARGE = 2**24
 
 BLOCK = "ids binary, mat binary, n int, dim int, top double"
 
@@ -59,13 +59,16 @@ def _blocks(df: DataFrame, id_col: str, vec_col: str, scale: int, rows: int) ->
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for dim, (at, mat) in _valid(batch.column(1))[1].items():
                 mat = np.floor(mat * scale)
-                fine = np.isfinite(mat).all(1) & (np.abs(np.nan_to_num(mat, nan=np.inf)) <= LARGEST).all(1)
-                kept.setdefault(dim, []).append((ids[at[fine]].astype("<i8"), mat[fine]))
-                while sum(len(x) for x, _ in kept[dim]) >= rows:
-                    a, m = (np.concatenate(x) for x in zip(*kept[dim], strict=True))
-                    yield out(dim, a[:rows], m[:rows])
-                    kept[dim] = [(a[rows:], m[rows:])]
-        for dim, parts in kept.items():
+                fine = np.isfinite(mat).all(1)
+                large = (np.abs(mat) > LARGE).any(1)
+                for part in (fine & ~large, fine & large):
+                    key = dim, bool(large[part].any())
+                    kept.setdefault(key, []).append((ids[at[part]].astype("<i8"), mat[part]))
+                    while sum(len(x) for x, _ in kept[key]) >= rows:
+                        a, m = (np.concatenate(x) for x in zip(*kept[key], strict=True))
+                        yield out(dim, a[:rows], m[:rows])
+                        kept[key] = [(a[rows:], m[rows:])]
+        for (dim, _), parts in kept.items():
             a, m = (np.concatenate(x) for x in zip(*parts, strict=True))
             if len(a):
                 yield out(dim, a, m)
@@ -81,7 +84,11 @@ def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if q.shape[1] * row["q_top"] * row["top"] < 2**53:
         s = (q @ c.T).astype(np.int64)  # exact: all sums are whole numbers below 2**53
     else:
-        s = q.astype(np.int64) @ c.T.astype(np.int64)
+        whole = lambda x: np.array([[int(v) for v in row] for row in x], object)
+        s = whole(q) @ whole(c).T
+        if abs(s).max() >= 2**62:
+            raise OverflowError("a score is too large for a long")
+        s = s.astype(np.int64)
     s[q_ids[:, None] == c_ids[None, :]] = np.iinfo(np.int64).min
     return q_ids, c_ids, s
 
@@ -105,8 +112,8 @@ def top_k(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: int
 
     Components are floor(scale * x). Returns query_id, rank (from 1), vec_id, score. A
     candidate with the query's own id is left out; a query with fewer than k candidates
-    gets all. Rows with a null id, a null or empty vector, a null or non-finite component,
-    or one beyond 2**24 once scaled take no part; vectors of unlike lengths don't meet. A
+    gets all. Rows with a null id, a null or empty vector, a null or non-finite component
+    take no part; a score of 2**62 or more raises; vectors of unlike lengths don't meet. A
     repeated candidate counts as often as it occurs, a repeated query is answered as often
     (under the same query_id). Empty tables give no rows; other columns are ignored.
     """
@@ -116,7 +123,7 @@ def top_k(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: int
     stripes = int(spark.conf.get("spark.sql.shuffle.partitions"))
     c = checkpointed(_blocks(candidates, id_col, vec_col, scale, CANDIDATES).withColumn("stripe", F.pmod(F.monotonically_increasing_id(), F.lit(stripes)).cast("int")))
     bound = c.agg(F.max(F.col("dim") * F.col("top"))).first()[0]
-    reach = int(q.agg(F.max("q_top")).first()[0] or 0) * int(bound or 0) + 1
+    reach = min(int(q.agg(F.max("q_top")).first()[0] or 0) * int(bound or 0) + 1, 2**62)
 
     # by query: [low, low + span) holds the k-th score, which is the need-th from the range's top
     span = 2 * reach

@@ -123,6 +123,11 @@ def test_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("score", F.lit("x"))
     got = [tuple(r) for r in topk.top_k(spark, df.where("vec_id % 50 = 0"), df, k=3).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 3, 32768)]
+    # components of any size that scores have room for
+    big = spark.createDataFrame([(0, [1.0, 0.0]), (1, [70000.0, 0.0]), (2, [65536.0, 1.0]), (3, [0.1, 1e6]), (50, [1e6, -3e5])], "vec_id long, embedding array<double>")
+    want = {q: sorted(((-sum(int(256 * a // 1) * int(256 * b // 1) for a, b in zip(x, y, strict=True)), i) for i, y in vectors if i != q))[:3] for vectors in [[tuple(r) for r in big.collect()]] for q, x in vectors if q % 50 == 0}
+    found = topk.top_k(spark, big.where("vec_id % 50 = 0"), big, k=3).orderBy("query_id", "rank").collect()
+    assert {q: [(-r["score"], r["vec_id"]) for r in found if r["query_id"] == q] for q in want} == want
     assert topk.top_k(spark, df.where("false"), df).collect() == []
     assert topk.top_k(spark, df.where("vec_id = 0"), df.where("false")).collect() == []
 
