@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 # What a tag's block is called, tags whose text isn't shown, tags that part blocks.
 KINDS = {"p": "paragraph", "pre": "code", "blockquote": "blockquote", "figcaption": "caption", "caption": "caption", "li": "list_item", "dt": "list_item", "dd": "list_item", "td": "table", "th": "table"} | {f"h{i}": "heading" for i in range(1, 7)}
-HIDDEN = {"script", "style", "template", "noscript", "head"}
+HIDDEN = {"title", "script", "style", "template", "noscript"}
 PARTS = set(KINDS) | {"div", "section", "article", "main", "header", "footer", "nav", "aside", "ul", "ol", "dl", "table", "tr", "body", "html", "figure", "hr", "form", "address"}
 
 
@@ -51,6 +51,10 @@ class _Blocks(HTMLParser):
         if not self.hidden:
             self.parts.append(data)
 
+    def parse_html_declaration(self, i: int) -> int:
+        """Marked sections and other declarations of any form are comments."""
+        return self.parse_comment(i) if self.rawdata.startswith("<!--", i) else self.parse_bogus_comment(i)
+
 
 def blocks(html: str | None) -> list[dict]:
     """Blocks in page order: type, level of headings, nearest id so far, text."""

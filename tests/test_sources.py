@@ -47,3 +47,10 @@ def test_cover_density(spark):
     q = spark.createDataFrame([(7, ["red", "fox"])], "q long, terms array<string>")
     got = lexical.rank_documents(docs, q, "q").orderBy(F.desc("score")).collect()
     assert [r["doc_id"] for r in got] == [1, 2]
+
+
+def test_malformed_sections_are_comments():
+    from lodestone.sources.pages import blocks
+
+    assert [b["text"] for b in blocks("<p>a<![foo[x]]>b<![ >c<!DOCTYPE html>")] == ["abc"]
+    assert [b["text"] for b in blocks("<head><title>t</title><body><p>Hi")] == ["Hi"]
