@@ -82,6 +82,28 @@ def test_phrases_with_unicode_places(spark):
     assert find_phrases(docs, phrases.where("false"), "doc_id", "p").collect() == []
 
 
+@pytest.mark.parametrize("fold", [False, True])
+def test_phrases_against_brute_force(spark, fold):
+    r = random.Random(5)
+    body = lambda n: "".join(r.choice("abAB \n\u00e9\u0130\U0001f30a") for _ in range(n))
+    texts = [body(r.choice([1, 3, 20, 300, 2000])) for _ in range(40)]
+    said = []
+    for n in [1, 2, 3, 7, 8, 15, 16, 31, 32, 63, 64, 65, 127, 500] * 3:
+        source = r.choice([x for x in texts if len(x) >= n])
+        at = r.randrange(len(source) - n + 1)
+        said.append(source[at : at + n].swapcase() if fold and r.random() < 0.5 else source[at : at + n])
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (99, None)], "doc_id int, text string")
+    phrases = spark.createDataFrame([*enumerate(said), (0, said[0]), (1, said[-1])], "p int, phrase string")
+    low = lambda s: "".join(c.lower() if fold and len(c.lower()) == 1 else c for c in s)
+    want = []
+    for i, text in [*enumerate(texts), (0, texts[0])]:
+        text = low(text)
+        for p, s in {*enumerate(map(low, said)), (1, low(said[-1]))}:
+            places = [k for k in range(len(text)) if text.startswith(s, k)]
+            want += [(i, p, k) for k in places[:3]]
+    assert sorted(tuple(x) for x in find_phrases(docs, phrases, "doc_id", "p", most=3, fold=fold).collect()) == sorted(want)
+
+
 def test_fusion_scores_and_ties(spark):
     rows = [(1, 10, "exact", 1), (1, 11, "lexical", 1), (1, 12, "dense", 1)]
     got = {r["item"]: (r["score"], r["rank"]) for r in fusion.reciprocal_rank_fusion(spark.createDataFrame(rows, "query_id int, item int, component string, rank int")).collect()}
