@@ -146,7 +146,7 @@ def postings_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 EMBED = """e AS (
     SELECT doc_id, list_transform(range(0, 32), lambda b: len(list_filter(t, lambda x: x = b))::DOUBLE) AS v FROM (
         SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: ('0x' || substr(sha256(w), 1, 6))::BIGINT % 32) AS t
-        FROM documents WHERE length(text) <= 600)
+        FROM documents)
 )"""
 
 
@@ -171,17 +171,20 @@ def embedded(docs: DataFrame) -> DataFrame:
     return v.select("doc_id", F.array_join(F.transform("v", lambda x: F.round(1000 * x / F.col("norm")).cast("long").cast("string")), ",").alias("vector"))
 
 
-@query(f"""WITH {EMBED}, u AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e)
-    SELECT doc_id, array_to_string(list_transform(v, lambda x: round(1000 * x / CASE WHEN norm = 0 THEN 1 ELSE norm END)::BIGINT), ',') AS vector FROM u""")
+EMBEDDED = f"""WITH {EMBED}, u AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e)
+    SELECT doc_id, array_to_string(list_transform(v, lambda x: round(1000 * x / CASE WHEN norm = 0 THEN 1 ELSE norm END)::BIGINT), ',') AS vector FROM u"""
+
+
+@query(EMBEDDED)
 def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bags of hashed words as 32 unit-length counts (thousandths), of short texts: the default embedding model."""
-    return embedded(table(spark, sf_dir, "documents").where(F.length("text") <= 600))
+    """Bags of hashed words as 32 unit-length counts (thousandths), of whole texts: the default embedding model."""
+    return embedded(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(EMBEDDED)
 def hashed_embedding_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all documents, whole, however long."""
-    return embedded(table(spark, sf_dir, "documents"))
+    """hashed_embedding, under the name that its form for texts of any length had."""
+    return hashed_embedding(spark, sf_dir)
 
 
 @query("""SELECT page_id, length(html)::BIGINT AS n_chars, (length(html) < 200 AND html ILIKE '%<img%') AS image_only FROM pages""")

@@ -157,15 +157,19 @@ def path_b_adopt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(meta, "doc_id").join(other, "low").select("doc_id", F.col("low").alias("twin"), agree.alias("adopted"))
 
 
-@query("""WITH c AS (SELECT p_partkey, p_name, p_brand, list_sort(list_distinct(list(l_suppkey))) AS s FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL),
-    w AS (SELECT p_name, p_brand, min(p_partkey) AS work FROM c GROUP BY 1, 2)
-    SELECT c.p_partkey, w.work, len(list_intersect(c.s, o.s)) > 0 AS shared FROM c JOIN w ON c.p_name = w.p_name AND c.p_brand = w.p_brand AND c.p_partkey <> w.work JOIN c o ON o.p_partkey = w.work""")
+@query("""WITH k AS (SELECT DISTINCT p_partkey, p_name, p_brand, l_suppkey FROM part JOIN lineitem ON l_partkey = p_partkey),
+    w AS (SELECT p_name, p_brand, min(p_partkey) AS work FROM k GROUP BY 1, 2),
+    n AS (SELECT p_name, p_brand, l_suppkey, count(*) AS n FROM k GROUP BY ALL)
+    SELECT p_partkey, work, bool_or(n > 1) AS shared FROM k JOIN w USING (p_name, p_brand) JOIN n USING (p_name, p_brand, l_suppkey) WHERE p_partkey <> work GROUP BY ALL""")
 def sibling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of one name and brand, and whether a contributor is shared with the first of them."""
-    suppliers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_set("l_suppkey").alias("s"))
+    """Parts of one name and brand, and whether a contributor is shared with any other of them."""
+    suppliers = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct()
     c = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").join(suppliers, "p_partkey")
-    first = c.groupBy("p_name", "p_brand").agg(F.min_by(F.struct("p_partkey", "s"), "p_partkey").alias("w"))
-    return c.join(first, ["p_name", "p_brand"]).where("p_partkey <> w.p_partkey").select("p_partkey", F.col("w.p_partkey").alias("work"), F.arrays_overlap("s", "w.s").alias("shared"))
+    keys = ["p_name", "p_brand"]
+    work = c.groupBy(keys).agg(F.min("p_partkey").alias("work"))
+    n = c.groupBy(*keys, "l_suppkey").agg(F.count("*").alias("n"))
+    both = c.join(n, [*keys, "l_suppkey"]).groupBy(*keys, "p_partkey").agg(F.bool_or(F.col("n") > 1).alias("shared"))
+    return both.join(work, keys).where("p_partkey <> work").select("p_partkey", "work", "shared")
 
 
 @query("""WITH k AS (SELECT DISTINCT p_partkey, p_name, p_brand, l_suppkey FROM part JOIN lineitem ON l_partkey = p_partkey),

@@ -18,27 +18,33 @@ CANDIDATES, LONGEST_PHRASE = 40, 200
 
 
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 60 characters of the first line of each benchmark item: never cut by a chunk."""
-    first = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60)
-    return table(spark, sf_dir, "benchmark").select("item_id", first.alias("phrase"))
+    """The whole text of each benchmark item."""
+    return table(spark, sf_dir, "benchmark").where(F.length("text") > 0).select("item_id", F.col("text").alias("phrase"))
 
 
-PHRASES = "p AS (SELECT item_id, substr(split_part(text, chr(10), 1), 1, 60) AS phrase FROM benchmark)"
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole lines of each benchmark item: a chunk holds lines whole."""
+    each = F.explode(F.array_distinct(F.split("text", "\n", -1)))
+    return table(spark, sf_dir, "benchmark").select("item_id", each.alias("phrase")).where(F.length("phrase") > 0)
 
 
-@query(f"""WITH {PHRASES}, f AS (
+PHRASES = "p AS (SELECT item_id, text AS phrase FROM benchmark WHERE length(text) > 0)"
+LINES = "p AS (SELECT DISTINCT item_id, phrase FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS phrase FROM benchmark) WHERE length(phrase) > 0)"
+
+
+@query(f"""WITH {LINES}, f AS (
     SELECT item_id, doc_id, strpos(text, phrase) AS place, phrase FROM p JOIN documents ON contains(text, phrase)
 ) SELECT item_id, doc_id, (place - 1)::BIGINT AS canonical_start, (place - 1 + length(phrase))::BIGINT AS canonical_end, phrase AS match_text FROM f""")
 def exact_search_minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first place of each phrase in each document, found in chunks and led back through their spans."""
-    found = phrases(spark, sf_dir)
+    """The first place of each line of an item in each document, found in chunks and led back through their spans."""
+    found = lines(spark, sf_dir).select(F.struct("item_id", "phrase").alias("line"), "phrase")
     c = chunk_documents(table(spark, sf_dir, "documents"))
-    hits = find_phrases(c, found, "doc_id", "item_id", most=3, carry=("text", "spans"))
+    hits = find_phrases(c, found, "doc_id", "line", most=1, carry=("spans",))
     span = F.element_at(F.filter("spans", lambda s: s["at"] <= F.col("position")), -1)
     start = span["start"] + F.col("position") - span["at"]
-    places = hits.select("doc_id", "item_id", start.alias("canonical_start")).groupBy("item_id", "doc_id").agg(F.min("canonical_start").alias("canonical_start"))
-    out = places.join(found, "item_id")
-    return out.select("item_id", "doc_id", "canonical_start", (F.col("canonical_start") + F.length("phrase")).alias("canonical_end"), F.col("phrase").alias("match_text"))
+    places = hits.groupBy("line", "doc_id").agg(F.min(start).alias("canonical_start"))
+    phrase = F.col("line.phrase")
+    return places.select("line.item_id", "doc_id", "canonical_start", (F.col("canonical_start") + F.length(phrase)).alias("canonical_end"), phrase.alias("match_text"))
 
 
 @query(f"WITH {PHRASES} SELECT item_id, doc_id FROM p JOIN documents ON contains(text, phrase)")
@@ -51,14 +57,16 @@ def exact_search_case_insensitive(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_phrases(table(spark, sf_dir, "documents"), phrases(spark, sf_dir), "doc_id", "item_id", most=1, fold=True).select("item_id", "doc_id")
 
 
-@query("""WITH p AS (SELECT item_id, substr(text, 1, 8) AS phrase FROM benchmark WHERE length(text) >= 8), f AS (
+@query("""WITH p AS (SELECT item_id, list_max(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda w: {'n': length(w), 'phrase': w})).phrase AS phrase FROM benchmark), f AS (
     SELECT item_id, doc_id, i - 1 AS position, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY i) AS r FROM (
-        SELECT item_id, doc_id, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 8) = phrase)) AS i
+        SELECT item_id, doc_id, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, length(phrase)) = phrase)) AS i
         FROM p JOIN documents ON contains(text, phrase)))
     SELECT item_id, doc_id, position::BIGINT AS position FROM f WHERE r <= 3""")
 def exact_match_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three places, overlapping ones too, of short phrases."""
-    short = table(spark, sf_dir, "benchmark").where(F.length("text") >= 8).select("item_id", F.substring("text", 1, 8).alias("phrase"))
+    """The first three places, within words too, of the longest word of each item."""
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("phrase"))))
+    short = table(spark, sf_dir, "benchmark").select("item_id", longest["phrase"].alias("phrase"))
     return find_phrases(table(spark, sf_dir, "documents"), short, "doc_id", "item_id", most=3).select("item_id", "doc_id", "position")
 
 
@@ -71,15 +79,13 @@ def exact_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON length(b.text) > 0 AND contains(d.text, b.text)")
 def exact_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the whole text of an item, not only its opening."""
-    whole = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
-    return find_phrases(table(spark, sf_dir, "documents"), whole, "doc_id", "item_id", most=1).select("item_id", "doc_id")
+    return exact_search_case_sensitive(spark, sf_dir)
 
 
 @query("SELECT item_id FROM benchmark b WHERE length(text) > 0 AND NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
 def exact_absent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose whole text no document has."""
-    found = exact_search_whole(spark, sf_dir).select("item_id").distinct()
-    return table(spark, sf_dir, "benchmark").where(F.length("text") > 0).select("item_id").join(found, "item_id", "left_anti")
+    return exact_absent(spark, sf_dir)
 
 
 @query(f"SELECT item_id, length(text)::BIGINT AS n_chars, length(text) <= {LONGEST_PHRASE} AS exact_allowed FROM benchmark")
@@ -107,27 +113,18 @@ def lexical_strict_single_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("item_id", "doc_id", F.round(s / (s + 1), 6).alias("score"), "rank")
 
 
-@query("""WITH q AS (SELECT conv_id, turn, list_distinct(t) AS d, t FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: length(w) >= 3) AS t
-        FROM conversations WHERE role = 'user' AND conv_id % 20 = 0)),
-    o AS (SELECT conv_id, turn, list_filter(t, lambda w, i: list_position(t, w) = i)[1:12] AS terms FROM q),
-    u AS (SELECT conv_id, turn, len(terms) AS n, unnest(terms) AS term FROM o),
+STRATEGY = """WITH q AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM conversations WHERE role = 'user' AND conv_id % 20 = 0),
+    o AS (SELECT conv_id, turn, list_distinct(t) AS terms, list_filter(list_filter(t, lambda w: length(w) >= 3), lambda w, i: list_position(list_filter(t, lambda v: length(v) >= 3), w) = i)[1:12] AS few FROM q),
+    u AS (SELECT conv_id, turn, len(terms) AS n, few, unnest(terms) AS term FROM o),
     p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents),
-    m AS (SELECT conv_id, turn, doc_id, n, count(*) AS k FROM u JOIN p USING (term) GROUP BY ALL)
-    SELECT conv_id, turn, count(*) FILTER (k = n)::BIGINT AS strict_hits, count(*)::BIGINT AS any_hits, CASE WHEN count(*) FILTER (k = n) > 0 THEN 'strict' ELSE 'or_fallback' END AS strategy
-    FROM m GROUP BY ALL""")
-def lexical_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents have all terms of a query, how many have any, and which search that leads to."""
-    q = table(spark, sf_dir, "conversations").where("role = 'user' and conv_id % 20 = 0").select("conv_id", "turn", T.any_terms(F.col("text")).alias("terms"))
-    q = q.select("conv_id", "turn", F.size("terms").alias("n"), F.explode("terms").alias("term")).where(F.length("term") >= 3)
-    has = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
-    both = has.join(q, "term").groupBy("conv_id", "turn", "doc_id", "n").agg(F.count("*").alias("k"))
-    strict = F.count_if(F.col("k") == F.col("n"))
-    return both.groupBy("conv_id", "turn").agg(strict.alias("strict_hits"), F.count("*").alias("any_hits"), F.when(strict > 0, "strict").otherwise("or_fallback").alias("strategy"))
+    m AS (SELECT conv_id, turn, doc_id, n, count(*) AS k, bool_or(list_contains(few, term)) AS hit FROM u JOIN p USING (term) GROUP BY ALL)
+    SELECT conv_id, turn, count(*) FILTER (k = n)::BIGINT AS strict_hits, count(*) FILTER (hit)::BIGINT AS any_hits, CASE WHEN count(*) FILTER (k = n) > 0 THEN 'strict' ELSE 'or_fallback' END AS strategy
+    FROM m GROUP BY ALL HAVING count(*) FILTER (hit) > 0"""
 
 
-@query()
-def lexical_strategy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As lexical_strategy, by all words for the strict search; the cap of 12 holds for the fallback alone."""
+@query(STRATEGY)
+def lexical_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents have all words of a query, how many any of its first 12 terms, and which search that leads to."""
     q = table(spark, sf_dir, "conversations").where("role = 'user' and conv_id % 20 = 0")
     q = q.select("conv_id", "turn", F.array_distinct(T.words(F.col("text"))).alias("terms"), T.any_terms(F.col("text")).alias("few"))
     q = q.select("conv_id", "turn", F.size("terms").alias("n"), "few", F.explode("terms").alias("term")).withColumn("few", F.array_contains("few", F.col("term")))
@@ -138,6 +135,12 @@ def lexical_strategy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("any_hits > 0")
 
 
+@query(STRATEGY)
+def lexical_strategy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lexical_strategy, under the name that its form by all words had."""
+    return lexical_strategy(spark, sf_dir)
+
+
 @query()
 def lexical_rank_cd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first documents with all words of a benchmark item, by cover density."""
@@ -233,17 +236,16 @@ def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn").over(w).alias("previous_turn"), F.lead("turn").over(w).alias("next_turn"))
 
 
-@query(f"""WITH {PHRASES}, r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM p JOIN documents ON contains(text, phrase)),
-    e AS (SELECT item_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1)
+@query("""WITH p AS (SELECT item_id, split_part(text, chr(10), 1) AS phrase FROM benchmark WHERE length(split_part(text, chr(10), 1)) > 0), r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM p JOIN documents ON contains(text, phrase)),
+    e AS (SELECT item_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON length(b.text) > 0 AND contains(d.text, b.text) GROUP BY 1)
     SELECT count(*)::BIGINT AS cases, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS recall_at_10, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 4)::DOUBLE AS mrr
     FROM e LEFT JOIN r USING (item_id, doc_id)""")
 def eval_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall and mean reciprocal rank of exact search, for items that occur whole in a document."""
-    docs = table(spark, sf_dir, "documents")
-    whole = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
-    expected = find_phrases(docs, whole, "doc_id", "item_id", most=1).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    """Recall and mean reciprocal rank of a search for items' first lines, for items that occur whole in a document."""
+    expected = exact_search_case_sensitive(spark, sf_dir).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    first = table(spark, sf_dir, "benchmark").select("item_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("phrase"))
     w = Window.partitionBy("item_id").orderBy("doc_id")
-    ranked = exact_search_case_sensitive(spark, sf_dir).withColumn("rank", F.row_number().over(w))
+    ranked = find_phrases(table(spark, sf_dir, "documents"), first, "doc_id", "item_id", most=1).select("item_id", "doc_id").withColumn("rank", F.row_number().over(w))
     hit = expected.join(ranked, ["item_id", "doc_id"], "left")
     return hit.agg(F.count("*").alias("cases"), F.round(F.avg(F.when(F.col("rank") <= 10, 1.0).otherwise(0.0)), 4).alias("recall_at_10"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 4).alias("mrr"))
 
