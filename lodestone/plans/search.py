@@ -36,15 +36,25 @@ LINES = "p AS (SELECT DISTINCT item_id, phrase FROM (SELECT item_id, unnest(stri
     SELECT item_id, doc_id, strpos(text, phrase) AS place, phrase FROM p JOIN documents ON contains(text, phrase)
 ) SELECT item_id, doc_id, (place - 1)::BIGINT AS canonical_start, (place - 1 + length(phrase))::BIGINT AS canonical_end, phrase AS match_text FROM f""")
 def exact_search_minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first place of each line of an item in each document, found in chunks and led back through their spans."""
+    """The first place of each line of an item in each document, whichever chunks it lies in."""
     found = lines(spark, sf_dir).select(F.struct("item_id", "phrase").alias("line"), "phrase")
-    c = chunk_documents(table(spark, sf_dir, "documents"))
-    hits = find_phrases(c, found, "doc_id", "line", most=1, carry=("spans",))
-    span = F.element_at(F.filter("spans", lambda s: s["at"] <= F.col("position")), -1)
-    start = span["start"] + F.col("position") - span["at"]
-    places = hits.groupBy("line", "doc_id").agg(F.min(start).alias("canonical_start"))
-    phrase = F.col("line.phrase")
-    return places.select("line.item_id", "doc_id", "canonical_start", (F.col("canonical_start") + F.length(phrase)).alias("canonical_end"), phrase.alias("match_text"))
+    hits = find_phrases(table(spark, sf_dir, "documents"), found, "doc_id", "line", most=1)
+    start, phrase = F.col("position"), F.col("line.phrase")
+    return hits.select("line.item_id", "doc_id", start.alias("canonical_start"), (start + F.length(phrase)).alias("canonical_end"), phrase.alias("match_text"))
+
+
+@query()
+def exact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of exact_search_minimum_slice with the chunk that each begins in, and whether it ends there too.
+
+    Only documents with a hit are chunked. A chunk's own content is what it does not repeat.
+    """
+    hits = exact_search_minimum_slice(spark, sf_dir).drop("match_text")
+    c = chunk_documents(table(spark, sf_dir, "documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi"))
+    own = F.element_at(F.filter("spans", lambda s: s["at"] >= F.col("overlap_chars")), 1)["start"]
+    inside = (F.col("canonical_start") >= F.col("own_start")) & (F.col("canonical_start") < F.col("own_end"))
+    c = c.select("doc_id", F.col("ordinal").alias("chunk"), own.alias("own_start"), F.col("end").alias("own_end"))
+    return hits.join(c, "doc_id").where(inside).select(*hits.columns, "chunk", (F.col("canonical_end") <= F.col("own_end")).alias("ends_there"))
 
 
 @query(f"WITH {PHRASES} SELECT item_id, doc_id FROM p JOIN documents ON contains(text, phrase)")

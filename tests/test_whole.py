@@ -52,6 +52,20 @@ def test_items_found_whole(spark, tmp_path):
     assert scores[0, 1] > scores[0, 2] + 1 / 61 and (1, 1) in scores
 
 
+def test_places_across_chunks(spark, tmp_path):
+    sentences = [f"Sentence number {i} of a line that no chunk holds whole." for i in range(200)]
+    line = " ".join(sentences)
+    items = [(0, sentences[3]), (1, line), (2, line[2100:2500]), (3, "absent"), (4, f"{sentences[5]}\n\n{sentences[150]}")]
+    path = stored(spark, tmp_path, benchmark=(items, "item_id long, text string"), documents=([(7, f"x\n{line}\ny"), (8, None), (9, "")], "doc_id long, text string"))
+    got = [tuple(r) for r in QUERIES["exact_search_minimum_slice"](spark, path).select("item_id", "canonical_start", "match_text").collect()]
+    wanted = {(i, x) for i, text in items for x in text.split("\n") if x and x in line}
+    assert sorted(got) == sorted((i, 2 + line.index(x), x) for i, x in wanted)
+    chunks = {(r["item_id"], r["canonical_start"]): (r["chunk"], r["ends_there"]) for r in QUERIES["exact_evidence"](spark, path).collect()}
+    assert set(chunks) == {(i, at) for i, at, _ in got}
+    assert chunks[0, 2 + line.index(sentences[3])] == (0, True) and chunks[1, 2] == (0, False)
+    assert max(n for n, _ in chunks.values()) > 2
+
+
 def test_lexical_queries_by_all_words(spark, tmp_path):
     words = [f"word{chr(97 + i)}" for i in range(15)]
     docs = [(1, " ".join(words)), (2, " ".join(words[:14])), (3, "red fox extraordinarily x"), (4, "red fox")]
