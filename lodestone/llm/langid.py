@@ -9,6 +9,7 @@ the profile lacks it. The nearest profile names the language.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import checkpointed, map_rows
 
 #: N-grams in a profile, and characters of a long text that are read at a time.
 PROFILE, PART = 400, 1 << 18
-#: Languages that a label column may name; more than these raise, as profiles are held by each task.
-MOST_LANGUAGES = 1000
+#: Languages whose profiles one pass over the texts holds (3 MB of them); more are compared in further passes.
+LANGUAGES = 512
 UNKNOWN = "und"
 
 #: Bits of a letter in an n-gram's number.
@@ -68,8 +69,8 @@ def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([c[letter], two, three]), np.concatenate([place[letter], np.where(letter[:-1], place[:-1], place[1:]), place[1:-1][inner]])
 
 
-def profiles(df: DataFrame, text: str, lang: str, size: int = PROFILE) -> dict[str, list[int]]:
-    """The `size` most frequent n-grams of each language, over all rows with text and label, ties by number."""
+def profiles(df: DataFrame, text: str, lang: str, size: int = PROFILE) -> DataFrame:
+    """lang, gram, rank: the `size` most frequent n-grams of each language, over all rows with text and label, ties by number."""
 
     def count(batch: pa.RecordBatch) -> dict:
         words: dict[str, Counter] = {}
@@ -93,13 +94,19 @@ def profiles(df: DataFrame, text: str, lang: str, size: int = PROFILE) -> dict[s
 
     rows = df.where(df[text].isNotNull() & df[lang].isNotNull()).select(df[text].alias("text"), df[lang].alias("lang"))
     counted = map_rows(rows, count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
-    out: dict[str, list[int]] = {}
-    for r in sorted(top.limit(size * MOST_LANGUAGES + 1).collect(), key=lambda r: (r["lang"], r["rank"])):
-        out.setdefault(r["lang"], []).append(r["gram"])
-    if len(out) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    return out
+    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size).select("lang", "gram", "rank")
+
+
+def in_blocks(ranked: DataFrame, languages: int) -> Iterator[dict[str, list[int]]]:
+    """Profiles of about so many languages at a time, dealt by hash of their names; the driver holds one block."""
+    ranked = checkpointed(ranked)
+    blocks = -(-ranked.where("rank = 1").count() // languages)
+    for i in range(blocks):
+        block: dict[str, list[int]] = {}
+        for r in sorted(ranked.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == i).collect(), key=lambda r: (r["lang"], r["rank"])):
+            block.setdefault(r["lang"], []).append(r["gram"])
+        if block:
+            yield block
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -119,14 +126,19 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Identifier:
-    """Compares texts with profiles."""
+    """Compares texts with profiles.
+
+    The profiles are one list of (n-gram, language, rank), sorted by n-gram: it grows with
+    their number, not with that of languages times all n-grams.
+    """
 
     def __init__(self, ranked: dict[str, list[int]], size: int = PROFILE):
         self.names, self.size = sorted(ranked), size
-        self.known = np.unique(np.array([g for x in ranked.values() for g in x], np.int64))
-        self.ranks = np.full((len(self.names), len(self.known) + 1), -1, np.int64)  # the last column is for all others
-        for k, name in enumerate(self.names):
-            self.ranks[k, np.searchsorted(self.known, ranked[name])] = np.arange(len(ranked[name]))
+        grams = np.array([g for x in self.names for g in ranked[x]], np.int64)
+        lang = np.repeat(np.arange(len(self.names)), [len(ranked[x]) for x in self.names])
+        rank = np.array([i for x in self.names for i in range(len(ranked[x]))], np.int64)
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.lang, self.rank = grams[order], lang[order], rank[order]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and a score: one less the mean distance over the largest one."""
@@ -139,12 +151,13 @@ class Identifier:
             enough = np.partition(n, len(n) - self.size)[-self.size]
             grams, n = grams[n >= enough], n[n >= enough]
         top = grams[np.lexsort((grams, -n))][: self.size]
-        at = np.searchsorted(self.known, top)
-        at[at == len(self.known)] = 0
-        ranks = self.ranks[:, np.where(self.known[at] == top, at, len(self.known))]
-        far = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(top)))).sum(1)
-        best = int(far.argmin())
-        return self.names[best], float(1 - far[best] / (self.size * len(top)))
+        low, high = np.searchsorted(self.grams, top), np.searchsorted(self.grams, top, side="right")
+        own = np.repeat(np.arange(len(top)), high - low)
+        at = np.arange(len(own)) + np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low)
+        # an n-gram that a profile has is nearer than the largest distance by this
+        nearer = np.bincount(self.lang[at], self.size - np.abs(self.rank[at] - own), len(self.names))
+        best, most = int(nearer.argmax()), self.size * len(top)
+        return self.names[best], float(1 - (most - nearer[best]) / most)
 
 
 _made: dict[str, Identifier] = {}
@@ -158,23 +171,44 @@ def identifier(ranked: dict[str, list[int]], size: int) -> Identifier:
     return _made[key]
 
 
-def identify(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id", size: int = PROFILE, carry: list[str] | None = None) -> DataFrame:
+def identify(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id", size: int = PROFILE, carry: list[str] | None = None, languages: int = LANGUAGES) -> DataFrame:
     """The language of every row's whole text, by profiles of the rows for which `train` holds.
 
     Returns id_col, lang_pred, score (0 to 1), and the columns in `carry`. A text that is
     null or has no letter gives `und` with score 0, as does everything if no row has a
     label; rows without text or label aren't learned from. Null ids and repeated rows stay
     as they are; an empty table gives an empty table; ties go to the name first in order.
+    Labels may name any number of languages: with more than `languages`, a pass for each so
+    many keeps the nearer of its own and what was found before.
     """
-    ranked = profiles(df.where(train), text, lang, size)
     carry = carry or []
     kept = {f"c{i}": name for i, name in enumerate([id_col, *carry])}
     kinds = ", ".join(f"{k} {df.schema[name].dataType.simpleString()}" for k, name in kept.items())
-
-    def run(batch: pa.RecordBatch) -> dict:
-        predict = identifier(ranked, size).predict
-        got = [predict(x) for x in batch.column(0).to_pylist()]
-        return {k: batch.column(i + 1) for i, k in enumerate(kept)} | {"lang_pred": [x for x, _ in got], "score": [x for _, x in got]}
-
-    out = map_rows(df.select(df[text].alias("text"), *[df[name].alias(k) for k, name in kept.items()]), run, f"{kinds}, lang_pred string, score double")
+    none = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")]
+    out = df.select(df[text].alias("text"), *[df[name].alias(k) for k, name in kept.items()])
+
+    def nearest(ranked: dict[str, list[int]], again: bool):
+        def run(batch: pa.RecordBatch) -> dict:
+            predict = identifier(ranked, size).predict
+            texts, n = batch.column(0), len(kept)
+            got = [predict(x) for x in texts.to_pylist()]
+            if again:
+                found = zip(batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist(), strict=True)
+                got = [min(x, y, key=lambda z: (-z[1], z[0])) for x, y in zip(got, found, strict=True)]
+            return {"text": texts} | {k: batch.column(i + 1) for i, k in enumerate(kept)} | {"lang_pred": [x for x, _ in got], "score": [x for _, x in got]}
+
+        return run
+
+    result = f"{kinds}, lang_pred string, score double"
+    blocks = in_blocks(profiles(df.where(train), text, lang, size), languages)
+    ranked, again = next(blocks, None), False
+    if ranked is None:
+        out = out.select(*kept, *none)
+    while ranked:
+        following = next(blocks, None)
+        if following:  # from files, so that no task holds two blocks
+            out = checkpointed(map_rows(out, nearest(ranked, again), f"text string, {result}"))
+        else:
+            out = map_rows(out, nearest(ranked, again), result)
+        ranked, again = following, True
     return out.select(*[F.col(k).alias(name) for k, name in kept.items()], "lang_pred", "score")

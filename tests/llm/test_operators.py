@@ -282,6 +282,33 @@ def test_top_k_against_brute_force(spark):
         assert [got[q, k + 1] for k in range(5)] == [(c, -s) for s, c in best]
 
 
+def test_languages_in_blocks(spark):
+    r = random.Random(11)
+    alphabets = {f"l{k:02d}": [chr(c) for c in r.sample(range(97, 123), 6)] for k in range(13)}
+    text = lambda k, n: " ".join("".join(r.choice(alphabets[k]) for _ in range(r.randint(2, 6))) for _ in range(n))
+    rows = [(i, text(k, 60), k) for i, k in enumerate([*alphabets] * 3)]
+    rows += [(100 + i, text(k, 30), None) for i, k in enumerate(alphabets)] + [(200, None, None), (201, "12 34", None), (202, "\u0436\u0436", None), (203, "a", "twin"), (204, "a", "also")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    at_once, apart = (sorted(tuple(x) for x in langid.identify(docs, langid.F.lit(True), languages=n).collect()) for n in (512, 3))
+    assert at_once == apart and len(at_once) == len(rows)
+    # brute force: out-of-place distances, the name first in order where they are equal
+    held: dict = {}
+    for _, x, k in rows:
+        if x and k:
+            held.setdefault(k, Counter()).update(langid.codes(x).tolist())
+    first = lambda n: [g for g, _ in sorted(n.items(), key=lambda e: (-e[1], e[0]))][: langid.PROFILE]
+    ranks = {k: {g: i for i, g in enumerate(first(n))} for k, n in held.items()}
+    for i, name, score in at_once:
+        own = first(Counter(langid.codes(next(x for j, x, _ in rows if j == i) or "").tolist()))
+        if not own:
+            assert (name, score) == ("und", 0.0)
+            continue
+        far = {k: sum(abs(p - x[g]) if g in x else langid.PROFILE for p, g in enumerate(own)) for k, x in ranks.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        assert name == best and abs(score - (1 - far[best] / (langid.PROFILE * len(own)))) < 1e-12
+
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     train = langid.F.crc32(docs["doc_id"].cast("string").cast("binary")) % 4 != 2
