@@ -18,6 +18,11 @@ def overlap_dimension(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(F.size(a) <= 0, F.lit(True)) | F.coalesce(F.size(b) <= 0, F.lit(True)), ABSENT).when(F.arrays_overlap(a, b), AGREE).otherwise(CONFLICT)
 
 
+def title_dimension(a: Column, b: Column, a_named: Column, b_named: Column) -> Column:
+    """Title keys that agree or not; absent where one is empty or only a file's name."""
+    return F.when(a_named & b_named, equal_dimension(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))).otherwise(ABSENT)
+
+
 def any_conflict(*dimensions: Column) -> Column:
     return F.exists(F.array(*dimensions), lambda d: d == CONFLICT)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,3 +80,28 @@ def fingerprints(nodes: DataFrame, asset: str) -> DataFrame:
     """The content fingerprint of each asset: the hash of its corpus nodes' texts in order."""
     kept = nodes.where(in_corpus()).groupBy(asset).agg(F.sort_array(F.collect_list(F.struct("ordinal", "text"))).alias("n"))
     return kept.select(asset, F.sha2(F.array_join(F.transform("n", lambda x: x["text"]), "\n"), 256).alias("fingerprint"))
+
+
+def replace_assets(fresh: DataFrame, path: str, asset: str = "asset", buckets: int = 64) -> None:
+    """Chunk rows of some assets in place of all that were stored of them, in this generation; others stay.
+
+    Rows lie by generation and a hash of the asset. Only folders that hold an asset of `fresh`
+    are written anew; a second run with the same rows changes nothing. Assets without rows
+    are not touched. `fresh` has columns generation and asset, and the same others as before.
+    """
+    spark = fresh.sparkSession
+    keyed = fresh.withColumn("bucket", F.pmod(F.xxhash64(asset), F.lit(buckets)))
+    keys = ["generation", "bucket", asset]
+    try:
+        stored = spark.read.schema(keyed.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = keyed
+    else:
+        new = keyed.select(*keys).distinct()
+        kept = stored.join(new.select("generation", "bucket").distinct(), ["generation", "bucket"], "left_semi").join(new, keys, "left_anti")
+        rows = kept.unionByName(keyed)
+    # salted, so that a large folder is written by several tasks
+    salt = F.pmod(F.xxhash64(*[c for c in keyed.columns if c not in keys]), F.lit(8))
+    rows.repartition("generation", "bucket", salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("generation", "bucket").parquet(path)
