@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, html_crf, langid, maxent_lm, minhash, packing, suffix_dedup, token_counts, topk
+from . import bpe_automaton, decontaminate, filter_audit, html_crf, langid, maxent_lm, minhash, packing, source_audit, suffix_dedup, token_counts, topk
 from . import quality as quality_rules
 from .common import held_out
 
@@ -66,6 +66,20 @@ def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", held_out(F.col("doc_id"), 5) == 1)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(spark, _table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10)
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 QUERIES = (
     op1_minhash_dedup,
     op2_bpe_automaton,
@@ -77,6 +91,9 @@ QUERIES = (
     op8_html_extraction,
     op9_suffix_dedup,
     op10_maxent_lm,
+    op11_filter_audit,
+    op12_source_audit,
+    op13_decontamination,
 )
 
 #: DuckDB SQL for the same rows, where SQL can say it.
@@ -137,6 +154,90 @@ ORACLES = {
         SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
             sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
         FROM d LEFT JOIN k USING (doc_id)""",
+    "op11_filter_audit": """
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+        ), firsts AS (
+            SELECT t, min(doc_id) AS low FROM d GROUP BY t
+        ), b AS (
+            SELECT d.doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(low < d.doc_id, false)] AS f
+            FROM d JOIN firsts USING (t)
+        ), l AS (
+            SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+        ), c AS (
+            SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM b LEFT JOIN l USING (doc_id) GROUP BY part, f
+        ), letters AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), o AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+            JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+        ), s AS (
+            SELECT filter_order, k::INTEGER AS step, filter_order[k] AS x, list_transform(range(1, k), lambda j: ascii(filter_order[j]) - 64) AS before, ascii(filter_order[k]) - 64 AS i
+            FROM o, (SELECT unnest(range(1, 6)) AS k)
+        ), m AS (
+            SELECT part, filter_order, step, x, n, good, toxic, f[i] AS fails, NOT list_bool_or(list_concat([false], list_transform(before, lambda j: f[j]))) AS comes,
+                f[i] AND len(list_filter(f, lambda y: y)) = 1 AS alone FROM c, s
+        ), r AS (
+            SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (comes AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (comes AND fails), 0)::BIGINT AS removed,
+                coalesce(sum(n) FILTER (fails AND NOT comes), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+                coalesce(sum(good) FILTER (comes AND fails), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (comes AND fails), 0)::BIGINT AS toxic_lost
+            FROM m GROUP BY part, filter_order, step, x
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM r""",
+    "op12_source_audit": """
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+        ), v AS (
+            SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 30
+        ), u AS (
+            SELECT lang, source, unnest(w) AS term FROM d
+        ), n AS (
+            SELECT lang, source, term, count(*) AS n FROM u JOIN v USING (lang, term) GROUP BY lang, source, term
+        ), g AS (
+            SELECT DISTINCT lang, source FROM d
+        ), gv AS (
+            SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n FROM g JOIN v USING (lang) LEFT JOIN n USING (lang, source, term)
+        ), p AS (
+            SELECT *, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p FROM gv
+        ), ln AS (
+            SELECT lang, term, sum(n)::HUGEINT AS n FROM gv GROUP BY lang, term
+        ), q AS (
+            SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM ln
+        ), pair AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term
+                WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        ), term AS (
+            SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+        ), r AS (
+            SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pair
+            UNION ALL
+            SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER FROM term
+        )
+        SELECT * FROM r WHERE part = 'pair' OR rank <= 50""",
+    "op13_decontamination": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM documents
+        ), i AS (
+            SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM benchmark
+        ), g AS (
+            SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM i WHERE len(w) > 0)
+        ), sizes AS (
+            SELECT DISTINCT k FROM g
+        ), x AS (
+            SELECT r, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d JOIN sizes ON len(w) >= k)
+        ), m AS (
+            SELECT r, p, k, item_id FROM x JOIN g USING (k, s)
+        ), h AS (
+            SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS j FROM m) GROUP BY r
+        ), e AS (
+            SELECT r, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS t FROM m WHERE item_id IS NOT NULL) GROUP BY r
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN e USING (r)""",
 }
 
 
