@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, stored
 
 #: Short texts, texts of repeated words, of capitals, with symbols, copies of earlier ones.
 FILTERS = "ABCDE"
@@ -25,6 +25,8 @@ _CAPITALS = bytes(range(65, 91))
 _CONTINUED = bytes(range(0x80, 0xC0))
 #: Up to so many hashes of repeated texts (some 30 bytes each) are sent to all executors.
 BROADCAST_HASHES = 1_000_000
+#: Copies of one hash that meet in a task, more where over MOST_LARGE hashes would have to be dealt out.
+COPIES_A_TASK, MOST_LARGE = 256, 100_000
 
 
 def failures_of(text: bytes) -> int:
@@ -39,20 +41,26 @@ def copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
     """Rows (id, text_key) whose whole text a row of smaller id has too; null texts count as empty.
 
     A row meets one row for each unlike text of its hash: the smallest id that has the text,
-    found before the shuffle in part. So a group of n copies gives n rows, and the group's
-    larger side may be split between tasks. Texts whose hash no other id shares are left out
-    before they are shuffled, if the hashes that are shared are few enough to be sent to all.
-    Null ids are no copies and have none.
+    found before the shuffle in part. So a group of n copies gives n rows. A large one is
+    dealt to several tasks, each of which gets that smallest id. Texts whose hash no other id
+    shares are left out before they are shuffled, if the hashes that are shared are few
+    enough to be sent to all. Null ids are no copies and have none.
     """
     keyed = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     keyed = keyed.withColumn("hash", F.xxhash64("text"))
-    shared = keyed.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash")
-    if shared.count() <= BROADCAST_HASHES:
+    shared = keyed.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("hash", "n")
+    shared = stored(shared)
+    hashes, rows = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if hashes <= BROADCAST_HASHES:
         keyed = keyed.join(F.broadcast(shared), "hash", "left_semi")
-    first = keyed.groupBy("hash", "text").agg(F.min("id").alias("low"))
-    first = first.select(F.col("hash").alias("hash_"), F.col("text").alias("text_"), "low")
-    later = keyed.join(first, (F.col("hash") == F.col("hash_")) & (F.col("text") == F.col("text_")) & (F.col("low") < F.col("id")), "left_semi")
-    return later.select("id", _text_key("text").alias("text_key"))
+    each = max(COPIES_A_TASK, -(-rows // MOST_LARGE))
+    large = shared.where(F.col("n") > each).select("hash", F.ceil(F.col("n") / each).cast("int").alias("shares"))  # at most MOST_LARGE rows
+    keyed = keyed.join(F.broadcast(large), "hash", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    first = keyed.groupBy("hash", "text").agg(F.min("id").alias("low"), F.first("shares").alias("shares"))
+    first = first.select(F.col("hash").alias("hash_"), F.col("text").alias("text_"), "low", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share_"))
+    keyed = keyed.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
+    same = (F.col("hash") == F.col("hash_")) & (F.col("share") == F.col("share_")) & (F.col("text") == F.col("text_"))
+    return keyed.join(first, same & (F.col("low") < F.col("id")), "left_semi").select("id", _text_key("text").alias("text_key"))
 
 
 def _text_key(text: str):

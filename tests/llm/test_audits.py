@@ -65,8 +65,9 @@ def audited(rows, label_rows):
     return {k: (*v, removed[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("few", [10**6, 0])
-def test_filter_audit_against_a_loop(spark, monkeypatch, few):
+@pytest.mark.parametrize("few, each", [(10**6, 256), (0, 256), (10**6, 2), (0, 2)])
+def test_filter_audit_against_a_loop(spark, monkeypatch, few, each):
+    monkeypatch.setattr(filter_audit, "COPIES_A_TASK", each)
     monkeypatch.setattr(filter_audit, "BROADCAST_HASHES", few)
     rows, marks = filter_rows(), labels(spark)
     want = audited(rows, [tuple(x)[:3] for x in marks.select("doc_id", "quality", "toxic").collect() if x[0] is not None])
