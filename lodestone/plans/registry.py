@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import control, documents, matching, operations, provenance, records, search  # noqa: F401  each registers its queries
+from . import control, documents, lexical, matching, operations, provenance, records, search  # noqa: F401  each registers its queries
 from .catalog import ORACLES, QUERIES, Query
 
 FLAGSHIP = "exact_search_minimum_slice"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,3 +31,24 @@ def local_session(cores: int = 8, app: str = "lodestone", **conf: str) -> SparkS
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path for a table of our own in the folder that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a session within one process, as in tests, gets a temporary folder;
+    any other has to name one that its executors share.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+    return f"{named.rstrip('/')}/{uuid.uuid4()}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df from a Parquet table of its own: it is computed once, and a lost executor costs nothing of it."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

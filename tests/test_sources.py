@@ -1,8 +1,7 @@
-"""Discovery, node files, page blocks and lexical ranking."""
+"""Discovery, node files and page blocks."""
 
 import hashlib
 
-from lodestone.operators import lexical
 from lodestone.sources import library, pages
 from pyspark.sql import functions as F
 
@@ -39,16 +38,6 @@ def test_page_blocks(spark):
     assert [r["ordinal"] for r in pages.page_blocks(df).collect()] == list(range(6))
 
 
-def test_cover_density(spark):
-    near, far = [(0, "a"), (1, "b")], [(0, "a"), (9, "b")]
-    assert lexical.cover_density(near, 2) > lexical.cover_density(far, 2) > 0
-    assert lexical.cover_density([(0, "a")], 1) == 0.4 / 1.4
-    docs = spark.createDataFrame([(1, "red fox"), (2, "red and then a fox"), (3, "red"), (4, None)], "doc_id long, text string")
-    q = spark.createDataFrame([(7, ["red", "fox"])], "q long, terms array<string>")
-    got = lexical.rank_documents(docs, q, "q").orderBy(F.desc("score")).collect()
-    assert [r["doc_id"] for r in got] == [1, 2]
-
-
 def test_malformed_sections_are_comments():
     from lodestone.sources.pages import blocks
 
