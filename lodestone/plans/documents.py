@@ -193,10 +193,55 @@ def image_only_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.length("html").cast("long").alias("n_chars"), ((F.length("html") < 200) & F.lower("html").contains("<img")).alias("image_only"))
 
 
-@query()
+#: The same windows over tags as in lodestone.sources.pages; the tables hold four named character references.
+TAGS = f"""t AS (SELECT page_id, n, x AS t, lower(regexp_extract(x, '{page_source.NAME}', 1)) AS tag, starts_with(x, '</') AS shut FROM (
+        SELECT page_id, unnest(toks) AS x, unnest(range(1, len(toks) + 1)) AS n FROM (SELECT page_id, regexp_extract_all(html, '{page_source.TOKEN.replace("'", "''")}') AS toks FROM pages))),
+    a AS (SELECT *, CASE WHEN tag <> '' AND NOT shut THEN regexp_extract_all(t, '{page_source.ATTRIBUTE.replace("'", "''")}', 2) END AS vs,
+        CASE WHEN tag <> '' AND NOT shut THEN list_transform(regexp_extract_all(t, '{page_source.ATTRIBUTE.replace("'", "''")}', 1), lambda y: lower(y)) END AS ks FROM t),
+    b AS (SELECT page_id, n, t, tag, shut, tag = '' AND NOT regexp_matches(t, '^<[/!?]') AS is_text, nullif(regexp_replace(vs[list_position(ks, 'id')], '^["'']|["'']$', '', 'g'), '') AS id_attr,
+        regexp_replace(vs[list_position(ks, 'alt')], '^["'']|["'']$', '', 'g') AS alt, tag IN {(*page_source.HOLDERS, *page_source.HIDDEN)} AS paired, tag IN {page_source.HOLDERS} AS holds, tag IN {page_source.LISTS} AS lists FROM a),
+    s AS (SELECT *, sum(CASE WHEN paired THEN CASE WHEN shut THEN -1 ELSE 1 END ELSE 0 END) OVER (PARTITION BY page_id, tag ORDER BY n) AS total FROM b),
+    d AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY page_id, tag ORDER BY n)) AS deep FROM s),
+    l AS (SELECT *, CASE WHEN paired AND shut THEN coalesce(lag(deep) OVER (PARTITION BY page_id, tag ORDER BY n), 0) ELSE deep END AS level FROM d),
+    m AS (SELECT *, CASE WHEN paired AND shut THEN lag(id_attr) OVER p ELSE id_attr END AS open_id, lag(n) OVER p AS open_at, CASE WHEN paired AND NOT shut AND coalesce(lead(shut) OVER p, false) THEN 1 WHEN paired AND shut AND level > 0 THEN -1 ELSE 0 END AS turn
+        FROM l WINDOW p AS (PARTITION BY page_id, tag, level ORDER BY n)),
+    z AS (SELECT *, sum(CASE WHEN tag IN {page_source.HIDDEN} THEN turn ELSE 0 END) OVER o AS hid, sum(CASE WHEN tag = 'blockquote' THEN turn ELSE 0 END) OVER o AS quo, sum(CASE WHEN tag = 'table' THEN turn ELSE 0 END) OVER o AS tab,
+        sum(CASE WHEN lists THEN turn ELSE 0 END) OVER o AS lis, sum(CASE WHEN holds THEN turn ELSE 0 END) OVER o AS hol,
+        sum((tag IN {page_source.PARTS})::INTEGER) OVER o AS run, last_value(CASE WHEN tag IN {page_source.PARTS} THEN CASE WHEN NOT shut AND tag IN {tuple(page_source.KINDS)} THEN tag ELSE '' END END IGNORE NULLS) OVER o AS head_,
+        last_value(CASE WHEN regexp_matches(tag, '^h[1-6]$') AND NOT shut THEN id_attr END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS heading_id
+        FROM m WINDOW o AS (PARTITION BY page_id ORDER BY n)),
+    y AS (SELECT *, coalesce(head_, '') AS head, CASE WHEN tab > 0 THEN last_value(CASE WHEN tag = 'table' AND turn = 1 AND tab = 1 THEN n END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY n) END AS outer_at,
+        CASE WHEN lis > 0 THEN last_value(CASE WHEN lists AND turn = 1 THEN n END IGNORE NULLS) OVER (PARTITION BY page_id, lis ORDER BY n) END AS list_at,
+        CASE WHEN hol > 0 THEN last_value(CASE WHEN holds AND turn = 1 THEN n END IGNORE NULLS) OVER (PARTITION BY page_id, hol ORDER BY n) END AS hold_at FROM z),
+    w AS (SELECT *, last_value(CASE WHEN tab = 1 AND tag = 'tr' AND NOT shut THEN n END IGNORE NULLS) OVER (PARTITION BY page_id, outer_at ORDER BY n) AS tr,
+        last_value(CASE WHEN tab = 1 AND tag IN ('td', 'th', 'tr') THEN {{'n': CASE WHEN tag <> 'tr' AND NOT shut THEN n END}} END IGNORE NULLS) OVER (PARTITION BY page_id, outer_at ORDER BY n) AS cell,
+        CASE WHEN list_at IS NOT NULL THEN last_value(CASE WHEN tag IN {page_source.ITEMS} THEN {{'n': CASE WHEN NOT shut THEN n END, 'id': id_attr}} END IGNORE NULLS) OVER (PARTITION BY page_id, list_at ORDER BY n) END AS item, CASE WHEN lists AND turn = -1 THEN open_at ELSE list_at END AS of_list FROM y),
+    x AS (SELECT *, CASE WHEN of_list IS NOT NULL THEN last_value(CASE WHEN tag IN {page_source.ITEMS} THEN {{'n': CASE WHEN NOT shut THEN n END, 'id': id_attr}} END IGNORE NULLS) OVER (PARTITION BY page_id, of_list ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS prior,
+        tag IN {page_source.ITEMS} AND NOT shut AND id_attr IS NOT NULL AND list_at IS NOT NULL AS begun FROM w),
+    g AS (SELECT *, sum(CASE WHEN holds AND open_id IS NOT NULL THEN turn ELSE 0 END + begun::INTEGER
+        - ((tag IN {page_source.ITEMS} OR lists AND turn = -1) AND prior.n IS NOT NULL AND prior.id IS NOT NULL)::INTEGER) OVER (PARTITION BY page_id ORDER BY n) AS nam FROM x),
+    k AS (SELECT *, CASE WHEN nam > 0 THEN last_value(CASE WHEN begun OR holds AND open_id IS NOT NULL AND turn = 1 THEN id_attr END IGNORE NULLS) OVER (PARTITION BY page_id, nam ORDER BY n) END AS above_id FROM g),
+    v AS (SELECT *, CASE WHEN outer_at IS NOT NULL AND head <> 'caption' THEN 'table' WHEN item.n IS NOT NULL AND hold_at = list_at AND head IN {("", "p", *page_source.ITEMS)} THEN 'item' ELSE 'run' END AS kind FROM k),
+    u AS (SELECT page_id, n, kind, CASE kind WHEN 'table' THEN outer_at WHEN 'item' THEN item.n ELSE run END AS place, CASE WHEN kind = 'table' THEN coalesce(tr, -1) END AS tr, CASE WHEN kind = 'table' THEN cell.n END AS td, head, quo, above_id, heading_id, id_attr, tag,
+        CASE WHEN is_text THEN t WHEN tag = 'br' THEN ' ' ELSE '' END AS part, CASE WHEN tag = 'img' THEN ' ' || coalesce(alt, '') ELSE '' END AS alt FROM v
+        WHERE hid = 0 AND (is_text OR tag IN ('br', 'img') OR (tag <> '' AND NOT shut AND (kind <> 'run' OR tag NOT IN {(*page_source.HOLDERS, "hr")}) AND (id_attr IS NOT NULL OR tag IN {("td", "th", "tr", *page_source.KINDS)})))),
+    c AS (SELECT page_id, kind, place, tr, td, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(string_agg(part, '' ORDER BY n), '&amp([^;a-z]|$)', '&amp;\\1', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text,
+        trim(regexp_replace(string_agg(alt, '' ORDER BY n), '\\s+', ' ', 'g')) AS alts, bool_or(tag = 'img') AS image, arg_min(id_attr, n) FILTER (id_attr IS NOT NULL) AS own, min(n) FILTER (id_attr IS NOT NULL) AS own_n,
+        arg_min({{'head': head, 'quo': quo, 'above': above_id, 'heading': heading_id}}, n) AS first, min(n) AS n FROM u GROUP BY ALL),
+    r AS (SELECT page_id, kind, place, tr, string_agg(text, chr(9) ORDER BY td) FILTER (kind <> 'table' OR td IS NOT NULL) AS line, list(text ORDER BY td) FILTER (td IS NOT NULL) AS cells, bool_or(image) AS image,
+        string_agg(alts, ' ' ORDER BY td) FILTER (alts <> '' AND (kind <> 'table' OR td IS NOT NULL)) AS alts, arg_min(own, own_n) AS own, min(own_n) AS own_n, arg_min(first, n) AS first, min(n) AS n FROM c GROUP BY page_id, kind, place, tr),
+    e AS (SELECT page_id, kind, place, coalesce(string_agg(line, chr(10) ORDER BY tr) FILTER (trim(replace(line, chr(9), ' ')) <> ''), '') AS body, list(cells ORDER BY tr) FILTER (cells IS NOT NULL) AS cells, bool_or(image) AS image,
+        coalesce(string_agg(alts, ' ' ORDER BY tr), '') AS alts, arg_min(own, own_n) AS own, arg_min(first, n) AS first, min(n) AS n FROM r GROUP BY page_id, kind, place)"""
+KIND_OF = " ".join(f"WHEN first.head = '{k}' THEN '{v}'" for k, v in page_source.KINDS.items() if k != "p")
+
+
+@query(f"""WITH {TAGS} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN kind = 'run' THEN n ELSE place END, kind, place) - 1)::INTEGER AS ordinal,
+    CASE WHEN body = '' THEN 'figure' WHEN kind = 'table' THEN 'table' WHEN kind = 'item' THEN 'list_item' {KIND_OF} WHEN first.quo > 0 THEN 'blockquote' WHEN first.head = 'p' THEN 'paragraph' ELSE 'other' END AS type,
+    CASE WHEN body <> '' AND kind = 'run' AND regexp_matches(first.head, '^h[1-6]$') THEN first.head[2]::INTEGER END AS level, coalesce(own, first.above, first.heading) AS fragment,
+    nfc_normalize(CASE WHEN body = '' THEN alts ELSE body END) AS text, CASE WHEN kind = 'table' THEN coalesce(len(cells), 0) END::INTEGER AS n_rows FROM e WHERE body <> '' OR image""")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed blocks of all pages."""
-    return page_source.page_blocks(table(spark, sf_dir, "pages"))
+    """Typed blocks of all pages, from their tags as rows."""
+    return page_source.page_blocks(table(spark, sf_dir, "pages")).withColumn("n_rows", F.size("rows")).drop("rows")
 
 
 @query()

@@ -1,8 +1,8 @@
-"""Discovery, node files and page blocks."""
+"""Discovery and node files."""
 
 import hashlib
 
-from lodestone.sources import library, pages
+from lodestone.sources import library
 from pyspark.sql import functions as F
 
 
@@ -28,18 +28,3 @@ def test_nodes_round_trip_and_fingerprint(spark, tmp_path):
     assert got["fingerprint"] == hashlib.sha256(b"Title\nBody").hexdigest()
     sha = "abcdef"
     assert spark.range(1).select(library.shard_path(F.lit(sha))).first()[0] == "ab/cd/abcdef"
-
-
-def test_page_blocks(spark):
-    html = "<head><title>t</title></head><body id=top><h2>Head&amp;er</h2><p>One<br>two <b>three<p>Four<ul><li>x<li>y</ul><script>var a='<p>'</script><table><tr><td>c</table></body>"
-    got = [(b["type"], b["level"], b["text"]) for b in pages.blocks(html)]
-    assert got == [("heading", 2, "Head&er"), ("paragraph", None, "One two three"), ("paragraph", None, "Four"), ("list_item", None, "x"), ("list_item", None, "y"), ("table", None, "c")]
-    df = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
-    assert [r["ordinal"] for r in pages.page_blocks(df).collect()] == list(range(6))
-
-
-def test_malformed_sections_are_comments():
-    from lodestone.sources.pages import blocks
-
-    assert [b["text"] for b in blocks("<p>a<![foo[x]]>b<![ >c<!DOCTYPE html>")] == ["abc"]
-    assert [b["text"] for b in blocks("<head><title>t</title><body><p>Hi")] == ["Hi"]
