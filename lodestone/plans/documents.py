@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import outline
 from lodestone.operators.chunking import chunk_documents
 from lodestone.sources import pages as page_source
-from lodestone.session import table
+from lodestone.session import table, written
 
 from .catalog import query
 
@@ -235,10 +236,13 @@ TAGS = f"""t AS (SELECT page_id, n, x AS t, lower(regexp_extract(x, '{page_sourc
 KIND_OF = " ".join(f"WHEN first.head = '{k}' THEN '{v}'" for k, v in page_source.KINDS.items() if k != "p")
 
 
-@query(f"""WITH {TAGS} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN kind = 'run' THEN n ELSE place END, kind, place) - 1)::INTEGER AS ordinal,
+BLOCKS = f"""{TAGS}, blocks AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN kind = 'run' THEN n ELSE place END, kind, place) - 1)::INTEGER AS ordinal,
     CASE WHEN body = '' THEN 'figure' WHEN kind = 'table' THEN 'table' WHEN kind = 'item' THEN 'list_item' {KIND_OF} WHEN first.quo > 0 THEN 'blockquote' WHEN first.head = 'p' THEN 'paragraph' ELSE 'other' END AS type,
     CASE WHEN body <> '' AND kind = 'run' AND regexp_matches(first.head, '^h[1-6]$') THEN first.head[2]::INTEGER END AS level, coalesce(own, first.above, first.heading) AS fragment,
-    nfc_normalize(CASE WHEN body = '' THEN alts ELSE body END) AS text, CASE WHEN kind = 'table' THEN coalesce(len(cells), 0) END::INTEGER AS n_rows FROM e WHERE body <> '' OR image""")
+    nfc_normalize(CASE WHEN body = '' THEN alts ELSE body END) AS text, CASE WHEN kind = 'table' THEN coalesce(len(cells), 0) END::INTEGER AS n_rows FROM e WHERE body <> '' OR image)"""
+
+
+@query(f"WITH {BLOCKS} SELECT * FROM blocks")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed blocks of all pages, from their tags as rows."""
     return page_source.page_blocks(table(spark, sf_dir, "pages")).withColumn("n_rows", F.size("rows")).drop("rows")
@@ -289,3 +293,42 @@ def isbn_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which 13-digit numbers made of part keys carry the right check digit."""
     code = F.concat(F.lit("978"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), (F.col("p_partkey") % 10).cast("string"))
     return table(spark, sf_dir, "part").select("p_partkey", code.alias("code")).withColumn("valid", T.isbn13_valid(F.col("code")))
+
+
+@query(f"""WITH {BLOCKS} SELECT n.page_id, n.ordinal::BIGINT AS ordinal, n.type, coalesce(string_agg(h.text, ' > ' ORDER BY h.ordinal), '') AS path FROM blocks n
+    LEFT JOIN blocks h ON h.page_id = n.page_id AND h.level IS NOT NULL AND h.ordinal <= n.ordinal
+        AND NOT EXISTS (SELECT 1 FROM blocks g WHERE g.page_id = n.page_id AND g.level <= h.level AND g.ordinal > h.ordinal AND g.ordinal <= n.ordinal)
+    GROUP BY ALL""")
+def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headings that each block of a page stands under, from the page's own headings."""
+    blocks = written(page_source.page_blocks(table(spark, sf_dir, "pages")).drop("rows").withColumn("chars", F.length("text")))
+    paths = outline.heading_paths(blocks, "page_id", "ordinal", "level", "text", "chars")
+    typed = blocks.select("page_id", F.col("ordinal").cast("long").alias("ordinal"), "type")
+    return typed.join(paths, ["page_id", "ordinal"]).select("page_id", "ordinal", "type", F.array_join("titles", " > ").alias("path"))
+
+
+#: Lines of documents; a short one is a heading, of one of nine levels by its length.
+SHORT, LEVELS = 60, 9
+LINED = f"""n AS (SELECT doc_id, i - 1 AS ordinal, l[i] AS line, length(l[i]) AS chars, CASE WHEN length(l[i]) < {SHORT} THEN length(l[i]) % {LEVELS} + 1 END AS level
+    FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"""
+
+
+def lined(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "line")).withColumn("chars", F.length("line"))
+    return rows.withColumn("level", F.when(F.col("chars") < SHORT, F.col("chars") % LEVELS + 1))
+
+
+@query(f"""WITH {LINED}, s AS (SELECT doc_id, ordinal, level, (SELECT min(g.ordinal) FROM n g WHERE g.doc_id = h.doc_id AND g.ordinal > h.ordinal AND g.level <= h.level) AS stop FROM n h WHERE level IS NOT NULL)
+    SELECT s.doc_id, s.ordinal::BIGINT AS start, s.level::INTEGER AS level, count(*)::BIGINT AS n_nodes, sum(n.chars)::BIGINT AS n_chars FROM s JOIN n ON n.doc_id = s.doc_id AND n.ordinal >= s.ordinal AND (s.stop IS NULL OR n.ordinal < s.stop) GROUP BY ALL""")
+def outline_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and characters of each section under headings of nine levels, sub-sections included."""
+    return outline.sections(lined(table(spark, sf_dir, "documents")), "doc_id", "ordinal", "level", "line", "chars").drop("title")
+
+
+@query(f"""WITH {LINED} SELECT n.doc_id, n.ordinal::BIGINT AS ordinal, coalesce(string_agg(h.ordinal::VARCHAR, '/' ORDER BY h.ordinal), '') AS path FROM n
+    LEFT JOIN n h ON h.doc_id = n.doc_id AND h.level IS NOT NULL AND h.ordinal <= n.ordinal AND NOT EXISTS (SELECT 1 FROM n g WHERE g.doc_id = n.doc_id AND g.level <= h.level AND g.ordinal > h.ordinal AND g.ordinal <= n.ordinal)
+    GROUP BY ALL""")
+def outline_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headings of nine levels that each line stands under, as their ordinals."""
+    paths = outline.heading_paths(lined(table(spark, sf_dir, "documents")), "doc_id", "ordinal", "level", "line", "chars")
+    return paths.select("doc_id", "ordinal", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
