@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import evidence
+from lodestone.operators import evidence, reconcile
 from lodestone.session import table
 
 from .catalog import query
@@ -185,3 +185,18 @@ def sibling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["p_name", "p_brand", "l_suppkey"]
     low = c.groupBy(keys).agg(F.min("p_partkey").alias("sibling"))
     return c.join(low, keys).where("p_partkey <> sibling").select("p_partkey", "sibling").distinct()
+
+
+def arriving(docs: DataFrame) -> DataFrame:
+    """Documents as assets: the first line is the title, the source the creator, the number of characters an identifier."""
+    title = T.title_key(F.split_part("text", F.lit("\n"), F.lit(1)))
+    return docs.select(
+        F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content"), title.alias("title"), F.array("source").alias("creators"), F.col("lang").alias("language"),
+        F.lit(None).cast("string").alias("publisher"), F.lit(None).cast("int").alias("year"), F.array(F.col("n_chars").cast("string")).alias("identifiers"),
+    )
+
+
+@query()
+def reconcile_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document in order of arrival: the edition it adopts, joins or founds."""
+    return reconcile.reconcile(arriving(table(spark, sf_dir, "documents")))[0]
