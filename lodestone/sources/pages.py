@@ -66,7 +66,7 @@ def tokens(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Da
     whole = df.select(df[id_col].alias("id"), df[html_col].alias("html")).withColumn("page", F.monotonically_increasing_id())
     cut = whole.select("page", "id", F.posexplode(F.regexp_extract_all("html", F.lit(_possessive(TOKEN)), F.lit(0))).alias("n", "t"))
     cut = cut.withColumn("tag", F.lower(F.regexp_extract("t", NAME, 1))).withColumn("shut", F.col("t").startswith("</"))
-    named = (F.col("tag") != "") & ~F.col("shut")
+    named = (F.col("tag") != "") & ~F.col("shut") & F.col("t").contains("=")
     cut = cut.withColumn("names", F.when(named, F.transform(F.regexp_extract_all("t", F.lit(ATTRIBUTE), F.lit(1)), F.lower)))
     cut = cut.withColumn("values", F.when(named, F.regexp_extract_all("t", F.lit(ATTRIBUTE), F.lit(2))))
     value = lambda name: F.regexp_replace(F.get("values", F.array_position("names", name).cast("int") - 1), "^[\"']|[\"']$", "")
@@ -98,11 +98,10 @@ def matched(rows: DataFrame, paired: tuple[str, ...]) -> DataFrame:
 
 
 def _nearest(rows: DataFrame, name: str, which: Column) -> DataFrame:
-    """The nearest element that a row lies in, of those that start where `which` holds (its own start counts): name_at, name_id."""
+    """The nearest element that a row lies in, of those that start where `which` holds (its own start counts), as a struct."""
     level = Window.partitionBy("page", f"{name}_depth").orderBy("n")
-    begins = F.when(which, F.struct("n", "id_attr"))
-    nearest = F.when(F.col(f"{name}_depth") > 0, F.last(begins, ignorenulls=True).over(level))
-    return rows.withColumn("nearest", nearest).withColumn(f"{name}_at", F.col("nearest.n")).withColumn(f"{name}_id", F.col("nearest.id_attr")).drop("nearest")
+    begins = F.when(which, F.struct("n", "id_attr", "holder_depth"))
+    return rows.withColumn(name, F.when(F.col(f"{name}_depth") > 0, F.last(begins, ignorenulls=True).over(level)))
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -117,34 +116,33 @@ def placed(rows: DataFrame) -> DataFrame:
     outer = state((tag == "table") & starts & (F.col("table_depth") == 1), F.col("n")).over(page)
     parts = tag.isin(*PARTS)
     heading = tag.rlike("^h[1-6]$") & ~F.col("shut") & F.col("id_attr").isNotNull()
+    top = F.col("table_depth") == 1
+    cell = F.struct("n", F.when(tag.isin("td", "th") & ~F.col("shut"), F.col("n")).alias("at"))
     rows = rows.withColumns({
         "outer": F.when(F.col("table_depth") > 0, outer),
+        "row_at": state(top & (tag == "tr") & ~F.col("shut"), F.col("n")).over(page),
+        "cell": state(top & tag.isin("td", "th", "tr"), cell).over(page),
         "run": F.sum(parts.cast("int")).over(page),
         "head": F.coalesce(state(parts, F.when(~F.col("shut") & tag.isin(*KINDS), tag).otherwise("")).over(page), F.lit("")),
         "heading_id": state(heading, F.col("id_attr")).over(page.rowsBetween(Window.unboundedPreceding, -1)),
     })
-    for name in ("list", "holder"):
-        rows = _nearest(rows, name, kinds[name] & starts)
-    table = Window.partitionBy("page", "outer").orderBy("n")
-    top = F.col("table_depth") == 1
-    rows = rows.withColumn("row_at", state(top & (tag == "tr") & ~F.col("shut"), F.col("n")).over(table))
-    cell = state(top & tag.isin("td", "th", "tr"), F.struct(F.when(tag.isin("td", "th") & ~F.col("shut"), F.col("n")).alias("n"))).over(table)
-    rows = rows.withColumn("cell_at", cell["n"])
-    # an item ends at its list's next item tag, or with the list: state within the list, and before a row of it
-    items = Window.partitionBy("page", "list_at").orderBy("n")
+    # rows and cells before the table are an earlier one's
+    rows = rows.withColumn("row_at", F.when(F.col("row_at") > F.col("outer"), F.col("row_at"))).withColumn("cell_at", F.when(F.col("cell.n") > F.col("outer"), F.col("cell.at")))
+    rows = _nearest(rows, "list", kinds["list"] & starts)
+    # an item ends at its list's next item tag, or with the list: its state before each row, a list's end being a row of it
     item = F.struct(F.when(~F.col("shut"), F.col("n")).alias("n"), F.col("id_attr"))
-    rows = rows.withColumn("item", F.when(F.col("list_at").isNotNull(), state(tag.isin(*ITEMS), item).over(items)))
     ends = kinds["list"] & (F.col("turn") == -1)
-    rows = rows.withColumn("of_list", F.when(ends, F.col("open_at")).otherwise(F.col("list_at")))
+    rows = rows.withColumn("of_list", F.when(ends, F.col("open_at")).otherwise(F.col("list.n")))
     of_list = Window.partitionBy("page", "of_list").orderBy("n")
     before = state(tag.isin(*ITEMS), item).over(of_list.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("before", F.when(F.col("of_list").isNotNull(), before))
-    begun = tag.isin(*ITEMS) & ~F.col("shut") & F.col("id_attr").isNotNull() & F.col("list_at").isNotNull()
+    rows = rows.withColumn("item", F.when(F.col("list").isNotNull(), F.when(tag.isin(*ITEMS), item).otherwise(F.col("before"))))
+    begun = tag.isin(*ITEMS) & ~F.col("shut") & F.col("id_attr").isNotNull() & F.col("list").isNotNull()
     ended = (tag.isin(*ITEMS) | ends) & F.col("before.n").isNotNull() & F.col("before.id_attr").isNotNull()
     named = kinds["holder"] & F.col("open_id").isNotNull()
     rows = rows.withColumn("named_depth", F.sum(F.when(named, F.col("turn")).otherwise(0) + begun.cast("int") - ended.cast("int")).over(page))
     rows = _nearest(rows, "named", (named & starts) | begun)
-    in_item = F.col("item.n").isNotNull() & (F.col("holder_at") == F.col("list_at")) & F.col("head").isin("", "p", *ITEMS)
+    in_item = F.col("item.n").isNotNull() & (F.col("holder_depth") == F.col("list.holder_depth")) & F.col("head").isin("", "p", *ITEMS)
     block = (
         F.when(F.col("outer").isNotNull() & (F.col("head") != "caption"), F.struct(F.lit("table").alias("kind"), F.col("outer").alias("at")))
         .when(in_item, F.struct(F.lit("item").alias("kind"), F.col("item.n").alias("at")))
@@ -177,7 +175,7 @@ def page_blocks(df: DataFrame, id_col: str = "page_id", html: str = "html") -> D
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", c.alias("x")))), lambda x: x["x"]), "")
     cells = rows.groupBy("page", "id", "block", "row_at", "cell_at").agg(
         joined(part).alias("text"), joined(F.when(tag == "img", F.concat(F.lit(" "), F.coalesce("alt", F.lit(""))))).alias("alts"), F.max(tag == "img").alias("image"),
-        F.min(F.when(F.col("id_attr").isNotNull(), F.struct("n", F.col("id_attr").alias("x")))).alias("own"), F.min(F.struct("n", "head", "quote_depth", "named_id", "heading_id")).alias("first"),
+        F.min(F.when(F.col("id_attr").isNotNull(), F.struct("n", F.col("id_attr").alias("x")))).alias("own"), F.min(F.struct("n", "head", "quote_depth", F.col("named.id_attr").alias("named_id"), "heading_id")).alias("first"),
     )
     cells = cells.withColumn("text", _collapse(F.col("text"))).withColumn("alts", _collapse(F.col("alts")))
     inside = F.col("block.kind") != "table"
