@@ -31,6 +31,8 @@ BLOCK_UNITS, BLOCK_WORDS = 1024, 2_000_000
 A, B = 10, 4
 #: Blocks of each query that are ranked first, and queries that a task ranks together.
 FIRST, TOGETHER = 4, 256
+#: Terms of a query that a unit has to have before any places are read.
+RAREST = 4
 #: Rows of query terms that are sent to all executors; more are dealt out with the index.
 BROADCAST = 1_000_000
 #: So many terms are looked for in the files' statistics, beside the folders that all terms name.
@@ -245,16 +247,44 @@ def _ranker(k: int, every: bool):
     return run
 
 
-def _rank(spark: SparkSession, index: Index, blocks: DataFrame, terms: DataFrame, k: int, every: bool) -> DataFrame:
-    """The first k units of each (q, block) asked for: q, unit, s."""
+def _meeting(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
+    """Queries of a block for which one of its units has all the terms asked for."""
+    units = {t: np.cumsum(np.asarray(u.values)) for t, u in zip(rows["term"].to_pylist(), rows["units"], strict=True)}
+    wanted: dict = {}
+    for q, term in zip(asked["q"].to_pylist(), asked["term"].to_pylist(), strict=True):
+        wanted.setdefault(q, []).append(units.get(term, np.zeros(0, np.int64)))
+    out = []
+    for q, lists in wanted.items():
+        common = lists[0]
+        for other in lists[1:]:
+            common = common[np.isin(common, other, assume_unique=True)]
+        if len(common):
+            out.append(q)
+    return pa.table({"q": pa.array(out, asked["q"].type), "block": pa.array([key[0].as_py()] * len(out), pa.int64())})
+
+
+def _tasks(spark: SparkSession, index: Index, blocks: DataFrame, terms: DataFrame, columns: tuple[str, ...]):
+    """The index's rows for each (q, block) asked for, grouped with the queries that ask: a block and up to TOGETHER queries a task."""
     share = F.pmod(F.xxhash64("q"), F.lit(-(-terms.select("q").distinct().count() // TOGETHER) or 1)).cast("int")
     asked = blocks.join(terms, "q").select("q", "term", "bucket", "block", share.alias("share"))
     needed = asked.select("bucket", "term", "block", "share").distinct()
-    rows = index.rows_of(spark, terms).select("bucket", "term", "block", "units", "counts", "places").join(needed, ["bucket", "term", "block"])
-    kind = dict(terms.dtypes)["q"]
+    rows = index.rows_of(spark, terms).select("bucket", "term", "block", *columns).join(needed, ["bucket", "term", "block"])
     asks = asked.select("q", "term", F.col("block").alias("block_"), F.col("share").alias("share_"))
-    tasks = rows.groupBy("block", "share").cogroup(asks.groupBy("block_", "share_"))
-    return tasks.applyInArrow(_ranker(k, every), f"q {kind}, unit bigint, s double")
+    return rows.groupBy("block", "share").cogroup(asks.groupBy("block_", "share_"))
+
+
+def _rank(spark: SparkSession, index: Index, blocks: DataFrame, terms: DataFrame, k: int, every: bool) -> DataFrame:
+    """The first k units of each (q, block) asked for: q, unit, s."""
+    return _tasks(spark, index, blocks, terms, ("units", "counts", "places")).applyInArrow(_ranker(k, every), f"q {dict(terms.dtypes)['q']}, unit bigint, s double")
+
+
+def _with_rarest(spark: SparkSession, index: Index, bounds: DataFrame, terms: DataFrame, about: DataFrame) -> DataFrame:
+    """Blocks in which some unit has the RAREST terms of the query: units are compared, places aren't read."""
+    n = about.groupBy("term").agg(F.sum("n_units").alias("n"))
+    rare = Window.partitionBy("q").orderBy("n", "term")
+    few = written(terms.join(n, "term").withColumn("r", F.row_number().over(rare)).where(F.col("r") <= RAREST).select("q", "term", "bucket"))
+    met = _tasks(spark, index, bounds.select("q", "block"), few, ("units",)).applyInArrow(_meeting, f"q {dict(terms.dtypes)['q']}, block bigint")
+    return bounds.join(met, ["q", "block"], "left_semi")
 
 
 def top(spark: SparkSession, index: Index, queries: DataFrame, k: int, every: bool) -> DataFrame:
@@ -263,17 +293,20 @@ def top(spark: SparkSession, index: Index, queries: DataFrame, k: int, every: bo
     s is the cover density, or the sum of the weights of the terms' places; ties to the
     smaller unit. A block is read if the bound of its best score, from the largest score
     (or number of places) of each term in it, reaches the k-th score of the blocks with the
-    highest bounds. Both forms are exact.
+    highest bounds; where every term is asked for, if one of its units has the rarest of them.
+    Both forms are exact.
     """
     terms = written(queries.select("q", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).withColumn("bucket", index.bucket(F.col("term"))))
     small = terms.count() <= BROADCAST
-    about = index.rows_of(spark, terms).select("bucket", "term", "block", "best", "most", "strong")
+    about = index.rows_of(spark, terms).select("bucket", "term", "block", "n_units", "best", "most", "strong")
     met = _meet(about, terms, ["bucket", "term"], small)
     if every:
         met = met.groupBy("q", "block", "n_terms").agg(F.count("*").alias("n"), (F.sum("most") * F.max("strong") / 10).alias("bound")).where("n = n_terms")
     else:
         met = met.groupBy("q", "block").agg((F.sum("best") / 10).alias("bound"))
     bounds = written(met.select("q", "block", "bound"))
+    if every:
+        bounds = written(_with_rarest(spark, index, bounds, terms, about))
     best = Window.partitionBy("q").orderBy(F.desc("bound"), "block")
     first = bounds.withColumn("r", F.row_number().over(best)).where(F.col("r") <= FIRST).select("q", "block")
     ranks = Window.partitionBy("q").orderBy(F.desc("s"), "unit")
