@@ -153,7 +153,7 @@ def placed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row_at", F.when(in_table, F.coalesce("row_at", F.lit(-1)))).withColumn("cell_at", F.when(in_table, F.col("cell_at")))
 
 
-def page_blocks(df: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
+def page_blocks(df: DataFrame, id_col: str = "page_id", html: str = "html", places: bool = False) -> DataFrame:
     """A row for each block of each page: id_col, ordinal, type, level (of headings), fragment, text, rows (of tables).
 
     An item's text is its own and its paragraphs', what else lies in it follows; a table is
@@ -162,6 +162,9 @@ def page_blocks(df: DataFrame, id_col: str = "page_id", html: str = "html") -> D
     their alternative texts. fragment is the block's own id, else the first within it, else
     that of the nearest element around it, else of the last heading.
 
+    With places, four more columns: page, place (the number of the token that it begins with),
+    and kind and at, which name the block as placed() does.
+
     A null page has no blocks. Each row of df is a page, repeated rows too. One shuffle, by page.
     """
     rows = placed(tokens(df, id_col, html))
@@ -204,4 +207,5 @@ def page_blocks(df: DataFrame, id_col: str = "page_id", html: str = "html") -> D
         F.coalesce("own.x", "first.named_id", "first.heading_id").alias("fragment"),
         nfc(F.when(only_image, alts).otherwise(F.col("body"))).alias("text"),
         composed_rows(F.when(kind == "table", F.filter(F.transform("lines", lambda x: x["cells"]), lambda x: F.size(x) > 0))).alias("rows"),
+        *((F.col("page"), F.when(kind == "run", F.col("first.n")).otherwise(F.col("block.at")).alias("place"), kind.alias("kind"), F.col("block.at").alias("at")) if places else ()),
     )
