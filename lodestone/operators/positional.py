@@ -2,8 +2,8 @@
 
 A block is a run of units (chunks, documents) in the order of their ids. For each term of a
 block there is one row: the units that have it and their places in them, both as gaps, with
-the weight of a place's field (A for headings, B for the body), and the largest score that
-the term gives any of the units. Rows lie in folders by a hash of the term, sorted by term
+the weight of a place's field (A for headings, B for the body), the score that the term
+gives each unit, and the largest of these. Rows lie in folders by a hash of the term, sorted by term
 within files, so that a search reads the folders and row groups of its terms. A frequent
 term has many rows, in several files: Spark deals out anew what is too much for one task.
 
@@ -40,7 +40,7 @@ LOOKED_UP = 1000
 #: From this version on, a search without strict hits falls back to any of the words.
 FALLBACK_FROM = "1.1.0"
 
-ROW = "term string, block bigint, n_units int, best bigint, most int, strong int, units array<bigint>, counts array<int>, places array<int>"
+ROW = "term string, block bigint, n_units int, best bigint, most int, strong int, units array<bigint>, scores array<int>, counts array<int>, places array<int>"
 
 
 @dataclass(frozen=True)
@@ -105,6 +105,7 @@ def invert(units: np.ndarray, words: pa.Array, n_words: np.ndarray, n_heading: n
         pa.array(np.maximum.reduceat(count, term).astype(np.int32)),
         pa.array(np.where(np.logical_or.reduceat(heading, each[term]), A, B).astype(np.int32)),
         pa.ListArray.from_arrays(pa.array(ends), pa.array(unit_gap)),
+        pa.ListArray.from_arrays(pa.array(ends), pa.array(score.astype(np.int32))),
         pa.ListArray.from_arrays(pa.array(ends), pa.array(count.astype(np.int32))),
         pa.ListArray.from_arrays(pa.array(place_ends), pa.array((gap * 2 + heading).astype(np.int32))),
     ]
@@ -198,13 +199,17 @@ def cover_density(at: np.ndarray, weight: np.ndarray, term: np.ndarray, n_terms:
     return total
 
 
+#: Columns that a search for all terms, or for any, reads.
+_NEEDED = {True: ("units", "counts", "places"), False: ("units", "scores")}
+
+
 def _ranker(k: int, every: bool):
     """Ranks the units of a block for some queries: those with every term by cover density, or with any by summed weights."""
 
     def run(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
         postings = {}
-        for term, units, counts, places in zip(rows["term"].to_pylist(), rows["units"], rows["counts"], rows["places"], strict=True):
-            postings[term] = (np.cumsum(np.asarray(units.values)), np.asarray(counts.values), np.asarray(places.values))
+        for term, units, *rest in zip(rows["term"].to_pylist(), rows["units"], *(rows[c] for c in _NEEDED[every][1:]), strict=True):
+            postings[term] = (np.cumsum(np.asarray(units.values)), *(np.asarray(x.values) for x in rest))
         wanted: dict = {}
         for q, term in zip(asked["q"].to_pylist(), asked["term"].to_pylist(), strict=True):
             wanted.setdefault(q, []).append(term)
@@ -231,8 +236,8 @@ def _ranker(k: int, every: bool):
                 found = common
                 score = np.array([cover_density(at[s], weight[s], term[s], len(terms)) for s in np.split(order, cuts[1:])])
             else:
-                owner = np.concatenate([units for units, _, _ in have])
-                weight = np.concatenate([np.add.reduceat(np.where(gaps & 1, A, B), np.cumsum(counts) - counts) for _, counts, gaps in have])
+                owner = np.concatenate([units for units, _ in have])
+                weight = np.concatenate([scores for _, scores in have])
                 found, at = np.unique(owner, return_inverse=True)
                 score = np.bincount(at, weight) / 10
             score = np.round(score, 9)
@@ -267,7 +272,8 @@ def _tasks(spark: SparkSession, index: Index, blocks: DataFrame, terms: DataFram
     """The index's rows for each (q, block) asked for, grouped with the queries that ask: a block and up to TOGETHER queries a task."""
     share = F.pmod(F.xxhash64("q"), F.lit(-(-terms.select("q").distinct().count() // TOGETHER) or 1)).cast("int")
     asked = blocks.join(terms, "q").select("q", "term", "bucket", "block", share.alias("share"))
-    needed = asked.select("bucket", "term", "block", "share").distinct()
+    needed = written(asked.select("bucket", "term", "block", "share").distinct())
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST // 4 else needed
     rows = index.rows_of(spark, terms).select("bucket", "term", "block", *columns).join(needed, ["bucket", "term", "block"])
     asks = asked.select("q", "term", F.col("block").alias("block_"), F.col("share").alias("share_"))
     return rows.groupBy("block", "share").cogroup(asks.groupBy("block_", "share_"))
@@ -275,7 +281,7 @@ def _tasks(spark: SparkSession, index: Index, blocks: DataFrame, terms: DataFram
 
 def _rank(spark: SparkSession, index: Index, blocks: DataFrame, terms: DataFrame, k: int, every: bool) -> DataFrame:
     """The first k units of each (q, block) asked for: q, unit, s."""
-    return _tasks(spark, index, blocks, terms, ("units", "counts", "places")).applyInArrow(_ranker(k, every), f"q {dict(terms.dtypes)['q']}, unit bigint, s double")
+    return _tasks(spark, index, blocks, terms, _NEEDED[every]).applyInArrow(_ranker(k, every), f"q {dict(terms.dtypes)['q']}, unit bigint, s double")
 
 
 def _with_rarest(spark: SparkSession, index: Index, bounds: DataFrame, terms: DataFrame, about: DataFrame) -> DataFrame:
