@@ -24,8 +24,10 @@ from .common import checkpointed
 
 #: Vectors in a block of queries or candidates, and buckets of a histogram.
 QUERIES, CANDIDATES, BUCKETS = 512, 4096, 4096
-#: Vectors with a component this large once scaled have blocks of their own, scored in whole numbers of any size.
+#: Vectors with a component this large once scaled have blocks of their own, kept unscaled and scored in whole numbers of any size.
 LARGE = 2**24
+#: Scores beyond a long count as the last ones that fit; the least long is kept for a query's own row.
+MOST = 2**63 - 1
 
 BLOCK = "ids binary, mat binary, n int, dim int, top double"
 
@@ -46,49 +48,50 @@ def _valid(column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np
 
 
 def _blocks(df: DataFrame, id_col: str, vec_col: str, scale: int, rows: int) -> DataFrame:
-    """Blocks of at most `rows` scaled vectors: ids, matrix, their number, dimension, largest absolute component."""
+    """Blocks of at most `rows` scaled vectors: ids, matrix, their number, dimension, largest absolute component (infinite: large ones, not scaled)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list] = {}
 
-        def out(dim: int, ids: np.ndarray, mat: np.ndarray) -> pa.RecordBatch:
-            values = [[ids.tobytes()], [mat.astype("<f8").tobytes()], [len(ids)], [dim], [float(np.abs(mat).max())]]
+        def out(dim: int, large: bool, ids: np.ndarray, mat: np.ndarray) -> pa.RecordBatch:
+            values = [[ids.tobytes()], [mat.astype("<f8").tobytes()], [len(ids)], [dim], [float("inf") if large else float(np.abs(mat).max())]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["ids", "mat", "n", "dim", "top"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for dim, (at, mat) in _valid(batch.column(1))[1].items():
-                mat = np.floor(mat * scale)
                 fine = np.isfinite(mat).all(1)
-                large = (np.abs(mat) > LARGE).any(1)
-                for part in (fine & ~large, fine & large):
-                    key = dim, bool(large[part].any())
-                    kept.setdefault(key, []).append((ids[at[part]].astype("<i8"), mat[part]))
+                large = (np.abs(mat) > LARGE / scale).any(1)
+                for key, part in (((dim, False), fine & ~large), ((dim, True), fine & large)):
+                    kept.setdefault(key, []).append((ids[at[part]].astype("<i8"), mat[part] if key[1] else np.floor(mat[part] * scale)))
                     while sum(len(x) for x, _ in kept[key]) >= rows:
                         a, m = (np.concatenate(x) for x in zip(*kept[key], strict=True))
-                        yield out(dim, a[:rows], m[:rows])
+                        yield out(*key, a[:rows], m[:rows])
                         kept[key] = [(a[rows:], m[rows:])]
-        for (dim, _), parts in kept.items():
+        for key, parts in kept.items():
             a, m = (np.concatenate(x) for x in zip(*parts, strict=True))
             if len(a):
-                yield out(dim, a, m)
+                yield out(*key, a, m)
 
     return df.where(df[id_col].isNotNull() & df[vec_col].isNotNull()).select(df[id_col].cast("long").alias("id"), df[vec_col].alias("vec")).mapInArrow(run, BLOCK)
 
 
-def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _whole(mat: np.ndarray, top: float, scale: int) -> np.ndarray:
+    """A block's scaled components as Python's whole numbers; above 2**53 a number has no fraction, so scaling is exact."""
+    of = (lambda v: int(v) * scale if abs(v) > 2**53 else int(np.floor(v * scale))) if np.isinf(top) else int
+    return np.array([[of(v) for v in row] for row in mat.tolist()], object)
+
+
+def _scores(row: dict, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of the queries and the candidates of a pair of blocks, and their scores; a query's own row has the least one."""
     q_ids, c_ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
     q = np.frombuffer(row["q_mat"], "<f8").reshape(len(q_ids), -1)
     c = np.frombuffer(row["mat"], "<f8").reshape(len(c_ids), -1)
-    if q.shape[1] * row["q_top"] * row["top"] < 2**53:
+    if np.isfinite(row["q_top"]) and np.isfinite(row["top"]) and q.shape[1] * row["q_top"] * row["top"] < 2**53:
         s = (q @ c.T).astype(np.int64)  # exact: all sums are whole numbers below 2**53
     else:
-        whole = lambda x: np.array([[int(v) for v in row] for row in x], object)
-        s = whole(q) @ whole(c).T
-        if abs(s).max() >= 2**62:
-            raise OverflowError("a score is too large for a long")
-        s = s.astype(np.int64)
+        s = _whole(q, row["q_top"], scale) @ _whole(c, row["top"], scale).T
+        s = np.minimum(np.maximum(s, -MOST), MOST).astype(np.int64)
     s[q_ids[:, None] == c_ids[None, :]] = np.iinfo(np.int64).min
     return q_ids, c_ids, s
 
@@ -113,7 +116,8 @@ def top_k(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: int
     Components are floor(scale * x). Returns query_id, rank (from 1), vec_id, score. A
     candidate with the query's own id is left out; a query with fewer than k candidates
     gets all. Rows with a null id, a null or empty vector, a null or non-finite component
-    take no part; a score of 2**62 or more raises; vectors of unlike lengths don't meet. A
+    take no part; a score beyond a long counts as the largest or (its negative) the least one,
+    so that such scores tie; vectors of unlike lengths don't meet. A
     repeated candidate counts as often as it occurs, a repeated query is answered as often
     (under the same query_id). Empty tables give no rows; other columns are ignored.
     """
@@ -123,10 +127,11 @@ def top_k(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: int
     stripes = int(spark.conf.get("spark.sql.shuffle.partitions"))
     c = checkpointed(_blocks(candidates, id_col, vec_col, scale, CANDIDATES).withColumn("stripe", F.pmod(F.monotonically_increasing_id(), F.lit(stripes)).cast("int")))
     bound = c.agg(F.max(F.col("dim") * F.col("top"))).first()[0]
-    reach = min(int(q.agg(F.max("q_top")).first()[0] or 0) * int(bound or 0) + 1, 2**62)
+    reach = (q.agg(F.max("q_top")).first()[0] or 0.0) * (bound or 0.0)
+    reach = min(int(reach) + 1, MOST) if reach < MOST else MOST
 
     # by query: [low, low + span) holds the k-th score, which is the need-th from the range's top
-    span = 2 * reach
+    span = 2 * reach + 1
     state = q.select("qb", F.transform(F.sequence(F.lit(0), F.col("q_n") - 1), lambda i: F.struct(i.alias("at"), F.lit(-reach).cast("long").alias("low"), F.lit(k).cast("long").alias("need"), F.lit(False).alias("all"))).alias("state"))
 
     def met(state: DataFrame) -> DataFrame:
@@ -137,11 +142,15 @@ def top_k(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: int
         width = -(-span // BUCKETS)
 
         def histogram(row: dict, span: int = span, width: int = width) -> list:
-            _, _, s = _scores(row)
-            low = np.array([x["low"] for x in row["state"]], np.int64)
-            bucket = np.clip((s - low[:, None]) // width, -1, BUCKETS)
-            bucket[(s == np.iinfo(np.int64).min) | (s >= low[:, None] + span)] = BUCKETS
-            at, _ = np.nonzero(keep := (bucket >= 0) & (bucket < BUCKETS) & (bucket >= np.clip((_kth(s, k) - low) // width, -1, BUCKETS)[:, None]))
+            _, _, s = _scores(row, scale)
+            own = s == np.iinfo(np.int64).min
+            # differences of longs fit one only within half of their range
+            kind = np.int64 if span < 2**61 and abs(s[~own]).max(initial=0) < 2**61 else object
+            low = np.array([x["low"] for x in row["state"]], kind)
+            bucket_of = lambda x, low: np.where(x < low, -1, np.minimum((np.maximum(x.astype(kind), low) - low) // width, BUCKETS)).astype(np.int64)
+            bucket = bucket_of(s, low[:, None])
+            bucket[own | (s.astype(kind) >= low[:, None] + span)] = BUCKETS
+            at, _ = np.nonzero(keep := (bucket >= 0) & (bucket < BUCKETS) & (bucket >= bucket_of(_kth(s, k), low)[:, None]))
             both, count = np.unique(at * BUCKETS + bucket[keep], return_counts=True)
             return [np.full(len(both), row["qb"]), (both // BUCKETS).astype(np.int32), both % BUCKETS, count.astype(np.int64)]
 
@@ -152,7 +161,7 @@ def top_k(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: int
             counts.withColumn("above", F.sum("n").over(from_top) - F.col("n"))
             .join(old, ["qb", "at"])
             .where((F.col("above") < F.col("need")) & (F.col("above") + F.col("n") >= F.col("need")))
-            .select("qb", "at", (F.col("low") + F.col("bucket") * width).alias("new"), (F.col("need") - F.col("above")).alias("left"))
+            .select("qb", "at", (F.col("low").cast("decimal(38,0)") + F.col("bucket") * F.lit(width).cast("decimal(25,0)")).cast("long").alias("new"), (F.col("need") - F.col("above")).alias("left"))
         )
         # a query with fewer than k candidates finds no bucket: it keeps them all
         fresh = old.join(found, ["qb", "at"], "left").select(
@@ -162,7 +171,7 @@ def top_k(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: int
         span = width
 
     def select(row: dict) -> list:
-        q_ids, c_ids, s = _scores(row)
+        q_ids, c_ids, s = _scores(row, scale)
         least = np.iinfo(np.int64).min
         value = np.array([least if x["all"] else x["low"] for x in row["state"]], np.int64)[:, None]
         at, to = np.nonzero((s > value) & (s != least))

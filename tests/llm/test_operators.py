@@ -476,3 +476,22 @@ def test_language_model_steps_raise_the_probability():
         assert after > before
         weights, before = maxent_lm.step(weights, observed, block.expected(keys, weights, bias)[1], rate), after
     assert block.log_prob(keys, weights, bias).sum() > before
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_top_k_of_large_and_repeated_vectors(spark, k):
+    """Every finite vector takes part, however large; scores beyond a long tie as the last that fit; repeated rows count."""
+    r = random.Random(12)
+    values = [0.0, 0.3, -0.7, 1.0, 1e9, 3e13, -3e13, 1.2e14, 1e17, -1e17, 1e307, -1e307, 1.7e308]
+    rows = [(i, [r.choice(values), r.choice(values)]) for i in range(60)] + [(3, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (100, [1e307, 0.0]), (150, [1.0, 0.0]), (151, [float("inf"), 0.0]), (152, [0.3, None])]
+    exact = lambda x: int(x) * 256 if abs(x) > 2**53 else int(np.floor(256 * x))
+    fit = [(i, [exact(x) for x in v]) for i, v in rows if all(x is not None and np.isfinite(x) for x in v)]
+    most = 2**63 - 1
+    want = []
+    for q, v in fit:
+        if q % 50 == 0:
+            scores = sorted((-max(-most, min(most, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in fit if i != q)[:k]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = topk.top_k(spark, df.where("vec_id % 50 = 0"), df, k=k).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
