@@ -64,13 +64,16 @@ def _parts(nodes: DataFrame, doc: str, ordinal: str, level: str, title: str, cha
     kind = dict(nodes.dtypes)[doc]
     rows = nodes.where(nodes[ordinal].isNotNull()).select(nodes[doc].alias("doc"), nodes[ordinal].cast("long").alias("ordinal"), nodes[level].cast("int").alias("level"), nodes[title].cast("string").alias("title"), nodes[chars].cast("long").alias("chars"))
     rows = rows.withColumn("part", F.floor(F.col("ordinal") / part))
-    effects = rows.groupBy("doc", "part").applyInArrow(_effect, f"doc {kind}, part bigint, least int, opened {OPEN}, nodes bigint, chars bigint")
+    # a document of one part begins with nothing open: only the others have effects to combine
+    long = rows.where("part > 0").select(F.col("doc").alias("doc_")).distinct()
+    several = rows.join(long, F.col("doc").eqNullSafe(F.col("doc_")), "left_semi")
+    effects = several.groupBy("doc", "part").applyInArrow(_effect, f"doc {kind}, part bigint, least int, opened {OPEN}, nodes bigint, chars bigint")
     carried = effects.groupBy("doc").applyInArrow(_carry, f"doc {kind}, part bigint, opened {OPEN}, nodes bigint, chars bigint, last boolean")
     return rows, written(carried.select(F.col("doc").alias("doc_"), F.col("part").alias("part_"), "opened", "nodes", "chars", "last")), kind
 
 
 def _begin(carried: pa.Table) -> dict:
-    return carried.to_pylist()[0]
+    return carried.to_pylist()[0] if carried.num_rows else {"opened": [], "nodes": 0, "chars": 0, "last": True}
 
 
 def heading_paths(nodes: DataFrame, doc: str, ordinal: str, level: str, title: str, chars: str, part: int | None = None) -> DataFrame:
