@@ -31,38 +31,115 @@ BLOCK = frozenset(
 SILENT = frozenset("script style noscript template iframe select textarea title canvas audio video".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 OTHER = frozenset("nav header footer aside form menu dialog".split())
-OTHER_WORDS = re.compile(r"(^|[-_\s])(ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|comments?|respond|menu|nav\w*|sidebar|footer|header|share|social|related|breadcrumbs?|popup|modal|newsletter|subscribe|login)([-_\s]|$)")
+LISTS = frozenset("ul ol li dl dt dd table tbody tr td th".split())
+SECTIONS = frozenset("body div section article main aside nav header footer form td".split())
+#: Words of a class, id or role that name a part of the page which is no article, and those that name readers' comments.
+OTHER_WORD = re.compile(r"(^|[-_])(ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|menu|nav\w*|sidebar|footer|header|share|social|related|breadcrumbs?|popup|modal|newsletter|subscribe|login)([-_]|$)")
+COMMENT_WORD = re.compile(r"(^|[-_])(comments?|comment\w*|respond|reviews?|disqus\w*|replies|reactions|discussion|talkback)([-_]|$)")
+#: Words that tell a state, or the head of an article, and name no part.
+STATE_WORD = re.compile(r"^(no|has|with|without|is|not|hide|show|enable|disable)[-_]|[-_](open|opened|closed|on|off|enabled|disabled|visible|hidden|active|fixed)$|^(entry|post|article|story)[-_]header$")
 
 #: Bits of a feature's number, the most pages to train on, passes over them, step and decay.
 BITS, TRAIN_PAGES, PASSES, STEP, DECAY = 14, 160, 30, 0.5, 1e-4
-#: Where weights start for and against: parts that training pages may lack, as reader comments, are known by name and place.
-PRIOR = {"other-word": 3.0, "of-article:False": 2.0}
+#: Where weights start, against (above 0) and for: parts that training pages may lack, as reader comments, are known by name and place.
+PRIOR = {"other-word": 3.0, "of-article:False": 2.0, "of-article:True": -3.0}
 #: Characters of the longest page to train on.
 TRAIN_CHARS = 200_000
+#: Ancestors with words, from the block up, whose words are features, and words taken of each.
+NEAR, WORDS = 4, 16
 
 
 class Node:
-    """An open element: its features and those of its ancestors, with and without the tags that mark an article.
+    """An open element. What its ancestors mean for it is set by `settle`."""
 
-    An element that adds no feature shares the sets of its parent.
-    """
-
-    __slots__ = ("tag", "found", "bare", "parent", "bare_parent", "main")
+    __slots__ = ("tag", "words", "above", "named", "comments", "text", "linked", "holds", "outer", "part", "other", "main", "tags", "near", "section")
 
     def __init__(self, tag: str, words: str, above: Node | None):
-        self.tag = tag
-        new = [f"in:{tag}", *(f"word:{x}" for x in words.split())]
-        other = tag in OTHER or bool(OTHER_WORDS.search(words))
-        if OTHER_WORDS.search(words):
-            new.append("other-word")
-        hidden = tag in ("article", "main")
-        found, bare = (above.found, above.bare) if above else (frozenset(), frozenset())
-        self.found = found if found.issuperset(new) else found.union(new)
-        self.bare = bare if hidden or bare.issuperset(new) else bare.union(new)
-        self.parent = tag
-        self.bare_parent = (above.bare_parent if above else "") if hidden else tag
-        #: Whether the text is of an article, and not of a part that isn't its own.
-        self.main = hidden or bool(above and above.main and not other)
+        self.tag, self.words, self.above = tag, words.split(), above
+        parts = [x for x in self.words if not STATE_WORD.search(x)]
+        self.named = any(OTHER_WORD.search(x) for x in parts)
+        self.comments = any(COMMENT_WORD.search(x) for x in parts)
+
+    def label(self) -> str:
+        """The tag; a list or table that is mostly links is another thing than one of text."""
+        return f"{self.tag}-linked" if self.tag in LISTS and 2 * self.linked > self.text else self.tag
+
+
+def lineage(blocks: list[tuple[Node | None, str, int]]) -> list[Node]:
+    """The blocks' elements and all above them, parents first."""
+    seen: set[int] = set()
+    out: list[Node] = []
+    for node, _, _ in blocks:
+        chain = []
+        while node is not None and id(node) not in seen:
+            seen.add(id(node))
+            chain.append(node)
+            node = node.above
+        out += reversed(chain)
+    return out
+
+
+def settle(blocks: list[tuple[Node | None, str, int]], bare: bool = False) -> None:
+    """Sets what each element is in its page; bare: as if no tag marked an article.
+
+    The page's article is the outermost `article` or `main` with the most text. Names of
+    parts don't count for it and what is above it; without one, for what holds over half of
+    the text, or over nine tenths if it is named for comments. Linear in the page.
+    """
+    nodes = lineage(blocks)
+    for node in nodes:
+        node.text = node.linked = 0
+        node.holds = node.tag in ("html", "body")
+        node.outer = not bare and node.tag in ("article", "main")
+    for node, text, linked in blocks:
+        if node:
+            node.text += len(text)
+            node.linked += linked
+    total = sum(len(text) for _, text, _ in blocks)
+    for node in reversed(nodes):
+        if node.above:
+            node.above.text += node.text
+            node.above.linked += node.linked
+    within: set[int] = set()
+    article = None
+    for node in nodes:
+        up = node.above
+        if up and id(up) in within:
+            within.add(id(node))
+        elif node.outer:
+            within.add(id(node))
+            if article is None or node.text > article.text:
+                article = node
+    if article is None:
+        for node in nodes:
+            node.holds |= node.text * (10 if node.comments else 2) > total * (9 if node.comments else 1)
+    else:
+        up = article.above
+        while up:
+            up.holds, up = True, up.above
+    for node in nodes:
+        up = node.above
+        if node is article:
+            node.part = node.other = False
+            node.main = True
+            own = named = False
+        else:
+            # the head of the article is its own
+            inside = bool(up and up.main)
+            named = not node.holds and (node.comments or node.named and not node.outer and not (inside and node.tag == "header"))
+            own = named or not node.holds and node.tag in OTHER and not (inside and node.tag == "header")
+            node.part = own or bool(up and up.part)
+            node.other = named or bool(up and up.other)
+            node.main = not node.part and (node.outer or inside)
+        tags, node.near = (up.tags, up.near) if up else (frozenset(), ())
+        silent = node.holds or bare and node.tag in ("article", "main")
+        if not silent:
+            label = f"in:{node.label()}"
+            tags = tags if label in tags or node.tag not in BLOCK else tags | {label}
+            if node.words and node is not article:
+                node.near = ((tuple(f"word:{x}" for x in node.words[:WORDS])), *node.near)[:NEAR]
+        node.tags = tags
+        node.section = node if up is None or node.tag in SECTIONS else up.section
 
 
 class Leaves(HTMLParser):
@@ -160,10 +237,9 @@ def leaves(html: str | None) -> list[tuple[Node | None, str, int]]:
 
 
 def features(blocks: list[tuple[Node | None, str, int]], bare: bool = False, mute: bool = False) -> list[np.ndarray]:
-    """Feature numbers of each block; bare: without the ancestors that mark the article; mute: without those of the text."""
+    """Feature numbers of each block; bare: without the tags that mark the article; mute: without those of the text."""
     out = []
     numbers: dict[str, int] = {}
-    above: dict[int, set[int]] = {}  # of each set of ancestors' features; nodes live as long as blocks
 
     def number(x: str) -> int:
         got = numbers.get(x)
@@ -171,26 +247,33 @@ def features(blocks: list[tuple[Node | None, str, int]], bare: bool = False, mut
             got = numbers[x] = zlib.crc32(x.encode()) & (1 << BITS) - 1
         return got
 
-    marked = not bare and any(node and node.main for node, _, _ in blocks)
-    for i, (node, text, linked) in enumerate(blocks):
+    settle(blocks, bare)
+    total = sum(len(text) for _, text, _ in blocks)
+    marked = any(node and node.main for node, _, _ in blocks)
+    for node, text, linked in blocks:
         n = len(text)
-        found = {"bias", f"len:{min(n.bit_length(), 10)}", f"link:{round(4 * linked / n) if n else 0}", f"end:{text[-1] in '.!?…:'}", f"commas:{min(text.count(','), 3)}", f"first:{text[0].isupper()}"}
+        found = {"bias"}
         if marked:
             found.add(f"of-article:{bool(node and node.main)}")
-        found.add(f"mark:{any(c in text for c in '©®|»·')}")
-        if mute:
-            found = {x for x in found if x.startswith(("bias", "of-article"))}
-        found.add(f"parent:{(node.bare_parent if bare else node.parent) if node else ''}")
-        found.add(f"place:{'first' if i == 0 else 'last' if i == len(blocks) - 1 else 'mid'}")
-        tags = (node.bare if bare else node.found) if node else frozenset()
-        if id(tags) not in above:
-            above[id(tags)] = {number(x) for x in tags}
-        out.append(np.array(sorted(above[id(tags)] | {number(x) for x in found}), np.int64))
+        if not mute:
+            found |= {f"len:{min(n.bit_length(), 10)}", f"link:{round(4 * linked / n) if n else 0}", f"end:{text[-1] in '.!?…:'}", f"commas:{min(text.count(','), 3)}", f"first:{text[0].isupper()}"}
+            found.add(f"mark:{any(c in text for c in '©®|»·')}")
+        if node:
+            if not mute:
+                section = node.section
+                found |= {f"share:{4 * section.text // max(total, 1)}", f"links:{round(4 * section.linked / max(section.text, 1))}"}
+            if not (bare and node.tag in ("article", "main")):
+                found.add(f"parent:{node.label()}")
+            found.update(node.tags, *node.near)
+            if node.other:
+                found.add("other-word")
+        out.append(np.array(sorted({number(x) for x in found}), np.int64))
     return out
 
 
 def labels(blocks: list[tuple[Node | None, str, int]]) -> list[int] | None:
     """1 for blocks within the article that no inner part takes out, else 0; None if the page has no such markup."""
+    settle(blocks)
     out = [int(bool(node and node.main)) for node, _, _ in blocks]
     return out if any(out) else None
 

@@ -17,6 +17,8 @@ from lodestone.llm.common import words_of
 from lodestone.llm.token_counts import Counter as TokenCounter
 from tokenizers import Tokenizer
 
+from tests.llm.written_pages import LAYOUTS, written
+
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SIGNS = ["a", "b", "the", " ", "  ", "\n", "\t", "\x1c", "\x85", "é", "É", "日本", "😀", "1", "²", "'s", "'T", "<|endoftext|>", "_", "́", "ing", "Σ", "İ", " e", "zzzz", "\x00", "½", "Ⅷ", "ǅ", "՘", "ࡰ"]
 
@@ -399,6 +401,33 @@ def test_pages_written_by_hand(spark):
         assert html_crf.main_text(page, field) == text
 
 
+def test_pages_of_thirty_layouts(spark):
+    field = html_crf.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    words = found = more = 0
+    for page, texts in map(written, LAYOUTS):
+        got = [x for x in html_crf.main_text(page, field).split("\n") if x]
+        size = lambda blocks: sum(len(x.split()) for x in blocks)
+        words, found, more = words + size(texts), found + size(x for x in texts if x in got), more + size(x for x in got if x not in texts)
+        assert not any("thanks for the report" in x or "drive round" in x for x in got)
+    assert found >= 0.98 * words and more <= 0.02 * words
+
+
+def test_a_class_of_the_body_changes_no_page(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    field = html_crf.fit(pages[:60])
+    for page in pages[160:]:
+        for shown in (page, page.replace("article>", "div>")):
+            want = html_crf.main_text(shown, field)
+            for name in ("has-sidebar", "nav-open", "sidebar"):
+                assert html_crf.main_text(shown.replace("<body", f"<body class='{name}'"), field) == want
+
+
+def test_unlike_classes_take_linear_time():
+    start = time.time()
+    html_crf.features(html_crf.leaves("".join(f"<div class=c{i}>" for i in range(4000)) + "<p>x" * 4000))
+    assert time.time() - start < 1
+
+
 def test_language_model_beats_its_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     train = langid.F.crc32(docs["doc_id"].cast("string").cast("binary")) % 5 != 1
