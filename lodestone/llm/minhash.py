@@ -8,12 +8,14 @@ threshold; the groups are the connected components of the links.
    A group of n near copies would give n * n pairs, so a band's documents are first compared
    with one of them only: the one that meets most others over all its bands, which is the
    most typical of its group. What that links is one component, and needs no more pairs.
-3. Bands that still hold several components have all pairs between components compared,
-   block by block inside the tasks. Of the pairs of two components that survive step 4 a
-   block pair gives the most alike one, and says whether there are others. Once those are
-   verified, the few block pairs with others between components that are still apart are
-   sent the full sets, and give just the links that join components there. So a group of
-   near copies gives no more pairs than it has components, and none is left out.
+3. Bands that still hold several components have the pairs between components compared,
+   block by block inside the tasks, each pair in the first band that both documents share.
+   Of the pairs that survive step 4 a block pair gives, the most alike first, those that
+   would join components if they were links: one fewer than its components at most. It says
+   whether there are others. Once those are verified, the block pairs with others between
+   components that are still apart are sent the full sets, verify them in place, and give
+   just the links that join components there. So documents that are much alike give no more
+   pairs than there are of them in a block, linked or not, and none is left out.
 4. Verification. A pair's signatures are compared batch by batch. After each, the posterior
    of its similarity (uniform prior, m of n hashes equal) says how likely it is to reach the
    threshold; below the chosen miss probability the pair is dropped. Every survivor is
@@ -39,8 +41,8 @@ from .common import checkpointed, words_of
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, (75, 100), 32, 4
 #: Hashes (of a byte each) for verification, compared so many at a time, and the miss probability.
 CHECKS, BATCH, MISS = 512, 64, 1e-6
-#: Documents of a band in a block; bytes of sets in a block for verification, and least blocks.
-BLOCK, SET_BYTES, SET_BLOCKS = 2048, 16 << 20, 4
+#: Documents of a band in a block, and bytes of their sets; bytes of sets in a block for verification, and least blocks.
+BLOCK, BLOCK_BYTES, SET_BYTES, SET_BLOCKS = 2048, 32 << 20, 16 << 20, 4
 #: Shingles hashed at a time, which bounds memory for very long texts.
 STRIDE = 4096
 KEPT = 300_000
@@ -203,13 +205,36 @@ def _verify(threshold: tuple[int, int], miss: float):
 PLACE = ("band", "i", "j", "inner")
 
 
+class Joins:
+    """Components that pairs join, by union and find."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def apart(self, x: int, y: int) -> bool:
+        return self.root(x) != self.root(y)
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+
+
 def _between(table: pa.Table, threshold: tuple[int, int], miss: float) -> tuple:
-    """Documents, components and sets of a pair of blocks; its surviving pairs between components, the most alike first."""
-    sides = []
+    """Documents, components and sets of a pair of blocks; its surviving pairs between components, the most alike first.
+
+    A pair that shares an earlier band is left to that band.
+    """
+    sides, before = [], []
     for side in (False, True):
         part = table.filter(pc.equal(table.column("right"), side))
         checks = np.frombuffer(b"".join(part.column("checks").to_pylist()), np.uint8).reshape(-1, CHECKS)
         sides.append((part.column("id").to_numpy(), part.column("comp").to_numpy(), checks, part.column("members").to_pylist() if "members" in part.column_names else None))
+        before.append([set(x) for x in part.column("before").to_pylist()])
     (_, ca, sa, _), (_, cb, sb, _) = sides
     kept = [np.empty((3, 0), np.int64)]
     for k in range(0, len(ca), STRIDE // 64):
@@ -218,46 +243,53 @@ def _between(table: pa.Table, threshold: tuple[int, int], miss: float) -> tuple:
         for n in range(0, len(ia), 1 << 15):
             part = slice(n, n + (1 << 15))
             live, equal = survivors(sa[ia[part]], sb[ib[part]], threshold, miss)
-            kept.append(np.stack([ia[part][live], ib[part][live], equal]))
+            i, j = ia[part][live], ib[part][live]
+            here = np.array([before[0][x].isdisjoint(before[1][y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+            kept.append(np.stack([i[here], j[here], equal[here]]))
     a, b, equal = np.concatenate(kept, axis=1)
     order = np.argsort(-equal, kind="stable")
     return *sides, a[order], b[order]
 
 
 def _across(threshold: tuple[int, int], miss: float):
-    """Of each two components in a pair of blocks the most alike pair (a, b) that survives; a row without pair if there are others."""
+    """Of the surviving pairs (a, b) of a pair of blocks those that would join components; a row without pair if there are others."""
 
     def run(table: pa.Table) -> pa.Table:
         left, right, a, b = _between(table, threshold, miss)
-        out = []
-        if len(a):
-            first = np.unique(np.sort(np.stack([left[1][a], right[1][b]]), axis=0), axis=1, return_index=True)[1]
-            place = [table.column(x)[0].as_py() for x in PLACE]
-            out = [[*sorted((int(left[0][a[n]]), int(right[0][b[n]]))), *place] for n in first]
-            if len(first) < len(a):
-                out.append([None, None, *place])
+        place = [table.column(x)[0].as_py() for x in PLACE]
+        joins, out = Joins(), []
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = int(left[1][i]), int(right[1][j])
+            if joins.apart(x, y):
+                joins.join(x, y)
+                out.append([*sorted((int(left[0][i]), int(right[0][j]))), *place])
+        if len(out) < len(a):
+            out.append([None, None, *place])
         return _rows(out, ("a", "b", *PLACE))
 
     return run
 
 
+def _apart(threshold: tuple[int, int], miss: float):
+    """A row for a pair of blocks that has surviving pairs between components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        survive = len(_between(table, threshold, miss)[2])
+        return _rows([[table.column(x)[0].as_py() for x in PLACE]] if survive else [], PLACE)
+
+    return run
+
+
 def _joining(threshold: tuple[int, int], miss: float):
     """Of a pair of blocks, with full sets, links that join all its components that links between the blocks join."""
 
     def run(table: pa.Table) -> pa.Table:
         left, right, a, b = _between(table, threshold, miss)
-        parent: dict[int, int] = {}
-        out = []
-
-        def root(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                x = up
-            return x
-
+        joins, out = Joins(), []
         for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = root(int(left[1][i])), root(int(right[1][j]))
-            if x != y and linked(np.frombuffer(left[3][i], np.uint64), np.frombuffer(right[3][j], np.uint64), threshold):
-                parent[max(x, y)] = min(x, y)
+            x, y = int(left[1][i]), int(right[1][j])
+            if joins.apart(x, y) and linked(np.frombuffer(left[3][i], np.uint64), np.frombuffer(right[3][j], np.uint64), threshold):
+                joins.join(x, y)
                 out.append(sorted((int(left[0][i]), int(right[0][j]))))
         return _rows(out, ("a", "b"))
 
@@ -330,10 +362,10 @@ def near_duplicates(spark: SparkSession, df: DataFrame, text: str = "text", id_c
     docs = df.select(df[id_col].cast("long").alias("id"), df[text].alias("text"))
     sketched = checkpointed(docs.mapInArrow(_sketch(size), "id bigint, n bigint, key binary, bands array<bigint>"))
     named = sketched.where("id is not null and key is not null")
-    leaders = named.groupBy("key").agg(F.min("id").alias("leader"), F.first("bands", ignorenulls=True).alias("bands"))
+    leaders = named.groupBy("key").agg(F.min("id").alias("leader"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
     leaders = checkpointed(leaders)
 
-    rows = leaders.select(F.col("leader").alias("id"), F.explode("bands").alias("band"))
+    rows = leaders.select(F.col("leader").alias("id"), "n", F.explode("bands").alias("band"))
     counts = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     rows = checkpointed(rows.join(counts, "band"))
     weight = rows.groupBy("id").agg(F.sum("size").alias("weight"))
@@ -350,15 +382,20 @@ def near_duplicates(spark: SparkSession, df: DataFrame, text: str = "text", id_c
     comps = checkpointed(components(links))
 
     # bands that hold several components: the largest, in blocks, meets the others, and these each other
-    labelled = rows.join(comps, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
-    split = labelled.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("big")).where("comps > 1")
-    split = split.select("band", F.col("big.comp").alias("main"), F.ceil(F.col("big.n") / BLOCK).alias("mains"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).alias("others"))
+    labelled = rows.join(comps, "id", "left").select("band", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    parts = labelled.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum(F.col("n") * 8).alias("bytes"))
+    split = parts.groupBy("band").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "comp", "bytes")).alias("big")).where("comps > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES))
+    split = split.select("band", F.col("big.comp").alias("main"), blocks(F.col("big.n"), F.col("big.bytes")).alias("mains"), blocks(F.col("n") - F.col("big.n"), F.col("bytes") - F.col("big.bytes")).alias("others"))
     block: Column = F.xxhash64("id", "band")
     lesser = F.col("comp") != F.col("main")
-    parts = checkpointed(labelled.join(split, "band").select("band", "id", "mains", "others", lesser.alias("lesser"), F.pmod(block, F.when(lesser, F.col("others")).otherwise(F.col("mains"))).alias("at")))
+    parts = labelled.join(split, "band").select("band", "id", "mains", "others", lesser.alias("lesser"), F.pmod(block, F.when(lesser, F.col("others")).otherwise(F.col("mains"))).alias("at"))
+    # a document has at most as many rows as there are bands
+    each = parts.groupBy("id").agg(F.collect_list(F.struct("band", "mains", "others", "lesser", "at")).alias("all")).select("id", F.col("all.band").alias("keys"), F.explode("all").alias("p"))
+    parts = checkpointed(each.select("id", "p.*", F.filter("keys", lambda x: x < F.col("p.band")).alias("before")))
     to = lambda low, most: F.explode(F.sequence(low.cast("long"), F.col(most).cast("long") - 1))
     at = F.col("at").cast("long")
-    placed = lambda df, i, j, inner, right: df.select("band", i.alias("i"), j.alias("j"), F.lit(inner).alias("inner"), F.lit(right).alias("right"), "id")
+    placed = lambda df, i, j, inner, right: df.select("band", i.alias("i"), j.alias("j"), F.lit(inner).alias("inner"), F.lit(right).alias("right"), "id", "before")
     large, small = parts.where("not lesser"), parts.where("lesser")
     places = placed(large, at, to(F.lit(0), "others"), False, False)
     places = places.unionByName(placed(small, to(F.lit(0), "mains"), at, False, True))
@@ -377,7 +414,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, text: str = "text", id_c
         comps = joined(comps, more)
     rest = found.where("a is null").select(*PLACE)
     if not rest.isEmpty():
-        apart = met(places.join(rest, list(PLACE)), comps, _across, schema, "checks").select(*PLACE).distinct()
+        apart = met(places.join(rest, list(PLACE)), comps, _apart, "band bigint, i bigint, j bigint, inner boolean", "checks")
         if not apart.isEmpty():
             last = met(places.join(apart, list(PLACE)), comps, _joining, "a bigint, b bigint", "checks", "members")
             comps = comps if last.isEmpty() else joined(comps, last)

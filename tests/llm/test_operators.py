@@ -311,6 +311,45 @@ def test_languages_in_blocks(spark):
 
 
 
+def family(n, seed, kept=0.98):
+    """Texts that keep most words of one template; most pairs are less alike than the threshold, but for every tenth and the one before."""
+    r = random.Random(seed)
+    template = [f"t{i}" for i in range(430)]
+    texts = []
+    for i in range(n):
+        words = [w if r.random() < kept else f"u{seed}x{i}x{k}" for k, w in enumerate(template)]
+        texts.append(texts[-1] + " more" if i % 10 == 9 else " ".join(words))
+    return list(enumerate(texts))
+
+
+def test_block_pairs_of_a_template_family_give_no_more_rows_than_documents():
+    docs = family(120, 5)
+    sets = [minhash.shingles(t) for _, t in docs]
+    n = len(docs)
+    columns = {"id": [*range(n)] * 2, "comp": [*range(n)] * 2, "right": [False] * n + [True] * n, "checks": [minhash.check_bytes(x) for x in sets] * 2, "before": [[1, 2], *[[] for _ in range(n - 2)], [2]] * 2}
+    table = minhash.pa.table({**columns, "members": [x.tobytes() for x in sets] * 2, "band": [7] * 2 * n, "i": [0] * 2 * n, "j": [0] * 2 * n, "inner": [True] * 2 * n})
+    table = table.set_column(table.column_names.index("before"), "before", minhash.pa.array(columns["before"], minhash.pa.list_(minhash.pa.int64())))
+    rows = minhash._across(minhash.THRESHOLD, minhash.MISS)(table).to_pylist()
+    assert n // 2 < len(rows) <= n and rows[-1]["a"] is None and {"a": 0, "b": n - 1} not in [{"a": x["a"], "b": x["b"]} for x in rows]
+    assert minhash._apart(minhash.THRESHOLD, minhash.MISS)(table).num_rows == 1
+    alike = {(i, j) for i, j in itertools.combinations(range(n), 2) if minhash.linked(sets[i], sets[j], minhash.THRESHOLD)}
+    joined = minhash._joining(minhash.THRESHOLD, minhash.MISS)(table).to_pylist()
+    assert alike and {(x["a"], x["b"]) for x in joined} <= alike and len(joined) < n
+
+
+@pytest.mark.parametrize("size", [minhash.BLOCK_BYTES, 50_000])
+def test_components_of_a_template_family(spark, monkeypatch, size):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
+    docs = family(100, 6, 0.976) + [(200 + i, t) for i, t in family(60, 7, 0.985)]
+    sets = {i: minhash.shingles(t) for i, t in docs}
+    comp = minhash.Joins()
+    for i, j in itertools.combinations(sets, 2):
+        if minhash.linked(sets[i], sets[j], minhash.THRESHOLD) and comp.apart(i, j):
+            comp.join(i, j)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: comp.root(i) for i in sets} and len(set(got.values())) > 20
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     train = langid.F.crc32(docs["doc_id"].cast("string").cast("binary")) % 4 != 2
