@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import cells, dense, fusion
 from lodestone.operators.chunking import chunk_documents
 from lodestone.operators.exact import find_phrases
-from lodestone.session import new_folder, table
+from lodestone.operators.intervals import overlapping
+from lodestone.session import new_folder, table, written
 
 from .catalog import query
 
@@ -57,6 +58,86 @@ def exact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(c, "doc_id").where(inside).select(*hits.columns, "chunk", (F.col("canonical_end") <= F.col("own_end")).alias("ends_there"))
 
 
+@query(f"""WITH {PHRASES}, hits AS (
+    SELECT item_id, doc_id, (i - 1)::BIGINT AS hit_start, (i - 1 + length(phrase))::BIGINT AS hit_end FROM (
+        SELECT item_id, doc_id, phrase, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, length(phrase)) = phrase)) AS i
+        FROM p JOIN documents ON contains(text, phrase))
+), l AS (
+    SELECT doc_id, text, string_split(text, chr(10)) AS l, list_position(list_transform(string_split(text, chr(10)), lambda x: x <> ''), true) AS h FROM documents
+), n AS (
+    SELECT doc_id, text, l[h] AS heading, i - 1 AS ordinal, l[i] AS line, CASE WHEN i = h THEN 'heading' ELSE 'paragraph' END AS node_type,
+        length(array_to_string(l[:i], chr(10))) - length(l[i]) AS node_start FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM l WHERE doc_id IN (SELECT doc_id FROM hits))
+), m AS (
+    SELECT *, greatest(hit_start, node_start)::BIGINT AS canonical_start, least(hit_end, node_start + length(line))::BIGINT AS canonical_end
+    FROM hits JOIN n USING (doc_id) WHERE hit_start < node_start + length(line) AND node_start < hit_end
+) SELECT item_id, doc_id, hit_start, concat(doc_id, '-', ordinal) AS source_node_id, doc_id AS spine_index, concat('doc', doc_id, '.xhtml') AS href, concat('n', ordinal) AS fragment, node_type,
+    heading AS heading_path, canonical_start, canonical_end,
+    (canonical_start + length(regexp_replace(substr(text, 1, canonical_start), '[\\x{{0}}-\\x{{FFFF}}]', '', 'g')))::BIGINT AS utf16_start,
+    (canonical_end + length(regexp_replace(substr(text, 1, canonical_end), '[\\x{{0}}-\\x{{FFFF}}]', '', 'g')))::BIGINT AS utf16_end,
+    canonical_start - hit_start AS chunk_start, canonical_end - hit_start AS chunk_end,
+    sha256(concat('doc', doc_id, '.xhtml', chr(0), 'n', ordinal, chr(0), node_type, chr(0), line)) AS source_hash FROM m""")
+def evidence_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each place of an item's whole text in a document and each line that it lies in, with the line's provenance.
+
+    Documents stand for parts of a book, so that their ids are the places in its spine; the
+    first line with text stands for the heading. The passage found is the chunk. Lines and
+    passages meet by bins of places; of a line only lengths and the hash travel, and its
+    text where UTF-16 has other places in it.
+    """
+    docs = table(spark, sf_dir, "documents")
+    sizes = phrases(spark, sf_dir).select("item_id", F.length("phrase").cast("long").alias("size")).distinct()
+    found = find_phrases(docs, phrases(spark, sf_dir), "doc_id", "item_id").join(sizes, "item_id")
+    hits = written(found.select("item_id", "doc_id", F.col("position").cast("long").alias("hit_start"), (F.col("position") + F.col("size")).alias("hit_end")))
+
+    split = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    split = split.withColumn("h", F.array_position(F.transform("l", lambda x: x != ""), True) - 1)
+    n = split.select("doc_id", "h", F.posexplode("l").alias("ordinal", "line"))
+    href, fragment = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".xhtml")), F.concat(F.lit("n"), F.col("ordinal").cast("string"))
+    kind = F.when(F.col("ordinal") == F.col("h"), "heading").otherwise("paragraph")
+    units, chars = T.utf16_length(F.col("line")).cast("long"), F.length("line").cast("long")
+    n = n.select(
+        "doc_id",
+        "ordinal",
+        href.alias("href"),
+        fragment.alias("fragment"),
+        kind.alias("node_type"),
+        chars.alias("chars"),
+        units.alias("units"),
+        F.when(units > chars, F.col("line")).alias("wide"),
+        F.sha2(F.concat(href, T.nul(), fragment, T.nul(), kind, T.nul(), F.col("line")), 256).alias("source_hash"),
+    )
+    before = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda x: F.coalesce(F.sum(F.col(x) + 1).over(before), F.lit(0).cast("long"))
+    n = n.withColumn("node_start", upto("chars")).withColumn("unit_start", upto("units")).withColumn("node_end", F.col("node_start") + F.col("chars"))
+
+    m = overlapping(hits, n, ["doc_id"], ("hit_start", "hit_end"), ("node_start", "node_end"))
+    m = m.withColumn("canonical_start", F.greatest("hit_start", "node_start")).withColumn("canonical_end", F.least("hit_end", "node_end"))
+    m = m.join(split.select("doc_id", F.get("l", F.col("h").cast("int")).alias("heading_path")), "doc_id")
+
+    def unit(place: str) -> Column:
+        inside = F.col(place) - F.col("node_start")
+        return F.col("unit_start") + F.coalesce(T.utf16_length(F.substring("wide", F.lit(1), inside.cast("int"))).cast("long"), inside)
+
+    return m.select(
+        "item_id",
+        "doc_id",
+        "hit_start",
+        F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("ordinal").cast("string")).alias("source_node_id"),
+        F.col("doc_id").alias("spine_index"),
+        "href",
+        "fragment",
+        "node_type",
+        "heading_path",
+        "canonical_start",
+        "canonical_end",
+        unit("canonical_start").alias("utf16_start"),
+        unit("canonical_end").alias("utf16_end"),
+        (F.col("canonical_start") - F.col("hit_start")).alias("chunk_start"),
+        (F.col("canonical_end") - F.col("hit_start")).alias("chunk_end"),
+        "source_hash",
+    )
+
+
 @query(f"WITH {PHRASES} SELECT item_id, doc_id FROM p JOIN documents ON contains(text, phrase)")
 def exact_search_case_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_phrases(table(spark, sf_dir, "documents"), phrases(spark, sf_dir), "doc_id", "item_id", most=1).select("item_id", "doc_id")

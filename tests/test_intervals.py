@@ -2,8 +2,10 @@
 
 import random
 
+import duckdb
 import pytest
 from lodestone.operators.intervals import overlapping
+from lodestone.plans import registry
 
 A, B = "doc long, s long, e long, a long", "doc long, t long, u long, b long"
 
@@ -36,3 +38,28 @@ def test_empty_tables_and_the_longest_intervals(spark):
     assert [(r["a"], r["b"]) for r in overlapping(left, right, ["doc"], ("s", "e"), ("t", "u")).collect()] == [(0, 0)]
     assert overlapping(left.where("false"), right, ["doc"], ("s", "e"), ("t", "u")).collect() == []
     assert overlapping(left, right.where("false"), ["doc"], ("s", "e"), ("t", "u")).collect() == []
+
+
+def test_provenance_of_passages_over_several_lines(spark, tmp_path):
+    docs = [
+        (1, "\nHead 😀 one\nsecond line 😀\n\nthird"),
+        (2, "one\nsecond line 😀\none\nsecond line 😀"),
+        (3, None),
+        (4, ""),
+        (5, "aaaa"),
+    ]
+    items = [(7, "one\nsecond line 😀"), (8, "😀\n\nth"), (9, "aa"), (10, None), (11, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["evidence_provenance"]).to_arrow_table().to_pylist()
+    got = [r.asDict() for r in registry.queries()["evidence_provenance"](spark, str(tmp_path)).collect()]
+    order = lambda rows: sorted(rows, key=lambda r: (r["item_id"], r["doc_id"], r["hit_start"], r["canonical_start"]))
+    assert order(got) == order(want) and len(got) == 11
+    texts = dict(docs)
+    for r in got:
+        part = texts[r["doc_id"]][r["canonical_start"] : r["canonical_end"]]
+        assert dict(items)[r["item_id"]][r["chunk_start"] : r["chunk_end"]] == part
+        assert texts[r["doc_id"]].encode("utf-16-le")[2 * r["utf16_start"] : 2 * r["utf16_end"]].decode("utf-16-le") == part
