@@ -69,7 +69,7 @@ def exact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         length(array_to_string(l[:i], chr(10))) - length(l[i]) AS node_start FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM l WHERE doc_id IN (SELECT doc_id FROM hits))
 ), m AS (
     SELECT *, greatest(hit_start, node_start)::BIGINT AS canonical_start, least(hit_end, node_start + length(line))::BIGINT AS canonical_end
-    FROM hits JOIN n USING (doc_id) WHERE hit_start < node_start + length(line) AND node_start < hit_end
+    FROM hits JOIN n USING (doc_id) WHERE length(line) > 0 AND hit_start < node_start + length(line) AND node_start < hit_end
 ) SELECT item_id, doc_id, hit_start, concat(doc_id, '-', ordinal) AS source_node_id, doc_id AS spine_index, concat('doc', doc_id, '.xhtml') AS href, concat('n', ordinal) AS fragment, node_type,
     heading AS heading_path, canonical_start, canonical_end,
     (canonical_start + length(regexp_replace(substr(text, 1, canonical_start), '[\\x{{0}}-\\x{{FFFF}}]', '', 'g')))::BIGINT AS utf16_start,
@@ -80,8 +80,8 @@ def evidence_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each place of an item's whole text in a document and each line that it lies in, with the line's provenance.
 
     Documents stand for parts of a book, so that their ids are the places in its spine; the
-    first line with text stands for the heading. The passage found is the chunk. Lines and
-    passages meet by bins of places; of a line only lengths and the hash travel, and its
+    first line with text stands for the heading. The passage found is the chunk. Empty
+    lines hold no place of it and have no row. Lines and passages meet by bins of places; of a line only lengths and the hash travel, and its
     text where UTF-16 has other places in it.
     """
     docs = table(spark, sf_dir, "documents")
