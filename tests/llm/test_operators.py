@@ -496,6 +496,31 @@ def test_language_model_does_not_depend_on_partitions(spark):
         assert all(np.isclose(other[i], x, rtol=1e-6) for i, x in got[0].items())
 
 
+def test_language_model_learns_from_rare_words(spark):
+    """Of 8,000 words seen twice, each before one of two equally frequent words: each makes that one likelier."""
+    ends = [("alpha", "omega"), ("omega", "alpha")]
+    train = [(i, " ".join(f"w{j} {ends[j % 2][0]}" for j in range(i % 80 * 100, i % 80 * 100 + 100))) for i in range(160)]
+    # no fewer tokens than make words seen twice rare
+    train += [(i, " ".join(f"f{j % 50}" for j in range(i, i + 500))) for i in range(160, 360)]
+    held = [(1000 + 2 * j + k, f"w{j} {ends[j % 2][k]}") for j in range(0, 8000, 400) for k in (0, 1)]
+    held += [(20000 + 2 * j + k, f"w{j} {ends[j % 2][k]}") for j in range(1, 8000, 400) for k in (0, 1)]
+    docs = spark.createDataFrame(train + held, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in maxent_lm.score(spark, docs, langid.F.col("doc_id") < 1000).collect()}
+    for j in range(0, 8000, 400):
+        even, odd = 1000 + 2 * j, 20000 + 2 * (j + 1)
+        # as sums, in which what the two frequent words say of the end cancels out
+        assert got[even] + got[odd] > got[even + 1] + got[odd + 1] + 0.1
+
+
+def test_language_model_sends_expected_numbers_in_bytes():
+    """Of few and of many tokens: sums hold, and no class is off by more than a fiftieth of the tokens."""
+    r = np.random.default_rng(13)
+    seen = np.array([0, 1, 2, 3, 4, 50, 10**6])
+    mean = r.dirichlet(np.full(24, 0.2), len(seen))
+    got = maxent_lm._from_bytes(seen, maxent_lm._as_bytes(seen, (mean * seen[:, None]).astype(np.float32)))
+    assert np.allclose(got.sum(1), seen, rtol=1e-5) and np.all(abs(got - mean * seen[:, None]) <= 0.02 * seen[:, None])
+
+
 def lm_block():
     r = random.Random(11)
     return maxent_lm.Block([" ".join(r.choice("abcdefg") for _ in range(r.randint(0, 30))).encode() for _ in range(20)], {b"a": 0, b"b": 1}, 6)
