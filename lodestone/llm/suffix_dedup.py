@@ -32,14 +32,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, dealt, tasks_for, total_bytes
+from .common import checkpointed, dealt, give_back, tasks_for, total_bytes
 
 #: Bytes of the hashed strings within a window, of those that re-check a run, and windows in a run at most.
 GRAM, LONG_GRAM, RUN = 16, 33, 48
 #: Unlike runs of a key above which it is split by longer keys.
-HOT = 1 << 16
-#: Bytes hashed at a time, and bytes of one transform.
-SLICE, JOINED = 1 << 18, 2 << 20
+HOT = 1 << 13
+#: Bytes hashed at a time, and bytes of one transform, which takes some 150 times as much memory.
+SLICE, JOINED = 1 << 18, 1 << 19
 #: Bytes of text for each partition, and shards and groups of keys in one.
 TASK_BYTES, SPREAD = 16 << 20, 2
 
@@ -256,6 +256,7 @@ def _find(length: int, groups: int):
     """The entries of a shard, by group."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         number, zipped = table.column("shard")[0].as_py(), _zipper()
         found = _Runs(_Shard(table, length), length, groups)
         rows = []
@@ -275,6 +276,7 @@ def _compare(hot: int):
     """Of each key in several documents: which entries are copies of earlier ones, and which must be looked at."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         group, zipped = table.column("group")[0].as_py(), _zipper()
         parts = [_unpack(x) for x in table.column("blob").to_pylist()]
         key, content, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -319,6 +321,7 @@ def _fetch(length: int, groups: int, spread: int):
     """The runs that are gone, and the bytes of those asked for, dealt out by key."""
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back()
         if not table.num_rows:
             return _table(_FOUND, [])
         number, zipped, unzip = table.column("shard")[0].as_py(), _zipper(), zstandard.ZstdDecompressor().decompress
@@ -464,6 +467,7 @@ def _expand(length: int):
         return shard[owner], text_number[owner], begin, begin + size - 1 + length
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         unzip, zipped = zstandard.ZstdDecompressor().decompress, _zipper()
         rows, heads, shards, bodies = [], [], [], []
         for s, kind, blob in zip(*(table.column(x).to_pylist() for x in ("shard", "kind", "blob")), strict=True):
@@ -518,6 +522,7 @@ def _cut(length: int, characters: bool):
         return len(text), removed, spans, data[~gone].tobytes()
 
     def run(table: pa.Table, spans: pa.Table) -> pa.Table:
+        give_back()
         shard = _Shard(table, length)
         text, start, end = _unpacked(spans.column("blob").to_pylist(), 3)
         order = np.argsort(text, kind="stable")

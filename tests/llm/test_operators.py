@@ -3,12 +3,14 @@
 import itertools
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from lodestone.llm import html_crf, langid, maxent_lm, minhash, packing, quality, suffix_dedup, topk
@@ -496,6 +498,24 @@ def test_language_model_does_not_depend_on_partitions(spark):
         assert all(np.isclose(other[i], x, rtol=1e-6) for i, x in got[0].items())
 
 
+def test_suffix_expansion_holds_little_memory(monkeypatch):
+    """3 MB of unlike runs, each like another in its first 60 bytes: transforms are small, and find the same as large ones."""
+    r, n = np.random.default_rng(1), 40_000
+    base = [bytes(r.integers(97, 123, 80, dtype=np.uint8)) for _ in range(n // 4)]
+    runs = [(i % len(base) // 10, i, i, 0, x if i % 2 else x[:60] + bytes([65 + i % 20]) + x[61:]) for i, x in enumerate(base * 4)]
+    head = np.array([[*x[:4], len(x[4])] for x in runs], "<i8")
+    blob = suffix_dedup._zipper()(np.int64(n).tobytes() + head.T.tobytes() + b"".join(x[4] for x in runs))
+    table = pa.table({"group": pa.array([0], pa.int32()), "shard": pa.array([0], pa.int32()), "kind": pa.array([0], pa.int32()), "blob": pa.array([blob])})
+    tracemalloc.start()
+    got = suffix_dedup._expand(50)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 1 and peak < 150e6
+    monkeypatch.setattr(suffix_dedup, "JOINED", 2 << 20)
+    spans = [sorted(zip(*suffix_dedup._unpacked(x.column("blob").to_pylist(), 3).tolist(), strict=True)) for x in (got, suffix_dedup._expand(50)(table))]
+    assert spans[0] == spans[1]
+
+
 def test_language_model_learns_from_rare_words(spark):
     """Of 8,000 words seen twice, each before one of two equally frequent words: each makes that one likelier."""
     ends = [("alpha", "omega"), ("omega", "alpha")]
