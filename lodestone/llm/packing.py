@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, held, in_shares
 
 #: Chunks in each half of what a worker remembers, and the longest that it remembers.
 KEPT, LONGEST = 250_000, 64
+#: Signs that end a word before them, whatever follows; an apostrophe doesn't. More than so many at once stay with their word.
+SIGNS, SIGNS_LONGEST = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 8
 #: Texts whose new chunks are learned together.
 SHARE = 200
 
@@ -41,12 +43,19 @@ def simple(text: str) -> bool:
     return True
 
 
+def word(chunk: str) -> str | None:
+    """The word of a chunk that is one of Latin-1 letters and signs after it; other letters may be lower-cased to a letter and a sign."""
+    w = chunk.rstrip(SIGNS)
+    return w if 0 < len(chunk) - len(w) <= SIGNS_LONGEST and w.isalpha() and simple(w) else None
+
+
 class ChunkEncoder:
     """Ids of texts by the tokenizers library, kept by chunk between spaces and newlines.
 
     For vocabularies that lower-case, drop white space, part letters from other signs and
     end words with </w>: no token then reaches over a space, a newline or the end of a run
-    of letters. New words go to the library together, and are told apart by their ends.
+    of letters. Signs after a word are known apart from it. New words go to the library
+    together, and are told apart by their ends.
     """
 
     def __init__(self, path: str):
@@ -64,23 +73,18 @@ class ChunkEncoder:
 
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks that aren't known."""
-        words = list({x for c in chunks if (x := c if c.isalpha() else c[:-1]).isalpha()})
-        known = self.spelled(words)
-        out, rest = {}, []
-        for c in chunks:
-            if (got := known.get(c)) is not None:
-                out[c] = got
-            elif c and c[-1] in ".," and (got := known.get(c[:-1])) is not None:
-                out[c] = got + self.mark(c[-1])
-            else:
-                rest.append(c)
-        if rest:
+        out = self.spelled([c for c in chunks if c.isalpha() and (c.isascii() or c.lower().isalpha())])
+        if rest := [c for c in chunks if c not in out]:
             got = self.library.encode_batch_fast(rest, add_special_tokens=False)
             out.update((c, np.asarray(e.ids, "<u4").tobytes()) for c, e in zip(rest, got, strict=True))
         return out
 
     def spelled(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words of letters only."""
+        """Ids of words of letters only.
+
+        Every character but white space is in some word of the library's, so each of these
+        holds one of those at least; ends as many as these then are one for each.
+        """
         ids = np.asarray(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):  # a word that isn't one for the library
@@ -91,8 +95,8 @@ class ChunkEncoder:
             a = b
         return out
 
-    @lru_cache(maxsize=8)  # noqa: B019  one encoder per worker
-    def mark(self, c: str) -> bytes:
+    @lru_cache(maxsize=4096)  # noqa: B019  one encoder per worker
+    def signs(self, c: str) -> bytes:
         return np.asarray(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
@@ -107,23 +111,23 @@ class ChunkEncoder:
                 x = x.lower()
             cut.append(x.replace("\n", " ").split(" "))
         kept, older = self.kept, self.older
-        new = {c for chunks in cut for c in chunks if c not in kept}
+        chunks = set().union(*cut)
+        ended = {c: w for c in chunks.difference(kept) if (w := word(c)) is not None}
+        chunks = chunks.difference(ended).union(ended.values())
+        new = chunks.difference(kept)
         again = {c: older[c] for c in new if c in older}
         again |= self.learn([c for c in new if c not in again])
+        found = {c: kept[c] for c in chunks.difference(again)} | again
         if len(kept) + len(again) > KEPT:
-            self.older = kept
-            again |= {c: kept[c] for chunks in cut for c in chunks if c in kept}
-            kept = self.kept = {}
-        kept.update(again)
-        for chunks in cut:
-            yield b"".join(map(kept.__getitem__, chunks))
+            self.older, self.kept = kept, found.copy()
+        else:
+            kept.update(again)
         for c in [c for c in again if len(c) > LONGEST]:
-            del kept[c]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+            del self.kept[c]
+        for c, w in ended.items():
+            found[c] = found[w] + self.signs(c[len(w) :])
+        for x in cut:
+            yield b"".join(map(found.__getitem__, x))
 
 
 def pieces(df: DataFrame, path: str, capacity: int, end_id: int, text: str, id_col: str, with_ids: bool) -> DataFrame:
@@ -133,12 +137,10 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int, text: str, id_c
     schema = f"id {kind.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_all
+        encode = held(ChunkEncoder, path).encode_all
         for batch in batches:
             at, piece, length, crc, ids = [], [], [], [], []
-            texts = batch.column(1).to_pylist()
-            shares = (encode(texts[i : i + SHARE]) for i in range(0, len(texts), SHARE))
-            for i, packed in enumerate(chain.from_iterable(shares)):
+            for i, packed in enumerate(chain.from_iterable(map(encode, in_shares(batch.column(1), SHARE)))):
                 packed += end
                 for j, a in enumerate(range(0, len(packed), 4 * capacity)):
                     part = packed[a : a + 4 * capacity]

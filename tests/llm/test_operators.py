@@ -608,3 +608,12 @@ def test_top_k_of_large_and_repeated_vectors(spark, k):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
     got = topk.top_k(spark, df.where("vec_id % 50 = 0"), df, k=k).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_signs_after_words_are_no_words_of_their_own():
+    library, encoder = Tokenizer.from_file(WORD), packing.ChunkEncoder(WORD)
+    texts = ["Weather*** mild, weather. İ> ꟑ. été&&& été*̸ it's. weather<|endoftext|>", "weather!!!!!!!!! mild... İ"]
+    for text, got in zip(texts, encoder.encode_all(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    # forms of a word with signs take no room beside the word
+    assert {"weather", "mild", "été"} <= set(encoder.kept) and not {"weather***", "weather.", "mild,", "mild...", "été&&&"} & set(encoder.kept)
