@@ -11,19 +11,22 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows
+from .common import checkpointed, in_shares, map_rows
 
 #: N-grams in a profile, and characters of a long text that are read at a time.
 PROFILE, PART = 400, 1 << 18
 #: Languages whose profiles one pass over the texts holds (3 MB of them); more are compared in further passes.
 LANGUAGES = 512
 UNKNOWN = "und"
+#: Texts that a task holds as Python objects at a time.
+SHARE = 200
 
 #: Bits of a letter in an n-gram's number.
 BITS = 21
@@ -74,7 +77,7 @@ def profiles(df: DataFrame, text: str, lang: str, size: int = PROFILE) -> DataFr
 
     def count(batch: pa.RecordBatch) -> dict:
         words: dict[str, Counter] = {}
-        for x, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for x, name in zip(chain.from_iterable(in_shares(batch.column(0), SHARE)), batch.column(1).to_pylist(), strict=True):
             words.setdefault(name, Counter()).update(x.split())
         out: dict[str, list] = {"lang": [], "gram": [], "n": []}
         for name, seen in words.items():
@@ -191,7 +194,7 @@ def identify(df: DataFrame, train: Column, text: str = "text", lang: str = "lang
         def run(batch: pa.RecordBatch) -> dict:
             predict = identifier(ranked, size).predict
             texts, n = batch.column(0), len(kept)
-            got = [predict(x) for x in texts.to_pylist()]
+            got = [predict(x) for share in in_shares(texts, SHARE) for x in share]
             if again:
                 found = zip(batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist(), strict=True)
                 got = [min(x, y, key=lambda z: (-z[1], z[0])) for x, y in zip(got, found, strict=True)]

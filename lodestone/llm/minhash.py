@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, words_of
+from .common import checkpointed, give_back, in_shares, words_of
 
 #: Words in a shingle, least similarity (as a fraction of whole numbers), bands and hashes in a band.
 #: At the threshold 32 bands of 4 miss a pair once in 190,000 times.
@@ -45,6 +46,8 @@ CHECKS, BATCH, MISS = 512, 64, 1e-6
 BLOCK, BLOCK_BYTES, SET_BYTES, SET_BLOCKS = 2048, 32 << 20, 16 << 20, 4
 #: Shingles hashed at a time, which bounds memory for very long texts.
 STRIDE = 4096
+#: Texts whose words or shingles a task holds at a time.
+SHARE = 200
 KEPT = 300_000
 
 U64 = np.uint64
@@ -149,11 +152,15 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> bool:
     return threshold[1] * both >= threshold[0] * (len(x) + len(y) - both)
 
 
+def _shares(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, SHARE) for i in range(0, batch.num_rows, SHARE))
+
+
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, key, bands, seen = [], [], [], {}
-            for x in batch.column(1).to_pylist():
+            for x in chain.from_iterable(in_shares(batch.column(1), SHARE)):
                 s = shingles(x, size)
                 n.append(len(s))
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
@@ -162,15 +169,17 @@ def _sketch(size: int):
                 bands.append(None if digest is None or digest in seen else band_keys(s).view(np.int64))
                 seen[digest] = 1
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "key", "bands"])
+        give_back()
 
     return run
 
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(_shares, batches)):
             sets = [shingles(x, size) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([check_bytes(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "checks", "members"])
+        give_back()
 
     return run
 

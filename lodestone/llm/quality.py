@@ -16,12 +16,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import in_shares, map_rows
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 WINDOW = 8
 LEVEL = 3
+#: Texts that a task holds as Python objects at a time.
+SHARE = 200
 CHUNK = 2048
 #: From so many bytes on, the least ratio of a whole text; of a chunk CHUNK_LEAST is enough.
 LEAST = ((0, 0.5), (200, 1.05), (400, 1.15), (800, 1.3), (1600, 1.45), (3200, 1.6), (6400, 1.7), (12800, 1.75), (51200, 1.8))
@@ -117,7 +119,7 @@ def quality(df: DataFrame, text: str = "text", id_col: str = "doc_id", carry: tu
 
     def run(batch: pa.RecordBatch) -> dict:
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
-        rows = [measure(x, compress) for x in batch.column(0).to_pylist()]
+        rows = [measure(x, compress) for share in in_shares(batch.column(0), SHARE) for x in share]
         return {k: batch.column(i + 1) for i, k in enumerate(kept)} | {k: list(x) for k, x in zip(names, zip(*rows, strict=True), strict=True)}
 
     schema = f"{kinds}, " + ", ".join(f"{x} bigint" for x in names[:5]) + ", base_failed boolean, kept boolean, ratio double"

@@ -13,7 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import zstandard
-from lodestone.llm import html_crf, langid, maxent_lm, minhash, packing, quality, suffix_dedup, topk
+from lodestone.llm import common, html_crf, langid, maxent_lm, minhash, packing, quality, suffix_dedup, topk
 from lodestone.llm.bpe_automaton import Automaton, Codec
 from lodestone.llm.common import words_of
 from lodestone.llm.token_counts import Counter as TokenCounter
@@ -617,3 +617,21 @@ def test_signs_after_words_are_no_words_of_their_own():
         assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     # forms of a word with signs take no room beside the word
     assert {"weather", "mild", "été"} <= set(encoder.kept) and not {"weather***", "weather.", "mild,", "mild...", "été&&&"} & set(encoder.kept)
+
+
+def test_workers_hold_one_thing_and_let_go_of_it(monkeypatch):
+    made = []
+    make = lambda x: made.append(x) or [x]
+    assert common.held(make, 1) is common.held(make, 1) and made == [1]
+    common.held(make, 2)
+    assert common.held(make, 1) == [1] and made == [1, 2, 1]
+    common.give_back()
+    common.held(make, 1)
+    assert made == [1, 2, 1, 1]
+    # tasks of sets hold a share of a batch
+    sizes = []
+    monkeypatch.setattr(minhash, "SHARE", 2)
+    batch = pa.record_batch({"id": pa.array(range(5)), "text": pa.array([f"a b c d e {i}" for i in range(5)])})
+    for out in minhash._sets(5)(iter([batch])):
+        sizes.append(out.num_rows)
+    assert sizes == [2, 2, 1]
