@@ -7,6 +7,7 @@ import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import public_tokenizers
@@ -635,3 +636,38 @@ def test_workers_hold_one_thing_and_let_go_of_it(monkeypatch):
     for out in minhash._sets(5)(iter([batch])):
         sizes.append(out.num_rows)
     assert sizes == [2, 2, 1]
+
+
+def test_language_model_sends_little(spark):
+    """All that is shuffled and kept, against the texts: no key, word or zero row is sent again once both sides know it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    train = langid.F.crc32(docs["doc_id"].cast("string").cast("binary")) % 5 != 1
+    common.checkpointed(spark.range(1))
+    folders = [*spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString(), urlparse(spark.sparkContext.getCheckpointDir()).path]
+
+    def files():
+        return {x: x.stat().st_size for y in folders for x in Path(y).rglob("*") if x.is_file() and "index" not in x.name and "checksum" not in x.name}
+
+    before = files()
+    assert maxent_lm.score(spark, docs, train).select("score").agg(langid.F.count("*")).first()[0] == 1000
+    assert sum(n for x, n in files().items() if x not in before) < 6 * common.total_bytes(docs, "text")
+
+
+def test_language_model_tells_words_of_one_hash_apart(monkeypatch):
+    """Each word has its place, the same for the same words in any order, however few hashes there are."""
+    monkeypatch.setattr(maxent_lm.xxhash, "xxh3_64_intdigest", lambda x: len(x) % 3)
+    words = [b"", b" ", *(b"w%d" % i for i in range(120))]
+    order, hashes = maxent_lm.by_hash(words)
+    other = words[::-1]
+    assert sorted(order.tolist()) == list(range(122)) and (np.diff(hashes.astype(int)) >= 0).all()
+    assert [words[i] for i in order] == [other[i] for i in maxent_lm.by_hash(other)[0]]
+
+
+def test_language_model_messages_come_back_whole():
+    r = np.random.default_rng(17)
+    n = np.array([0, 1, 2, 3, 0, 900, 10**9, *r.integers(0, 40, 500)])
+    rows = r.integers(-128, 128, (len(n), 24)).astype(np.int8)
+    level = maxent_lm._levels(n)
+    assert level[:7].tolist() == [0, 1, 2, 2, 0, 10, 30]
+    got = maxent_lm._decoded(maxent_lm._coded(rows, level), "i1", 24)
+    assert np.array_equal(got, np.where(n[:, None] > 0, rows, 0))
