@@ -48,6 +48,8 @@ BLOCK, BLOCK_BYTES, SET_BYTES, SET_BLOCKS = 2048, 32 << 20, 16 << 20, 4
 STRIDE = 4096
 #: Texts whose words or shingles a task holds at a time.
 SHARE = 200
+#: Rows of links in a partition, and least partitions: few links in many partitions are mostly files of a few bytes.
+LINKS, LINK_PARTS = 100_000, 8
 KEPT = 300_000
 
 U64 = np.uint64
@@ -310,22 +312,29 @@ def _rows(rows: list[list], names: tuple[str, ...]) -> pa.Table:
     return pa.table([pa.array(x, pa.bool_() if n == "inner" else pa.int64()) for x, n in zip(columns, names, strict=True)], names=list(names))
 
 
-def components(links: DataFrame) -> DataFrame:
+def parted(df: DataFrame, rows: int) -> DataFrame:
+    """df, of so many short rows, in no more partitions than those fill."""
+    return df.coalesce(max(LINK_PARTS, -(-rows // LINKS)))
+
+
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """Rows (id, comp) of the connected components of links (a, b): comp is the smallest id.
 
     Large-star and small-star steps in turn: each joins a node's neighbours to the smallest
     one around. A few rounds, each from files, until their number and the sum of their
-    hashes no longer change.
+    hashes no longer change. `rows` is the number of links, counted if it isn't given; each
+    step has at most as many rows, so that they lie in as many partitions as those fill.
     """
+    rows = links.count() if rows is None else rows
     pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
-    edges, seen = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), None
+    edges, seen = parted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), rows), None
     while True:
         both = edges.select(F.explode(F.array(pair(F.col("u"), F.col("v")), pair(F.col("v"), F.col("u")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = parted(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), rows)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(pair(F.col("v"), F.col("m")), pair(F.col("u"), F.col("m")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = checkpointed(small)
+        small = parted(large.join(least, "u"), rows).select(F.explode(F.array(pair(F.col("v"), F.col("m")), pair(F.col("u"), F.col("m")))).alias("e")).select("e.*").where("u <> v").distinct()
+        edges = checkpointed(parted(small, rows))
         # decimal, as a sum of hashes overflows a long
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if state == seen:
@@ -337,10 +346,12 @@ def components(links: DataFrame) -> DataFrame:
 
 def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     """Components once more links (a, b) are known: those of the components, then each row's."""
-    of = lambda df, x: df.join(comps.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")), x, "left").withColumn(x, F.coalesce(f"c{x}", x))
-    above = checkpointed(components(of(of(links, "a"), "b").select("a", "b")))
+    rows, known = links.count(), comps.count()
+    links, comps = parted(links, rows), parted(comps, known)
+    of = lambda df, x: parted(df.join(comps.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")), x, "left"), rows).withColumn(x, F.coalesce(f"c{x}", x))
+    above = checkpointed(parted(components(of(of(links, "a"), "b").select("a", "b"), rows), rows))
     up = comps.join(above.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
-    return checkpointed(up.unionByName(above.join(comps.select("id"), "id", "left_anti")))
+    return checkpointed(parted(up.unionByName(above.join(comps.select("id"), "id", "left_anti")), known + rows))
 
 
 def _linked_pairs(edges: DataFrame, sets: DataFrame, blocks: int, threshold: tuple[int, int], miss: float) -> DataFrame:
@@ -388,7 +399,8 @@ def near_duplicates(spark: SparkSession, df: DataFrame, text: str = "text", id_c
     several = named.groupBy("id").agg(F.min("key").alias("one"), F.max("key").alias("other")).where("one <> other").select("id")
     same = named.join(several, "id").select("id", "key").distinct().join(leaders.select("key", "leader"), "key").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     links = checkpointed(_linked_pairs(star, sets, set_blocks, threshold, miss).unionByName(same))
-    comps = checkpointed(components(links))
+    rows_of_links = links.count()
+    comps = checkpointed(parted(components(links, rows_of_links), rows_of_links))
 
     # bands that hold several components: the largest, in blocks, meets the others, and these each other
     labelled = rows.join(comps, "id", "left").select("band", "id", "n", F.coalesce("comp", "id").alias("comp"))
@@ -402,6 +414,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, text: str = "text", id_c
     # a document has at most as many rows as there are bands
     each = parts.groupBy("id").agg(F.collect_list(F.struct("band", "mains", "others", "lesser", "at")).alias("all")).select("id", F.col("all.band").alias("keys"), F.explode("all").alias("p"))
     parts = checkpointed(each.select("id", "p.*", F.filter("keys", lambda x: x < F.col("p.band")).alias("before")))
+    parts = parted(parts, parts.count())
     to = lambda low, most: F.explode(F.sequence(low.cast("long"), F.col(most).cast("long") - 1))
     at = F.col("at").cast("long")
     placed = lambda df, i, j, inner, right: df.select("band", i.alias("i"), j.alias("j"), F.lit(inner).alias("inner"), F.lit(right).alias("right"), "id", "before")

@@ -671,3 +671,21 @@ def test_language_model_messages_come_back_whole():
     assert level[:7].tolist() == [0, 1, 2, 2, 0, 10, 30]
     got = maxent_lm._decoded(maxent_lm._coded(rows, level), "i1", 24)
     assert np.array_equal(got, np.where(n[:, None] > 0, rows, 0))
+
+
+def test_few_links_lie_in_few_partitions(spark):
+    """A chain and a star of a thousand links, come in 60 partitions and shuffled to 60: the rounds write few files."""
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(700)]
+    df = common.checkpointed(spark.createDataFrame(links, "a long, b long").repartition(60))
+    parts, adaptive = (spark.conf.get(f"spark.sql.{x}") for x in ("shuffle.partitions", "adaptive.enabled"))
+    count = lambda: len([x for x in Path(urlparse(spark.sparkContext.getCheckpointDir()).path).rglob("part-*")])
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        before = count()
+        comps = minhash.components(df)
+        assert count() - before <= 10 * minhash.LINK_PARTS
+        assert {r["id"]: r["comp"] for r in comps.collect()} == {i: 0 if i <= 300 else 1000 for i in [*range(301), *range(1000, 1701)]}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
