@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, give_back, in_shares, words_of
+from .common import checkpointed, give_back, held, in_shares, words_of
 
 #: Words in a shingle, least similarity (as a fraction of whole numbers), bands and hashes in a band.
 #: At the threshold 32 bands of 4 miss a pair once in 190,000 times.
@@ -50,6 +50,7 @@ STRIDE = 4096
 SHARE = 200
 #: Rows of links in a partition, and least partitions: few links in many partitions are mostly files of a few bytes.
 LINKS, LINK_PARTS = 100_000, 8
+#: Words whose hashes a task remembers.
 KEPT = 300_000
 
 U64 = np.uint64
@@ -61,15 +62,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(29))
 
 
-_words: dict[bytes, int] = {}
-
-
-def _word(word: bytes) -> int:
+def _word(word: bytes, kept: dict[bytes, int]) -> int:
     got = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
     if len(word) <= 64:
-        if len(_words) >= KEPT:
-            _words.clear()
-        _words[word] = got
+        if len(kept) >= KEPT:
+            kept.clear()
+        kept[word] = got
     return got
 
 
@@ -78,8 +76,10 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
-    known = _words.get
-    h = np.array([x if (x := known(w)) is not None else _word(w) for w in words], np.uint64)
+    # hashes of words are let go of when a task ends
+    kept = held(dict)
+    known = kept.get
+    h = np.array([x if (x := known(w)) is not None else _word(w, kept) for w in words], np.uint64)
     k = min(size, len(h))
     n = len(h) - k + 1
     out = np.full(n, k, np.uint64)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, held, in_shares
+from .common import checkpointed, give_back, held, in_shares
 
 #: Chunks in each half of what a worker remembers, and the longest that it remembers.
 KEPT, LONGEST = 250_000, 64
@@ -70,6 +70,9 @@ class ChunkEncoder:
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        # of this encoder only: a cache of the class would keep every encoder alive
+        encode = self.library.encode
+        self.signs = lru_cache(maxsize=4096)(lambda c: np.asarray(encode(c, add_special_tokens=False).ids, "<u4").tobytes())
 
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks that aren't known."""
@@ -95,10 +98,6 @@ class ChunkEncoder:
             a = b
         return out
 
-    @lru_cache(maxsize=4096)  # noqa: B019  one encoder per worker
-    def signs(self, c: str) -> bytes:
-        return np.asarray(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_all([text]))
 
@@ -267,6 +266,7 @@ def pack(spark: SparkSession, df: DataFrame, path: str, capacity: int = 4096, en
     kind = df.schema[id_col].dataType
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # all texts are encoded
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
             rank = batch.column("rank").to_numpy(zero_copy_only=False).astype(np.int64)

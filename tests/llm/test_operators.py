@@ -4,6 +4,7 @@ import itertools
 import random
 import time
 import tracemalloc
+import weakref
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -689,3 +690,16 @@ def test_few_links_lie_in_few_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_workers_keep_no_encoder_and_no_words_of_earlier_tasks():
+    encoder = common.held(packing.ChunkEncoder, public_tokenizers.path("word_bpe_49k.json"))
+    encoder.encode("a word, and signs...")
+    left = weakref.ref(encoder)
+    del encoder
+    common.give_back()
+    assert left() is None
+    batch = pa.record_batch({"id": pa.array([1]), "text": pa.array(["these words are hashed once and gone then"])})
+    for task in (minhash._sketch(5), minhash._sets(5)):
+        assert [x.num_rows for x in task(iter([batch]))] == [1]
+        assert not [x for x in [*vars(minhash).values(), *common._held.values()] if isinstance(x, dict) and b"hashed" in x]

@@ -5,13 +5,16 @@ from pathlib import Path
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import zstandard
-from lodestone.llm import quality
+from lodestone.llm import common, quality
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .test_operators import brute_groups, brute_repeats
 
 DATA = "/root/testdata/sf0.001"
+LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def test_stages_against_brute_force(spark):
@@ -63,3 +66,21 @@ def test_replacement_characters_of_the_input_stay(spark):
 
 def test_oracle_only_where_sql_can():
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5 and Path(corpus_pipeline.__file__).name == "corpus_pipeline.py"
+
+
+def test_stages_send_small_batches(spark):
+    """Also where texts are long: Spark's own limits let 3,000 of these, 24 MB, go to Python at once."""
+    spark.conf.unset(LIMIT)
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1600).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(8000).cast("long").alias("n_chars"))
+    try:
+        for _, stage in corpus_pipeline.STAGES[:2]:
+            spark.conf.unset(LIMIT)
+            stage(spark, docs, DATA)
+            sizes = docs.select("text").mapInArrow(lambda batches: (pa.record_batch({"n": pa.array([x.nbytes])}) for x in batches), "n long").collect()
+            assert len(sizes) > 4 and max(r["n"] for r in sizes) < 2 * common.BATCH_BYTES
+        # a limit that the session names stays
+        spark.conf.set(LIMIT, "1000000")
+        common.in_small_batches(spark)
+        assert spark.conf.get(LIMIT) == "1000000"
+    finally:
+        spark.conf.unset(LIMIT)
