@@ -17,7 +17,7 @@ from lodestone.plans import registry
 DOCS, TURNS = "doc_id long, text string", "conv_id long, turn long, role string, text string"
 
 
-@pytest.mark.parametrize("name", ["lexical_strategy"])
+@pytest.mark.parametrize("name", ["lexical_strategy", "lexical_strategy_all"])
 def test_odd_rows_as_in_sql(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(hits, "QUERY_WORDS", 40)
     r = random.Random(5)
